@@ -1,0 +1,56 @@
+"""The opN queries over the driver's tables, and their DuckDB twins where SQL can express them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marketweave.llm.exact import exact_dedup
+from marketweave.llm.mixing import pareto_mix
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto_mix(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pareto_mix": op1_pareto_mix,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+
+SQL: dict[str, str] = {
+    "op10_exact_dedup": """
+        WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+        SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(n.t) AS text_sha256
+        FROM n JOIN g ON n.t = g.t""",
+    "op1_pareto_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+                   (('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+            FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+        o AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(w) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        l AS (SELECT arg_min(level, cap / w) AS level FROM o WHERE level <= cap / w),
+        t AS (SELECT source, source_size, least(cap, w * (SELECT level FROM l)) AS target FROM w),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e0 FROM t),
+        e2 AS (SELECT *, CASE WHEN abs(e0 - round(e0)) < 1e-12 THEN round(e0) ELSE e0 END AS e FROM e),
+        p AS (SELECT source, source_size, target, floor(e)::BIGINT AS certain, e - floor(e) AS p, (e - floor(e)) * source_size AS rest FROM e2),
+        r AS (SELECT d.*, source_size, target, certain, p, rest, (u / (1 - u)) / (1 + u / (1 - u)) AS q FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+        c AS (SELECT *, p > 0 AND size > 0 AND sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS chosen FROM r),
+        g AS (SELECT *, rest - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
+        x AS (SELECT *, p > 0 AND size > 0 AND NOT chosen AND size < 2 * gap AS able FROM g),
+        y AS (SELECT *, able AND row_number() OVER (PARTITION BY source, able ORDER BY abs(size - gap), q, doc_id) = 1 AS one FROM x)
+        SELECT doc_id, size, source_size, target, CAST(size * (certain + CASE WHEN chosen OR one THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM y""",
+}
