@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketweave.llm.exact import exact_dedup
 from marketweave.llm.minhash import near_dedup
 from marketweave.llm.mixing import pareto_mix
+from marketweave.llm.substrings import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -29,6 +34,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -50,6 +56,20 @@ SQL: dict[str, str] = {
         c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op6_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS p, h FROM d),
+        x AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS s FROM w),
+        m AS (SELECT s, min(doc_id) AS m FROM x GROUP BY s HAVING min(doc_id) != max(doc_id)),
+        c AS (SELECT doc_id, p FROM x JOIN m USING (s) WHERE m < doc_id),
+        i AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, true) AS new FROM c),
+        j AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM i),
+        r AS (SELECT doc_id, span, min(p) AS lo, max(p) + 50 AS hi FROM j GROUP BY ALL),
+        q AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM r),
+        k AS (SELECT d.doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept
+              FROM q JOIN d USING (doc_id) GROUP BY d.doc_id)
+        SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op1_pareto_mix": r"""
         WITH d AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
