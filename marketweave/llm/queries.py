@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketweave.llm.exact import exact_dedup
+from marketweave.llm.langmix import language_id
 from marketweave.llm.minhash import near_dedup
 from marketweave.llm.mixing import pareto_mix
 from marketweave.llm.substrings import remove_repeats
@@ -20,6 +21,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=50).drop("kept")
 
@@ -34,6 +39,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op5_language_mixture": op5_language_mixture,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
