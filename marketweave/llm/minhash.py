@@ -1,8 +1,8 @@
 """Near-duplicate documents: universal hash minima, banding, signature verification, exact check on full shingle sets.
 
 Documents with equal shingle sets collapse into classes first. Within a bucket no all-pairs list is made: each class is
-tested against one pivot, then only pairs across different components remain, from the few classes outside
-the bucket's largest component. Links are confirmed on the full sets and joined by large-star and small-star.
+tested against one pivot; then only pairs across components remain, between classes outside the bucket's
+largest component and the rest, less those that the number of their shingles found in no other class rules out. Links are confirmed on the full sets and joined by large-star and small-star.
 """
 
 from __future__ import annotations
@@ -67,12 +67,12 @@ def _sets(width: int):
     return build
 
 
-def _of(rows: DataFrame, facts: DataFrame, col: str, prefix: str) -> DataFrame:
+def _of(rows: DataFrame, facts: DataFrame, col: str, prefix: str, total: int) -> DataFrame:
     """Left join of one row of facts per id to rows by a column in which a few ids may be very frequent."""
     counts = rows.groupBy(F.col(col).alias("id")).agg(F.count(F.lit(1)).alias("_n"))
     names = [c for c in facts.columns if c != "id"]
     groups = facts.join(counts, "id").select(F.col("id").alias(col), "_n", *[F.col(c).alias(f"{prefix}{c}") for c in names])
-    return left_join_groups(rows, groups, col, "_n", rows.count(), next(c for c in rows.columns if c != col)).drop("_n")
+    return left_join_groups(rows, groups, col, "_n", total, next(c for c in rows.columns if c != col)).drop("_n")
 
 
 def near_dedup(
@@ -94,9 +94,12 @@ def near_dedup(
     others = members.where("id != rep").select("id").distinct()
 
     keyed = signed.where("id is not null and n_shingles > 0").select("id", F.explode("bands").alias("key")).join(others, "id", "left_anti")
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    placed = save(left_join_groups(keyed, buckets, "key", "size", total, "id").where("pivot is not null"))
-    placed = placed.where("key is not null")
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    placed = save(left_join_groups(keyed, buckets.select("key", "size", F.col("size").alias("_s")), "key", "_s", total, "id").where("size is not null").drop("_s"))
+    # A bucket's pivot is the class whose buckets are fullest: the common ancestor of near copies rather than one of them.
+    crowd = save(placed.groupBy("id").agg(F.struct(F.sum("size").alias("rows"), (-F.col("id")).alias("minus_id")).alias("crowd")))
+    pivots = placed.join(crowd, "id").groupBy("key").agg(F.max("crowd").alias("pivot"), F.count(F.lit(1)).alias("_s"))
+    placed = save(left_join_groups(placed, pivots, "key", "_s", total, "id").drop("_s"))
     among = placed.select("id").distinct()
     facts = save(signed.select("id", "n_shingles", "sig").join(among, "id", "left_semi").dropDuplicates(["id"]))
     sets = save(source.join(among, "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"))
@@ -104,7 +107,8 @@ def near_dedup(
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs a, b: sizes and signatures first, then the full sets."""
-        p = _of(_of(save(pairs), facts, "a", "a_"), facts, "b", "b_")
+        n = pairs.count()
+        p = _of(_of(pairs, facts, "a", "a_", n), facts, "b", "b_", n)
         same = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         fits = F.least("a_n_shingles", "b_n_shingles") * 100 >= F.greatest("a_n_shingles", "b_n_shingles") * percent
         p = save(p.where(fits & (same >= floor * bands * BAND_ROWS)).select("a", "b"))
@@ -113,27 +117,43 @@ def near_dedup(
         common = F.size(F.array_intersect("sa", "sb"))
         return save(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
-    # 1. Each class against the smallest of its pivots.
-    stars = save(placed.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
-    first = save(stars.groupBy("a").agg(F.min("b").alias("b")))
+    # 1. Each class against the fullest of its pivots.
+    starred = placed.select(F.col("id").alias("a"), "pivot", (-F.col("pivot.minus_id")).alias("b")).where("a != b")
+    stars = save(starred.groupBy("a", "b").agg(F.max("pivot").alias("pivot")))
+    first = save(stars.groupBy("a").agg(F.max("pivot").alias("pivot")).select("a", (-F.col("pivot.minus_id")).alias("b")))
     links = verified(first)
     comps = save(components(links))
     # 2. The other pivots that are still in another component.
-    known = lambda rows, col, name: _of(rows, comps, col, "_").withColumnRenamed("_component_id", name).withColumn(name, F.coalesce(name, col))
-    second = save(known(known(stars.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca != cb").select("a", "b"))
+    known = lambda rows, col, name, n: _of(rows, comps, col, "_", n).withColumnRenamed("_component_id", name).withColumn(name, F.coalesce(name, col))
+    others_ = save(stars.select("a", "b").join(first, ["a", "b"], "left_anti"))
+    n = others_.count()
+    second = save(known(known(others_, "a", "ca", n), "b", "cb", n).where("ca != cb").select("a", "b"))
     if not second.isEmpty():
         links = links.unionByName(verified(second))
         comps = save(components(links))
     # 3. Within a bucket, what is outside its largest component against the rest of the bucket.
-    inside = save(known(placed.select("id", "key", "size"), "id", "comp"))
+    inside = save(known(placed.select("id", "key", "size"), "id", "comp", placed.count()))
     parts = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("n_comps")).where("n_comps > 1").select("key", F.col("most.comp").alias("major"))
-    open_rows = save(left_join_groups(inside, open_keys.join(buckets.select("key", F.col("size").alias("_s")), "key"), "key", "_s", total, "id").where("major is not null"))
+    open_keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("n_comps"), F.sum("n").alias("_s"))
+    open_keys = open_keys.where("n_comps > 1").select("key", F.col("most.comp").alias("major"), "_s")
+    open_rows = save(left_join_groups(inside, open_keys, "key", "_s", total, "id").where("major is not null").drop("_s"))
+    # A shingle that no other open class has can't be in an intersection, so I <= own = n - lone, and a link needs
+    # (100 + percent) * I >= percent * (n + n'). Classes for which no size in the bucket allows that have no link there.
+    shingles = sets.join(open_rows.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+    lone = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    bound = facts.select("id", "n_shingles").join(lone, "id", "left").select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("own"))
+    open_rows = open_rows.join(bound, "id")
+    least = open_rows.groupBy("key").agg(F.min("n_shingles").alias("least"), F.count(F.lit(1)).alias("_s"))
+    fits = lambda own, n: (100 + percent) * F.col(own) >= percent * n
+    alive = save(left_join_groups(open_rows, least, "key", "_s", total, "id").where(fits("own", F.col("n_shingles") + F.col("least"))))
     salts = F.ceil(F.col("size") / 256).cast("int")
-    outside = open_rows.where("comp != major").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    rest = open_rows.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), "major", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    third = outside.join(rest, ["key", "salt"]).where("ca != cb and (cb = major or a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    third = save(third.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"))
+    outside = alive.where("comp != major").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"), F.col("own").alias("own_a"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    rest = alive.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), "major", F.col("n_shingles").alias("nb"), F.col("own").alias("own_b"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    able = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
+    sizes = F.col("na") + F.col("nb")
+    third = outside.join(rest, ["key", "salt"]).where(able & fits("own_a", sizes) & fits("own_b", sizes)).select("a", "b").distinct()
+    tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    third = save(third.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
     if not third.isEmpty():
         links = links.unionByName(verified(third))
         comps = save(components(links))
