@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def save(df: DataFrame, **options) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced, as its periodic collection does."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for df in frames:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm import bytehash
-from marketweave.llm.common import drop, save, small_batches
+from marketweave.llm.common import drop, release, save, small_batches
 
 KMER = 20
 #: Bytes of a slice; temporary arrays take about 100 times as much.
@@ -80,7 +80,7 @@ def _key(low: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _minimisers(length: int, parts: int):
-    """Rows for lookup by part (part, uids, keys), and rows of keys known to be shared inside the slice (part -1, uid, keys)."""
+    """Rows for lookup by part (part, uids, upper halves of the keys), and rows of keys known to be shared inside the slice (part -1, uid, keys)."""
     schema = pa.schema([("part", pa.int32()), ("uids", pa.list_(pa.int64())), ("keys", pa.binary()), ("shared", pa.binary())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def _minimisers(length: int, parts: int):
             k, t, flag = k[by], t[by], flag[by].astype(np.uint8)
             cut = _first(k & np.uint64(0xFFFFFFFF))
             if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array((k[cut[:-1]] & np.uint64(0xFFFFFFFF)).astype(np.int32)), _lists(uid[t], cut), _blobs(k, cut), _blobs(flag, cut)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array((k[cut[:-1]] & np.uint64(0xFFFFFFFF)).astype(np.int32)), _lists(uid[t], cut), _blobs((k >> np.uint64(32)).astype(np.uint32), cut), _blobs(flag, cut)], schema=schema)
             if many.any():
                 k, t = key[many], text[many]
                 by = np.argsort(t, kind="stable")
@@ -122,13 +122,14 @@ def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 def _shared(table: pa.Table) -> pa.Table:
     """uid, keys: the minimisers of a part that more than one slice has, for documents that don't know it yet."""
-    uid, key, flag = _flat(table["uids"], np.int64), _flat(table["keys"], np.uint64), _flat(table["shared"], np.uint8)
+    uid, key, flag = _flat(table["uids"], np.int64), _flat(table["keys"], np.uint32), _flat(table["shared"], np.uint8)
+    part = np.uint64(table["part"][0].as_py())
     order = np.argsort(key, kind="stable")
     first = _first(key[order])
     size = np.diff(first)
     hit = np.zeros(len(key), bool)
     hit[order] = np.repeat(size > 1, size)
-    uid, key = uid[hit & (flag == 0)], key[hit & (flag == 0)]
+    uid, key = uid[hit & (flag == 0)], key[hit & (flag == 0)].astype(np.uint64) << np.uint64(32) | part
     order = np.argsort(uid, kind="stable")
     uid, key = uid[order], key[order]
     cut = _first(uid)
@@ -311,14 +312,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     across = found.where("part >= 0").groupBy("part").applyInArrow(_shared, "uid long, keys binary")
     known = across.unionByName(found.where("part < 0").select(F.col("uids")[0].alias("uid"), "keys"))
     wanted = known.groupBy("uid").agg(F.collect_list("keys").alias("keys"))
-    suspects = save(able.join(wanted, "uid"))
+    suspects = able.join(wanted, "uid").select("uid", "id", "body", "keys")
+    cuts = save(suspects.mapInArrow(_segments(length, parts), "part int, uids array<long>, ids array<long>, lo array<int>, hi array<int>, lows binary, blob binary"))
     drop(found)
-    cuts = save(suspects.select("uid", "id", "body", "keys").mapInArrow(_segments(length, parts), "part int, uids array<long>, ids array<long>, lo array<int>, hi array<int>, lows binary, blob binary"))
+    del across, known, wanted, suspects
+    release(spark)
     covers = cuts.where("part >= 0").groupBy("part").applyInArrow(_bucket(length), "uid long, lo array<int>, hi array<int>")
     covers = covers.unionByName(cuts.where("part < 0").select(F.col("uids")[0].alias("uid"), "lo", "hi"))
     covers = save(covers.groupBy("uid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
     drop(cuts)
-    hit = suspects.select("uid", "id", "body").join(covers, "uid").select("uid", "id", "body", "lo", "hi")
+    release(spark)
+    hit = able.join(covers, "uid").select("uid", "id", "body", "lo", "hi")
     removed = hit.mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     sums = source.select("uid", "id", F.octet_length("body").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), F.col("body").alias("kept"))
     whole = sums.join(covers.select("uid"), "uid", "left_anti").drop("uid")
