@@ -11,6 +11,7 @@ from marketweave.llm.langmix import language_id
 from marketweave.llm.minhash import near_dedup
 from marketweave.llm.mixing import pareto_mix
 from marketweave.llm.substrings import remove_repeats
+from marketweave.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=50).drop("kept")
 
 
+def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op5_language_mixture": op5_language_mixture,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
