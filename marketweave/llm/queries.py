@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketweave.llm.exact import exact_dedup
 from marketweave.llm.langmix import language_id
 from marketweave.llm.minhash import near_dedup
 from marketweave.llm.mixing import pareto_mix
+from marketweave.llm.quality import grade, quality
 from marketweave.llm.substrings import remove_repeats
 from marketweave.llm.toxicity import toxicity
 
@@ -22,6 +24,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratings = _table(spark, sf_dir, "labels").select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality(_table(spark, sf_dir, "documents"), ratings)
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op4_quality_ordinal": op4_quality_ordinal,
     "op5_language_mixture": op5_language_mixture,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op8_toxicity_cnn": op8_toxicity_cnn,
