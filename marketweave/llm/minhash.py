@@ -106,7 +106,7 @@ def near_dedup(
     floor = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (bands * BAND_ROWS)) ** 0.5
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs a, b: sizes and signatures first, then the full sets."""
+        """Pairs a, b that pass sizes and signatures, with the common shingles of their full sets and whether they link."""
         n = pairs.count()
         p = _of(_of(pairs, facts, "a", "a_", n), facts, "b", "b_", n)
         same = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -115,48 +115,61 @@ def near_dedup(
         left = p.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return save(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+        link = 100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))
+        return save(both.withColumn("common", common).select("a", "b", "common", link.alias("link")))
+
+    def linked(tested: DataFrame) -> DataFrame:
+        return tested.where("link").select("a", "b")
 
     # 1. Each class against the fullest of its pivots.
     starred = placed.select(F.col("id").alias("a"), "pivot", (-F.col("pivot.minus_id")).alias("b")).where("a != b")
     stars = save(starred.groupBy("a", "b").agg(F.max("pivot").alias("pivot")))
     first = save(stars.groupBy("a").agg(F.max("pivot").alias("pivot")).select("a", (-F.col("pivot.minus_id")).alias("b")))
-    links = verified(first)
-    comps = save(components(links))
+    tested = verified(first)
+    comps = save(components(linked(tested)))
     # 2. The other pivots that are still in another component.
     known = lambda rows, col, name, n: _of(rows, comps, col, "_", n).withColumnRenamed("_component_id", name).withColumn(name, F.coalesce(name, col))
     others_ = save(stars.select("a", "b").join(first, ["a", "b"], "left_anti"))
     n = others_.count()
     second = save(known(known(others_, "a", "ca", n), "b", "cb", n).where("ca != cb").select("a", "b"))
     if not second.isEmpty():
-        links = links.unionByName(verified(second))
-        comps = save(components(links))
+        tested = tested.unionByName(verified(second))
+        comps = save(components(linked(tested)))
     # 3. Within a bucket, what is outside its largest component against the rest of the bucket.
-    inside = save(known(placed.select("id", "key", "size"), "id", "comp", placed.count()))
+    inside = save(known(placed.select("id", "key", "size", "pivot"), "id", "comp", placed.count()))
     parts = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("n_comps"), F.sum("n").alias("_s"))
     open_keys = open_keys.where("n_comps > 1").select("key", F.col("most.comp").alias("major"), "_s")
     open_rows = save(left_join_groups(inside, open_keys, "key", "_s", total, "id").where("major is not null").drop("_s"))
     # A shingle that no other open class has can't be in an intersection, so I <= own = n - lone, and a link needs
-    # (100 + percent) * I >= percent * (n + n'). Classes for which no size in the bucket allows that have no link there.
+    # (100 + percent) * I >= percent * (n + n'). Where both were tested against the pivot and have i and i' shingles in common
+    # with it, I <= min(i, i') + min(own - i, own' - i').
     shingles = sets.join(open_rows.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
     lone = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
     bound = facts.select("id", "n_shingles").join(lone, "id", "left").select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("own"))
-    open_rows = open_rows.join(bound, "id")
+    own_keys = open_rows.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    open_rows = open_rows.join(bound.join(own_keys, "id"), "id")
     least = open_rows.groupBy("key").agg(F.min("n_shingles").alias("least"), F.count(F.lit(1)).alias("_s"))
-    fits = lambda own, n: (100 + percent) * F.col(own) >= percent * n
-    alive = save(left_join_groups(open_rows, least, "key", "_s", total, "id").where(fits("own", F.col("n_shingles") + F.col("least"))))
+    fits = lambda common, n: (100 + percent) * common >= percent * n
+    alive = left_join_groups(open_rows, least, "key", "_s", total, "id").where(fits(F.col("own"), F.col("n_shingles") + F.col("least")))
+    measured = tested.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common")
+    alive = alive.withColumn("hub", -F.col("pivot.minus_id")).join(measured, ["id", "hub"], "left")
+    alive = save(alive.withColumn("common", F.when(F.col("id") == F.col("hub"), F.col("n_shingles")).otherwise(F.col("common"))))
     salts = F.ceil(F.col("size") / 256).cast("int")
-    outside = alive.where("comp != major").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"), F.col("own").alias("own_a"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    rest = alive.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), "major", F.col("n_shingles").alias("nb"), F.col("own").alias("own_b"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    able = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
-    sizes = F.col("na") + F.col("nb")
-    third = outside.join(rest, ["key", "salt"]).where(able & fits("own_a", sizes) & fits("own_b", sizes)).select("a", "b").distinct()
-    tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    third = save(third.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n_shingles", "own", "common", "keys")]
+    outside = alive.where("comp != major").select("key", *side("a"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    rest = alive.select("key", "major", *side("b"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    able = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("major")) | (F.col("id_a") < F.col("id_b")))
+    most = F.least("own_a", "own_b")
+    through = F.least("common_a", "common_b") + F.least(F.col("own_a") - F.col("common_a"), F.col("own_b") - F.col("common_b"))
+    most = F.when(F.col("common_a").isNotNull() & F.col("common_b").isNotNull(), F.least(most, through)).otherwise(most)
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # a pair comes from one of its buckets
+    third = outside.join(rest, ["key", "salt"]).where(able & fits(most, F.col("n_shingles_a") + F.col("n_shingles_b")) & once).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    done = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    third = save(third.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
     if not third.isEmpty():
-        links = links.unionByName(verified(third))
-        comps = save(components(links))
+        tested = tested.unionByName(verified(third))
+        comps = save(components(linked(tested)))
     final = members.join(comps.select(F.col("id").alias("rep"), F.col("component_id").alias("_c")), "rep", "left")
     component = F.coalesce("_c", "rep")
     return final.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
