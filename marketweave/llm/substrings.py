@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm import bytehash
-from marketweave.llm.common import drop, release, save, small_batches
+from marketweave.llm.common import release, save, small_batches
 
 KMER = 20
 #: Bytes of a slice; temporary arrays take about 100 times as much.
@@ -80,7 +81,7 @@ def _key(low: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _minimisers(length: int, parts: int):
-    """Rows for lookup by part (part, uids, upper halves of the keys), and rows of keys known to be shared inside the slice (part -1, uid, keys)."""
+    """Rows for lookup by part (part, uids, upper halves of the keys); keys known to be shared inside the slice travel along (uid, whole keys, no flags)."""
     schema = pa.schema([("part", pa.int32()), ("uids", pa.list_(pa.int64())), ("keys", pa.binary()), ("shared", pa.binary())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def _minimisers(length: int, parts: int):
                 k, t = k[by], t[by]
                 cut = _first(t)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(cut) - 1, -1, np.int32)), _lists(uid[t[cut[:-1]]], np.arange(len(cut))), _blobs(k, cut), pa.array([b""] * (len(cut) - 1), pa.binary())], schema=schema)
+                    pa.array((uid[t[cut[:-1]]] % parts).astype(np.int32)), _lists(uid[t[cut[:-1]]], np.arange(len(cut))), _blobs(k, cut), pa.array([b""] * (len(cut) - 1), pa.binary())], schema=schema)
 
     return find
 
@@ -121,7 +122,13 @@ def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """uid, keys: the minimisers of a part that more than one slice has, for documents that don't know it yet."""
+    """uid, keys: the minimisers of a part that more than one slice has, for documents that don't know it yet, and what they know."""
+    told = pc.equal(pc.binary_length(table["shared"]), 0)
+    known = table.filter(told)
+    table = table.filter(pc.invert(told))
+    known = pa.table({"uid": pa.array(_flat(known["uids"], np.int64), pa.int64()), "keys": known["keys"]})
+    if not table.num_rows:
+        return known
     uid, key, flag = _flat(table["uids"], np.int64), _flat(table["keys"], np.uint32), _flat(table["shared"], np.uint8)
     part = np.uint64(table["part"][0].as_py())
     order = np.argsort(key, kind="stable")
@@ -133,7 +140,7 @@ def _shared(table: pa.Table) -> pa.Table:
     order = np.argsort(uid, kind="stable")
     uid, key = uid[order], key[order]
     cut = _first(uid)
-    return pa.table({"uid": pa.array(uid[cut[:-1]], pa.int64()), "keys": _blobs(key, cut)})
+    return pa.concat_tables([pa.table({"uid": pa.array(uid[cut[:-1]], pa.int64()), "keys": _blobs(key, cut)}), known])
 
 
 def _rows(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -151,9 +158,23 @@ def _covers(uid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[pa.Array]:
     return [pa.array(uid[cut[:-1]], pa.int64()), _lists(lo.astype(np.int32), cut), _lists(hi.astype(np.int32), cut)]
 
 
+def _pack(*arrays: np.ndarray) -> tuple[int, bytes]:
+    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(size: int, packed: bytes, n: int, kinds: list[type]) -> list[np.ndarray]:
+    """Arrays of n items of each kind, then the bytes that are left."""
+    raw, at, out = pa.decompress(packed, size, codec="zstd", asbytes=True), 0, []
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return [*out, np.frombuffer(raw, np.uint8, offset=at)]
+
+
 def _segments(length: int, parts: int):
-    """Segments whose minimiser is shared, by part; covers of documents that repeat a smaller id's segment in the slice have part -1."""
-    schema = pa.schema([("part", pa.int32()), ("uids", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())), ("lows", pa.binary()), ("blob", pa.binary())])
+    """Segments whose minimiser is shared, packed by part; covers of documents that repeat a smaller id's segment in the slice travel along (n = 0)."""
+    schema = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("pack", pa.binary()), ("uid", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
     width = 2 * length - KMER
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,20 +195,21 @@ def _segments(length: int, parts: int):
             if done.any():
                 u, lo, hi = _covers(uid[text[done]], at[done], (at + size)[done])
                 m = len(u)
-                none = pa.array([b""] * m, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), _lists(np.asarray(u), np.arange(m + 1)), pa.array([[]] * m, pa.list_(pa.int64())), lo, hi, none, none], schema=schema)
+                zero = pa.array(np.zeros(m, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array((np.asarray(u) % parts).astype(np.int32)), zero, zero, pa.array([b""] * m, pa.binary()), u, lo, hi], schema=schema)
             if not done.all():
                 open_ = np.flatnonzero(~done)
                 p = (low[open_] % np.uint64(parts)).astype(np.int32)
                 by = np.argsort(p, kind="stable")
                 open_, p = open_[by], p[by]
                 cut = _first(p)
-                mask = np.arange(width) < size[open_, None]
-                blob = rows[open_][mask]
-                ends = np.concatenate([[0], np.cumsum(size[open_])])
+                packs = []
+                for x in np.split(open_, cut[1:-1]):
+                    packs.append(_pack(uid[text[x]], np.diff(ids[text[x]], prepend=0), at[x].astype(np.int32), low[x].astype(np.uint32), size[x].astype(np.uint8), rows[x][np.arange(width) < size[x, None]]))
+                m = len(packs)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(p[cut[:-1]]), _lists(uid[text[open_]], cut), _lists(ids[text[open_]], cut), _lists(at[open_].astype(np.int32), cut), _lists((at + size)[open_].astype(np.int32), cut),
-                    _blobs(low[open_], cut), _blobs(blob, ends[cut])], schema=schema)
+                    pa.array(p[cut[:-1]]), pa.array(np.diff(cut).astype(np.int32)), pa.array([x[0] for x in packs], pa.int32()), pa.array([x[1] for x in packs], pa.binary()),
+                    pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.list_(pa.int32()))], schema=schema)
 
     return cut_out
 
@@ -228,9 +250,15 @@ def _bucket(length: int):
     names = ["uid", "lo", "hi"]
 
     def settle(table: pa.Table) -> pa.Table:
-        uid, ids, lo, hi = (_flat(table[c], np.int64) for c in ("uids", "ids", "lo", "hi"))
-        low, blob = _flat(table["lows"], np.uint64), _flat(table["blob"], np.uint8)
-        size = hi - lo
+        told = table.filter(pc.equal(table["n"], 0)).select(names)
+        table = table.filter(pc.greater(table["n"], 0))
+        if not table.num_rows:
+            return told
+        found = [_unpack(*x, [np.int64, np.int64, np.int32, np.uint32, np.uint8]) for x in zip(table["size"].to_pylist(), table["pack"].to_pylist(), table["n"].to_pylist(), strict=True)]
+        uid, lo, low, size, blob = (np.concatenate([x[i] for x in found]) for i in (0, 2, 3, 4, 5))
+        ids = np.concatenate([np.cumsum(x[1]) for x in found])
+        lo, size = lo.astype(np.int64), size.astype(np.int64)
+        hi = lo + size
         rows = _rows(blob - np.uint8(1), np.cumsum(size) - size, size, width)
         _, lead, group = np.unique(rows.view(f"S{width}").ravel(), return_index=True, return_inverse=True)
         least = np.full(len(lead), np.iinfo(np.int64).max)
@@ -270,7 +298,8 @@ def _bucket(length: int):
             if i >= 0:
                 pick.append(order[first[i] : first[i + 1]])
                 total += int(size[lead[pick[-1]]].sum())
-        return pa.table(dict(zip(names, _covers(*(np.concatenate(x) for x in zip(*out))), strict=True)))
+        own = pa.table(dict(zip(names, _covers(*(np.concatenate(x) for x in zip(*out))), strict=True)))
+        return pa.concat_tables([told.cast(own.schema), own])
 
     return settle
 
@@ -308,19 +337,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     able = source.where(F.col("id").isNotNull() & (F.octet_length("body") >= length))
     bytes_in = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     parts = max(64, min(1 << 20, bytes_in >> 23))
-    found = save(able.select("uid", "body").mapInArrow(_minimisers(length, parts), "part int, uids array<long>, keys binary, shared binary"))
-    across = found.where("part >= 0").groupBy("part").applyInArrow(_shared, "uid long, keys binary")
-    known = across.unionByName(found.where("part < 0").select(F.col("uids")[0].alias("uid"), "keys"))
+    found = able.select("uid", "body").mapInArrow(_minimisers(length, parts), "part int, uids array<long>, keys binary, shared binary")
+    known = found.groupBy("part").applyInArrow(_shared, "uid long, keys binary")
     wanted = known.groupBy("uid").agg(F.collect_list("keys").alias("keys"))
     suspects = able.join(wanted, "uid").select("uid", "id", "body", "keys")
-    cuts = save(suspects.mapInArrow(_segments(length, parts), "part int, uids array<long>, ids array<long>, lo array<int>, hi array<int>, lows binary, blob binary"))
-    drop(found)
-    del across, known, wanted, suspects
-    release(spark)
-    covers = cuts.where("part >= 0").groupBy("part").applyInArrow(_bucket(length), "uid long, lo array<int>, hi array<int>")
-    covers = covers.unionByName(cuts.where("part < 0").select(F.col("uids")[0].alias("uid"), "lo", "hi"))
+    cuts = suspects.mapInArrow(_segments(length, parts), "part int, n int, size int, pack binary, uid long, lo array<int>, hi array<int>")
+    covers = cuts.groupBy("part").applyInArrow(_bucket(length), "uid long, lo array<int>, hi array<int>")
     covers = save(covers.groupBy("uid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
-    drop(cuts)
+    del found, known, wanted, suspects, cuts
     release(spark)
     hit = able.join(covers, "uid").select("uid", "id", "body", "lo", "hi")
     removed = hit.mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
