@@ -71,11 +71,10 @@ def train(rows: list[tuple], grades: int, epochs: int = 12, rate: float = 0.1, l
     y = np.array([r[1] for r in rows], int)
     if not rows or y.min() == y.max():
         return None
-    offsets = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
-    text, feature, value = features(np.frombuffer(b"".join(r[0] for r in rows), np.uint8), offsets)
-    order = np.argsort(text, kind="stable")
-    text, feature, value = text[order], feature[order], value[order]
-    first = np.searchsorted(text, np.arange(len(rows) + 1))
+    found = [features(np.frombuffer(r[0], np.uint8), np.array([0, len(r[0])]))[1:] for r in rows]
+    first = np.concatenate([[0], np.cumsum([len(x) for x, _ in found])])
+    feature, value = np.concatenate([x.astype(np.int32) for x, _ in found]), np.concatenate([x.astype(np.float32) for _, x in found])
+    del found
     share = np.array([(y >= k).mean() for k in range(1, grades)]).clip(0.01, 0.99)
     w, gaps = np.zeros(FEATURES), np.diff(-np.log(share / (1 - share)), prepend=0.0)
     base, gaps = gaps[0], np.log(np.maximum(gaps[1:], 0.05))
