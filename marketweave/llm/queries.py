@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketweave.llm.embeddings import embedding_dedup
 from marketweave.llm.exact import exact_dedup
 from marketweave.llm.langmix import language_id
 from marketweave.llm.minhash import near_dedup
@@ -24,6 +25,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratings = _table(spark, sf_dir, "labels").select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
     return quality(_table(spark, sf_dir, "documents"), ratings)
@@ -51,6 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op3_nn_descent": op3_nn_descent,
     "op4_quality_ordinal": op4_quality_ordinal,
     "op5_language_mixture": op5_language_mixture,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
@@ -76,6 +82,15 @@ SQL: dict[str, str] = {
         c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op3_nn_descent": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+        e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id != b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
     "op6_suffix_array_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS p, h FROM d),
