@@ -15,6 +15,7 @@ from marketweave.llm.mixing import pareto_mix
 from marketweave.llm.quality import grade, quality
 from marketweave.llm.substrings import remove_repeats
 from marketweave.llm.toxicity import toxicity
+from marketweave.llm.wrappers import extract_html
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=50).drop("kept")
 
 
+def op7_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(_table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_ordinal": op4_quality_ordinal,
     "op5_language_mixture": op5_language_mixture,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_html_wrappers": op7_html_wrappers,
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
