@@ -12,6 +12,7 @@ from marketweave.llm.exact import exact_dedup
 from marketweave.llm.langmix import language_id
 from marketweave.llm.minhash import near_dedup
 from marketweave.llm.mixing import pareto_mix
+from marketweave.llm.pieces import encode, load_model
 from marketweave.llm.quality import grade, quality
 from marketweave.llm.substrings import remove_repeats
 from marketweave.llm.toxicity import toxicity
@@ -26,6 +27,16 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), load_model(tokenizer_path()))
+
+
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -61,6 +72,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_nn_descent": op3_nn_descent,
     "op4_quality_ordinal": op4_quality_ordinal,
     "op5_language_mixture": op5_language_mixture,
