@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm import bytehash
-from marketweave.llm.common import release, save, small_batches
+from marketweave.llm.common import small_batches
 
 KMER = 20
 #: Bytes of a slice; temporary arrays take about 100 times as much.
@@ -307,15 +307,20 @@ def _bucket(length: int):
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for uid, id_, body, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        bodies, uncovered = batch.column(2).to_pylist(), batch.column(3).is_null().to_pylist()
+        for i, body in enumerate(bodies):
+            if uncovered[i]:
+                found.append((len(body), 0, 0, hashlib.sha256(body).hexdigest(), body))
+                continue
             data = np.frombuffer(body, np.uint8)
             edge = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edge, np.concatenate([np.asarray(x, np.int64) for x in lo]), 1)
-            np.add.at(edge, np.concatenate([np.asarray(x, np.int64) for x in hi]), -1)
+            np.add.at(edge, np.asarray(batch.column(3)[i].values.flatten()), 1)
+            np.add.at(edge, np.asarray(batch.column(4)[i].values.flatten()), -1)
             gone = np.cumsum(edge[:-1]) > 0
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            found.append((id_, len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest(), data[~gone].tobytes()))
-        yield pa.RecordBatch.from_pylist([dict(zip(_OUT.names, row, strict=True)) for row in found], schema=_OUT)
+            rest = data[~gone].tobytes()
+            found.append((len(data), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest))
+        yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[j] for x in found], _OUT.field(j + 1).type) for j in range(5))], schema=_OUT)
 
 
 _OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -340,14 +345,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = able.select("uid", "body").mapInArrow(_minimisers(length, parts), "part int, uids array<long>, keys binary, shared binary")
     known = found.groupBy("part").applyInArrow(_shared, "uid long, keys binary")
     wanted = known.groupBy("uid").agg(F.collect_list("keys").alias("keys"))
-    suspects = able.join(wanted, "uid").select("uid", "id", "body", "keys")
+    # Texts are dealt by uid once: the exchange is the same in this join and in the last one, and Spark reuses it.
+    suspects = source.join(wanted, "uid").select("uid", "id", "body", "keys")
     cuts = suspects.mapInArrow(_segments(length, parts), "part int, n int, size int, pack binary, uid long, lo array<int>, hi array<int>")
     covers = cuts.groupBy("part").applyInArrow(_bucket(length), "uid long, lo array<int>, hi array<int>")
-    covers = save(covers.groupBy("uid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
-    del found, known, wanted, suspects, cuts
-    release(spark)
-    hit = able.join(covers, "uid").select("uid", "id", "body", "lo", "hi")
-    removed = hit.mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    sums = source.select("uid", "id", F.octet_length("body").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), F.col("body").alias("kept"))
-    whole = sums.join(covers.select("uid"), "uid", "left_anti").drop("uid")
-    return whole.unionByName(removed).withColumnRenamed("id", id_col)
+    covers = covers.groupBy("uid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    found = source.join(covers, "uid", "left").select("uid", "id", "body", "lo", "hi")
+    out = found.mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.withColumnRenamed("id", id_col)
