@@ -51,7 +51,7 @@ def pareto_mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", importance_col: str | None = None,
     weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17,
 ) -> DataFrame:
-    """id, size, source_size, target, taken and copies of every row.
+    """id, size, source_size, target, taken, copies and row_key (a hash of id, source and text) of every row.
 
     Size counts words (null text: 0); rows without words are never taken. A null source is a source of its own. `importance_col`
     (positive numbers; null or other values count as 1) tilts a source's inclusion odds: p/(1-p) is multiplied by it before ranking.
@@ -60,7 +60,7 @@ def pareto_mix(
     """
     odds = F.lit(1.0) if importance_col is None else F.when(F.col(importance_col) > 0, F.col(importance_col).cast("double")).otherwise(F.lit(1.0))
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    rows = save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(key, seed).alias("u"), odds.alias("odds")))
+    rows = save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(key, seed).alias("u"), odds.alias("odds"), F.xxhash64(id_col, source_col, text_col).alias("row_key")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.when(F.abs(copies - F.round(copies)) < 1e-12, F.round(copies)).otherwise(copies)
@@ -96,7 +96,7 @@ def pareto_mix(
     out = left_join_groups(rows.drop("n_rows"), closing, "source", "n_rows", rows.count(), "u")
     one = F.coalesce(F.struct("q", "id") == F.struct(F.col("closing.q"), F.col("closing.id")), F.lit(False)) & F.col("id").isNotNull() & (F.col("p") > 0) & (F.col("size") > 0)
     n = (F.col("certain") + (F.col("chosen") | one).cast("int")).cast("int")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * n).alias("taken"), F.when(F.col("size") > 0, n).otherwise(F.lit(0)).alias("copies"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * n).alias("taken"), F.when(F.col("size") > 0, n).otherwise(F.lit(0)).alias("copies"), "row_key")
 
 
 def _cut(rows: DataFrame, keys: list[str], bin_col: str, budget: str) -> DataFrame:

@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pareto_mix(_table(spark, sf_dir, "documents")).drop("copies")
+    return pareto_mix(_table(spark, sf_dir, "documents")).drop("copies", "row_key")
 
 
 def tokenizer_path() -> str:
