@@ -1,7 +1,73 @@
-"""Corpus pipeline: toxicity, exact dedup, near-dedup, mixing, SentencePiece."""
+"""A training corpus from raw documents: toxic documents go, then exact and near copies, then sources are mixed and encoded.
 
+Each stage reads all that the one before kept; stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketweave.llm.common import lower_ascii, save
+from marketweave.llm.exact import exact_dedup
+from marketweave.llm.minhash import near_dedup
+from marketweave.llm.mixing import pareto_mix
+from marketweave.llm.pieces import encode, load_model
+from marketweave.llm.queries import tokenizer_path
+from marketweave.llm.toxicity import toxicity
+
+#: The toxicity network is trained and a text's pieces come from a tokenizer's merges: SQL has neither.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is under the threshold, rows with a null id too."""
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=docs.columns)
+    return scored.where("predicted = 0").select("row.*")
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each text (A-Z in lower case): the one with the largest id; of rows that repeat id and text, one."""
+    verdicts = save(exact_dedup(docs).select(F.col("doc_id").alias("_id"), "kept", F.unhex("text_sha256").alias("_sha")))
+    sha = F.unhex(F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
+    mine = docs.withColumn("_own", sha)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
+    out = mine.join(verdicts.where("not kept").select("_id", "_sha").distinct(), same, "left_anti")
+    if not verdicts.where("kept").groupBy("_id", "_sha").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_own"])
+    return out.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (five-word shingles, Jaccard similarity of at least 0.8)."""
+    gone = save(near_dedup(docs, width=5, percent=80).where("not kept").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; a document taken twice is two rows."""
+    taken = save(pareto_mix(docs).where("copies > 0").groupBy("row_key").agg(F.max("copies").alias("_copies")))
+    mine = docs.withColumn("row_key", F.xxhash64("doc_id", "source", "text")).join(taken, "row_key")
+    return mine.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids and round_trip of every row of the mix."""
+    return encode(docs, load_model(tokenizer_path()))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("minhash near-dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
