@@ -26,6 +26,8 @@ from marketweave.llm.common import release, save, small_batches
 #: Units whose ids are sent to every task, at most; about 25 bytes each.
 HOT = 1 << 20
 SPACE = "▁"
+#: Units in one part of the lattice.
+GROUP = 20_000
 #: Units of up to so many characters fold in a bit mask; longer ones in a Python heap.
 MASK = 60
 _PAIRS = 1 << 22
@@ -164,13 +166,19 @@ def _distinct(pairs, prefix: bool, seed: int):
     return find
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int, on: str = "unit") -> DataFrame:
-    """words: h, unit -> h, length, edges: the pieces that are substrings of the unit, as (rank, start, len, id, score)."""
+def lattice(words: DataFrame, table: DataFrame, longest: int, on: str = "unit", scores: bool = True) -> DataFrame:
+    """words: h, unit -> h, length, edges: the pieces that are substrings of the unit, as (rank, start, len, id) and their score if asked for.
+
+    Units are dealt first, GROUP to a part, and exploded and grouped where they are: no edge is shuffled, and a part's groups fit in memory.
+    """
+    spark = words.sparkSession
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(8 * GROUP))
+    words = words.repartition(max(1, -(-words.count() // GROUP)), "h")
     at = words.select("h", on, F.length(on).alias("length")).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("length") - 1)))
     at = at.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("length") - F.col("start")))))
     sub = at.withColumn("piece", F.substring(on, F.col("start") + 1, F.col("len")))
     edges = sub.join(F.broadcast(table), "piece")
-    return edges.groupBy("h").agg(F.first("length").alias("length"), F.collect_list(F.struct("rank", "start", "len", "id", "score")).alias("edges"))
+    return edges.groupBy("h").agg(F.first("length").alias("length"), F.collect_list(F.struct("rank", "start", "len", "id", *(["score"] if scores else []))).alias("edges"))
 
 
 def _bit(i: Column) -> Column:
@@ -259,7 +267,7 @@ def unit_ids(words: DataFrame, model: PieceModel) -> DataFrame:
     spark = words.sparkSession
     table = model.table(spark)
     short = words.where(F.length("unit") <= MASK) if model.kind == "bpe" else words
-    lat = lattice(short, table, model.longest)
+    lat = lattice(short, table, model.longest, scores=model.kind != "bpe")
     folded = fold_bpe(lat) if model.kind == "bpe" else fold_viterbi(lat, min((s for _, _, s in model.pieces), default=0.0) - 10.0)
     kept = F.array_sort(F.transform("kept", lambda e: F.struct(e["start"].alias("start"), e["len"].alias("len"), e["id"].alias("id"))))
     got = short.select("h", "unit", "n").join(folded.select("h", kept.alias("kept")), "h", "left")
