@@ -1,0 +1 @@
+"""Functions of the market engine."""

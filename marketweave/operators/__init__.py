@@ -1,0 +1 @@
+"""Operators of the market engine."""

@@ -1,0 +1 @@
+"""Plans of the market engine."""

@@ -1,0 +1 @@
+"""Sources of the market engine."""

@@ -1,0 +1 @@
+"""Nothing here: the engine is a batch pipeline without event-time operators."""
