@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketweave.llm import bytehash
-from marketweave.llm.common import release, save, small_batches
+from marketweave.llm.common import drop, release, save, small_batches
 
 #: Units whose ids are sent to every task, at most; about 25 bytes each.
 HOT = 1 << 20
@@ -47,13 +47,21 @@ class PieceModel:
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.pieces), default=1)
 
-    def pairs(self) -> np.ndarray:
-        """A bit for each hashed pair of characters that stand side by side in some piece."""
-        seen = np.zeros(_PAIRS, bool)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which characters may stand side by side in a unit: for two bytes (0 never, 1 in some piece, 2 look at the characters),
+        and a bit for each hashed pair of characters. A space counts as the mark it becomes."""
+        wide = np.zeros(_PAIRS, bool)
+        quick = np.zeros((256, 256), np.uint8)
+        quick[128:, :] = 2  # after the end of a longer character
+        quick[:, 192:] = 2  # before one
+        quick[:, 128:192] = 1  # inside one
         for text, _, _ in self.pieces:
-            c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-            seen[_pair(c[:-1], c[1:])] = True
-        return seen
+            c = np.frombuffer(text.replace(SPACE, " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
+            wide[_pair(c[:-1], c[1:])] = True
+            for x, y in zip(c[:-1].tolist(), c[1:].tolist(), strict=True):
+                if x < 128 and y < 128:
+                    quick[x, y] = 1
+        return quick.ravel(), wide
 
     def table(self, spark: SparkSession) -> DataFrame:
         """piece, id, rank (0 is best), score."""
@@ -101,45 +109,47 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (bytehash.mix(a << np.uint64(32) | b) % np.uint64(_PAIRS)).astype(np.int64)
 
 
-def units(data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray, prefix: bool, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Marked bytes of all texts, start and end of every unit in them, their hashes, and the index at which each text's units begin."""
-    mark = np.frombuffer(SPACE.encode(), np.uint8)
-    sizes = np.diff(offsets)
-    lead = (sizes > 0) & prefix
-    # Spaces become three-byte marks, and a text gets one before it.
-    is_space = data == 32
-    width = np.where(is_space, 3, 1)
-    shift = np.repeat(3 * np.cumsum(lead), sizes)
-    to = np.cumsum(width) - width + shift
-    total = int(width.sum() + 3 * lead.sum())
-    out = np.zeros(total, np.uint8)
-    out[to[~is_space]] = data[~is_space]
-    for k in range(3):
-        out[to[is_space] + k] = mark[k]
-    ends = np.cumsum(np.concatenate([[0], np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=width, minlength=len(sizes)) + 3 * lead])).astype(np.int64)
-    for k in range(3):
-        out[ends[:-1][lead] + k] = mark[k]
-    # Code points, from lead bytes.
-    first = np.flatnonzero((out & 0xC0) != 0x80)
-    b = out[first].astype(np.uint64)
-    pad = np.concatenate([out, np.zeros(4, np.uint8)]).astype(np.uint64) & np.uint64(0x3F)
-    c1, c2, c3 = pad[first + 1], pad[first + 2], pad[first + 3]
+def _code(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the characters whose first bytes are at `at`; data has four bytes to spare."""
+    b = data[at].astype(np.uint64)
+    c1, c2, c3 = (data[at + k].astype(np.uint64) & np.uint64(0x3F) for k in (1, 2, 3))
     six = np.uint64(6)
-    code = np.select([b < 0x80, b < 0xE0, b < 0xF0], [b, (b & np.uint64(0x1F)) << six | c1, ((b & np.uint64(0x0F)) << six | c1) << six | c2], (((b & np.uint64(7)) << six | c1) << six | c2) << six | c3)
-    cut = np.ones(len(first), bool)
-    if len(first) > 1:
-        cut[1:] = ~pairs[_pair(code[:-1], code[1:])]
-    cut[np.searchsorted(first, ends[:-1][sizes > 0])] = True
-    start = first[cut]
-    end = np.append(start[1:], total)
-    p, q = bytehash._power_tables(total + 1)
-    run = np.zeros(total + 1, np.uint64)
-    np.cumsum(bytehash._TABLE[out] * p[:total], out=run[1:])
+    two, three = (b & np.uint64(0x1F)) << six | c1, ((b & np.uint64(0x0F)) << six | c1) << six | c2
+    code = np.where(b < 0x80, b, np.where(b < 0xE0, two, np.where(b < 0xF0, three, (((b & np.uint64(7)) << six | c1) << six | c2) << six | c3)))
+    return np.where(code == ord(SPACE), np.uint64(32), code)
+
+
+def units(data: np.ndarray, offsets: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every unit, their hashes, and the index at which each text's units begin. Texts come with the space put before them."""
+    quick, wide = pairs
+    n = len(data)
+    if not n:
+        e = np.zeros(0, np.int64)
+        return e, e, e, np.zeros(len(offsets), np.int64)
+    state = quick[data[:-1].astype(np.uint16) << 8 | data[1:]]
+    cut = np.ones(n, bool)
+    cut[1:] = state == 0
+    slow = np.flatnonzero(state == 2) + 1
+    slow = slow[(data[slow] & 0xC0) != 0x80]
+    if len(slow):
+        spare = np.concatenate([data, np.zeros(4, np.uint8)])
+        back = slow - 1
+        for _ in range(3):
+            back = np.where((data[back] & 0xC0) == 0x80, np.maximum(back - 1, 0), back)
+        cut[slow] = ~wide[_pair(_code(spare, back), _code(spare, slow))]
+    inside = np.flatnonzero((data & 0xC0) == 0x80)
+    cut[inside] = False
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    start = np.flatnonzero(cut)
+    end = np.append(start[1:], n)
+    p, q = bytehash._power_tables(n + 1)
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum(bytehash._TABLE[data] * p[:n], out=run[1:])
     h = bytehash.mix(bytehash.mix((run[end] - run[start]) * q[start]) + np.uint64(seed)).view(np.int64)
-    return out, start, end, h, np.searchsorted(start, ends)
+    return start, end, h, np.searchsorted(start, offsets)
 
 
-def _distinct(pairs, prefix: bool, seed: int):
+def _distinct(pairs, seed: int):
     schema = pa.schema([("h", pa.int64()), ("unit", pa.string()), ("n", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,14 +161,15 @@ def _distinct(pairs, prefix: bool, seed: int):
             return rows
 
         for part in bytehash.texts(batches, 1 << 20):
-            out, start, end, h, _ = units(*bytehash.utf8(part.column(0)), pairs.value, prefix, seed)
+            data, offsets = bytehash.utf8(part.column(0))
+            start, end, h, _ = units(data, offsets, pairs.value, seed)
             u, at, n = np.unique(h, return_index=True, return_counts=True)
-            raw = out.tobytes()
+            raw = data.tobytes()
             for k, s, e, c in zip(u.tolist(), start[at].tolist(), end[at].tolist(), n.tolist(), strict=True):
                 if k in held:
                     held[k][1] += c
                 else:
-                    held[k] = [raw[s:e].decode("utf-8", "replace"), c]
+                    held[k] = [raw[s:e].decode("utf-8", "replace").replace(" ", SPACE), c]
             if len(held) > 300_000:
                 yield flush()
         yield flush()
@@ -176,8 +187,8 @@ def lattice(words: DataFrame, table: DataFrame, longest: int, on: str = "unit",
     words = words.repartition(max(1, -(-words.count() // GROUP)), "h")
     at = words.select("h", on, F.length(on).alias("length")).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("length") - 1)))
     at = at.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("length") - F.col("start")))))
-    sub = at.withColumn("piece", F.substring(on, F.col("start") + 1, F.col("len")))
-    edges = sub.join(F.broadcast(table), "piece")
+    sub = at.withColumn("sub", F.substring(on, F.col("start") + 1, F.col("len"))).withColumn("key", F.xxhash64("sub"))
+    edges = sub.join(F.broadcast(table.withColumn("key", F.xxhash64("piece"))), "key").where("sub = piece")
     return edges.groupBy("h").agg(F.first("length").alias("length"), F.collect_list(F.struct("rank", "start", "len", "id", *(["score"] if scores else []))).alias("edges"))
 
 
@@ -201,12 +212,14 @@ def fold_bpe(lat: DataFrame) -> DataFrame:
         return F.when(ready, inside(mask, e)).otherwise(F.lit(0).cast("long"))
 
     def step(mask: Column, _: Column) -> Column:
-        first = F.aggregate("merges", F.lit(0).cast("long"), lambda found, e: F.when(found != 0, found).otherwise(one(mask, e)))
-        return mask.bitwiseXOR(first)
+        found = lambda bit, e: F.when(bit != 0, bit).otherwise(one(mask, e))
+        after = lambda bit: F.when(bit == 0, F.bitwise_not(mask)).otherwise(mask.bitwiseXOR(bit))
+        # A mask without a merge is complemented, which makes it negative: nothing more is looked for.
+        return F.when(mask < 0, mask).otherwise(F.aggregate("merges", F.lit(0).cast("long"), found, after))
 
     whole = _bit(F.col("length") + 1) - F.lit(1).cast("long")
     steps = F.when((F.size("merges") > 0) & (F.col("length") > 1), F.sequence(F.lit(1), F.least(F.col("length") - 1, F.size("merges")))).otherwise(F.array().cast("array<int>"))
-    lat = lat.withColumn("mask", F.aggregate(steps, whole, step))
+    lat = lat.withColumn("mask", F.aggregate(steps, whole, step)).withColumn("mask", F.when(F.col("mask") < 0, F.bitwise_not("mask")).otherwise(F.col("mask")))
     last = lambda e: (F.col("mask").bitwiseAND(edge(e)["ends"]) == edge(e)["ends"]) & (F.col("mask").bitwiseAND(edge(e)["inner"]) == 0)
     return lat.select("h", F.filter("edges", last).alias("kept"))
 
@@ -325,6 +338,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([np.asarray(b.column(0)).tobytes()], pa.binary()), pa.array([np.asarray(pc.list_value_length(ids)).astype(np.int32).tobytes()], pa.binary()), pa.array([np.asarray(ids.flatten()).astype(np.int32).tobytes()], pa.binary())], names=["h", "n", "ids"])
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        packed = [len(x).to_bytes(4, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["uid", "id", "body"])
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        full = [pa.decompress(x[4:], int.from_bytes(x[:4], "little"), codec="zstd", asbytes=True) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.binary()), b.column(2)], names=["id", "body", "own"])
+
+
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """id, n_pieces, ids array<int> and round_trip (decoding gives the text again) of every row.
 
@@ -333,15 +358,16 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.xxhash64(F.col(text_col)).alias("uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+    source = docs.select(F.xxhash64(F.col(text_col)).alias("uid"), F.col(id_col).alias("id"), F.concat(F.when(F.length(F.col(text_col)) > 0, " " if model.prefix else "").otherwise(""), F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("body"))
     pairs = spark.sparkContext.broadcast(model.pairs())
     prefix = model.prefix
     for seed in range(5):  # another seed in the unlikely case that two units share a hash
-        found = source.select("body").mapInArrow(_distinct(pairs, prefix, seed), "h long, unit string, n long")
+        found = source.select("body").mapInArrow(_distinct(pairs, seed), "h long, unit string, n long")
         words = save(found.groupBy("h", "unit").agg(F.sum("n").alias("n")), compression="zstd")
         if words.select("h").distinct().count() == words.count():
             break
     coded = save(unit_ids(words, model), compression="zstd")
+    drop(words)
     release(spark)
     counts = coded.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("level")).collect()  # at most 4 * 63 rows
     level, room = 1000, hot
@@ -364,7 +390,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value[0]
         for part in bytehash.texts(batches, 1 << 20):
-            _, _, _, h, first = units(*bytehash.utf8(part.column(1)), pairs.value, prefix, seed)
+            _, _, h, first = units(*bytehash.utf8(part.column(1)), pairs.value, seed)
             at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
             missing = keys[at] != h if len(keys) else np.ones(len(h), bool)
             lists = [np.unique(h[a:b][missing[a:b]]) for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -373,15 +399,16 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
 
     asked = source.select("uid", "body").mapInArrow(rare, "uid long, hs array<long>").where("size(hs) > 0").dropDuplicates(["uid"]).select("uid", F.explode("hs").alias("h"))
     told = asked.join(coded.where(~is_hot).select("h", "ids"), "h").groupBy("uid").agg(F.collect_list(F.struct("h", "ids")).alias("own"))
-    rows = source.join(told, "uid", "left").select("id", "body", "own")
+    # Texts travel packed: they are most of what is shuffled.
+    rows = source.mapInArrow(_squeeze, f"uid long, id {dict(source.dtypes)['id']}, body binary").join(told, "uid", "left").select("id", "body", "own")
     decoder = spark.sparkContext.broadcast(model.decoder())
     schema = pa.schema([("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, begin, size, flat = shared.value
-        for part in bytehash.texts(batches, 1 << 20):
+        for part in bytehash.texts(_expand(batches), 1 << 20):
             data, offsets = bytehash.utf8(part.column(1))
-            _, _, _, h, first = units(data, offsets, pairs.value, prefix, seed)
+            _, _, h, first = units(data, offsets, pairs.value, seed)
             own = part.column(2).flatten()
             own_h, own_ids = np.asarray(own.field(0)), own.field(1)
             own_flat, own_first = np.asarray(own_ids.flatten()), np.asarray(own_ids.offsets).astype(np.int64)
@@ -399,7 +426,8 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             ends = np.concatenate([[0], np.cumsum(count)])[first]
             back, back_first = decoded(ids, ends, *decoder.value, prefix)
             raw, text = data.tobytes(), back.tobytes()
-            same = [raw[a:b] == text[c:d] for a, b, c, d in zip(offsets[:-1], offsets[1:], back_first[:-1], back_first[1:], strict=True)]
+            lead = int(prefix)
+            same = [raw[a + lead : b] == text[c:d] for a, b, c, d in zip(offsets[:-1], offsets[1:], back_first[:-1], back_first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array(same)], names=["id", *schema.names])
 
     kind = dict(source.dtypes)["id"]
