@@ -31,7 +31,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     """source, source_size -> target: sources by code point, null last, weigh `weights` repeating and share `share` of all words.
 
     No target is above `cap` times its source's size; the excess goes to the others by weight. This is the closed form: with
-    sources by cap/weight, the level is the first at which the next source isn't capped. One row per source passes one window.
+    sources by cap/weight, the level is the first one that leaves its own source uncapped, and levels fall from there. One row per source passes one window.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     w = w.withColumn("level", left / F.sum("w").over(after))
-    level = F.coalesce(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(whole)["level"], F.lit(float("inf")))
+    level = F.coalesce(F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole), F.lit(float("inf")))
     return w.withColumn("target", F.least("cap", F.col("w") * level)).drop("w", "cap", "ratio", "level")
 
 

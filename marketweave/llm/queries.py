@@ -132,7 +132,7 @@ SQL: dict[str, str] = {
         w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
         o AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                      / sum(w) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-        l AS (SELECT arg_min(level, cap / w) AS level FROM o WHERE level <= cap / w),
+        l AS (SELECT max(level) AS level FROM o WHERE level <= cap / w),
         t AS (SELECT source, source_size, least(cap, w * (SELECT level FROM l)) AS target FROM w),
         e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e0 FROM t),
         e2 AS (SELECT *, CASE WHEN abs(e0 - round(e0)) < 1e-12 THEN round(e0) ELSE e0 END AS e FROM e),
