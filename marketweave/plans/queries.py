@@ -59,6 +59,11 @@ def scored(spark: SparkSession, d: str, split: tuple[str, str] | None = TEST) ->
     return MODEL.with_score(panel(spark, d, split), INPUTS).withColumn("score", r("score", 6))
 
 
+def scored_once(spark: SparkSession, d: str) -> DataFrame:
+    """The scored test window for queries that read it more than once."""
+    return scored(spark, d).select("ticker", "date", "score", "R30", "R63", "Y_target", "pre_agm").persist()
+
+
 def _sql_total(parts: list[str]) -> str:
     return "(" + " + ".join(parts) + ")"
 
@@ -370,7 +375,7 @@ def _(s, d):
 
 @query("m1_pooled_ic", with_scored() + " " + sql_ic("scored", "score", "R30"))
 def _(s, d):
-    return M.rank_ic(scored(s, d)).select("n", r("ic").alias("ic"))
+    return M.rank_ic(scored_once(s, d)).select("n", r("ic").alias("ic"))
 
 
 @query("a5_ic_per_asset", with_scored() + " " + sql_ic("scored", "score", "R30", "ticker"))
@@ -384,12 +389,12 @@ _MONTHLY = _FIRST + ", wide AS (SELECT date FROM fd GROUP BY date HAVING count(D
 
 @query("a7_monthly_ic", with_scored() + _MONTHLY + " SELECT date, ic FROM ic WHERE ic IS NOT NULL")
 def _(s, d):
-    return M.monthly_rank_ic(scored(s, d)).select("date", r("ic").alias("ic"))
+    return M.monthly_rank_ic(scored_once(s, d)).select("date", r("ic").alias("ic"))
 
 
 @query("a7_monthly_ic_mean", with_scored() + _MONTHLY + f" SELECT count(ic) AS n, {q('avg(ic)', 5)} AS mean, {q('stddev_samp(ic) / sqrt(count(ic))', 5)} AS se FROM ic")
 def _(s, d):
-    return M.mean_and_error(M.monthly_rank_ic(scored(s, d)).select(r("ic").alias("ic"))).select("n", r("mean", 5).alias("mean"), r("se", 5).alias("se"))
+    return M.mean_and_error(M.monthly_rank_ic(scored_once(s, d)).select(r("ic").alias("ic"))).select("n", r("mean", 5).alias("mean"), r("se", 5).alias("se"))
 
 
 for _agg, _fn in (("mean", "avg(score)"), ("median", "median(score)"), ("last", "arg_max(score, date)")):
@@ -411,12 +416,12 @@ _MARKS = """, mk AS (SELECT ticker, date_trunc('quarter', date)::DATE AS period,
 
 @query("j7_mark_forward", with_scored() + _MARKS + f" SELECT ticker, period, {q('mark', 9)} AS mark, {q('fwd', 9)} AS fwd FROM mf")
 def _(s, d):
-    return M.mark_forward(scored(s, d), "quarter").select("ticker", "period", r("mark", 9).alias("mark"), r("fwd", 9).alias("fwd"))
+    return M.mark_forward(scored_once(s, d), "quarter").select("ticker", "period", r("mark", 9).alias("mark"), r("fwd", 9).alias("fwd"))
 
 
 @query("a9_mark_ic", with_scored() + _MARKS + ", wide AS (SELECT period FROM mf GROUP BY period HAVING count(DISTINCT ticker) >= 3), ic AS (" + sql_ic("(SELECT * FROM mf WHERE period IN (FROM wide))", "mark", "fwd", "period") + ") SELECT period, ic FROM ic WHERE ic IS NOT NULL")
 def _(s, d):
-    return M.mark_rank_ic(scored(s, d), "quarter").select("period", r("ic").alias("ic"))
+    return M.mark_rank_ic(scored_once(s, d), "quarter").select("period", r("ic").alias("ic"))
 
 
 _TOP = _FIRST + """, pk AS (SELECT date, ticker, R30 FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS k FROM fd WHERE R30 IS NOT NULL AND score IS NOT NULL) WHERE k <= 3),
@@ -425,7 +430,7 @@ _TOP = _FIRST + """, pk AS (SELECT date, ticker, R30 FROM (SELECT *, row_number(
 
 @query("t2_topn", with_scored() + _TOP + f" SELECT date, {q('portfolio_return')} AS portfolio_return, n_picks, picks FROM pf")
 def _(s, d):
-    return M.top_n_portfolio(scored(s, d)).select("date", r("portfolio_return").alias("portfolio_return"), "n_picks", "picks")
+    return M.top_n_portfolio(scored_once(s, d)).select("date", r("portfolio_return").alias("portfolio_return"), "n_picks", "picks")
 
 
 @query("a10_net_sharpe", with_scored() + _TOP + f""", h AS (SELECT *, string_split(picks, ',') AS a, string_split(lag(picks) OVER (ORDER BY date), ',') AS b FROM pf),
@@ -433,7 +438,7 @@ def _(s, d):
     st AS (SELECT coalesce(avg(c), 0) / 2 * 12 AS t, avg(portfolio_return) AS m, stddev_samp(portfolio_return) AS s FROM ch)
     SELECT cost::DOUBLE AS cost_bps, {q('t')} AS turnover_annual, CASE WHEN s > 0 THEN {q('(m - t / 12 * cost / 1e4::DOUBLE) / s * sqrt(12.0)', 5)} END AS sharpe FROM st, unnest([15, 25, 35, 50]) u(cost)""")
 def _(s, d):
-    return M.net_sharpe(M.top_n_portfolio(scored(s, d)), [15, 25, 35, 50]).select("cost_bps", r("turnover_annual").alias("turnover_annual"), r("sharpe", 5).alias("sharpe"))
+    return M.net_sharpe(M.top_n_portfolio(scored_once(s, d)), [15, 25, 35, 50]).select("cost_bps", r("turnover_annual").alias("turnover_annual"), r("sharpe", 5).alias("sharpe"))
 
 
 _FIT = "count(*) AS n, " + ", ".join(f"{q(e, 5)} AS {n}" for n, e in (("rmse", "sqrt(avg((score - Y_target) * (score - Y_target)))"), ("mae", "avg(abs(score - Y_target))"), ("dir_acc", "avg((sign(score - 50) = sign(Y_target - 50))::INT)")))
@@ -624,7 +629,7 @@ def _(s, d):
 
 @query("m2_bootstrap_ci")
 def _(s, d):
-    ic = [row["ic"] for row in M.monthly_rank_ic(scored(s, d)).orderBy("date").collect()]  # one row per month
+    ic = [row["ic"] for row in M.monthly_rank_ic(scored_once(s, d)).orderBy("date").collect()]  # one row per month
     mean, low, high = (float(v) for v in X.block_bootstrap_ci(ic, 2000, 6))
     return s.createDataFrame([(len(ic), mean, low, high)], "n int, mean double, low double, high double")
 
@@ -636,7 +641,7 @@ def _(s, d):
 
 @query("m4_sharpe_ci")
 def _(s, d):
-    return X.interval(X.sharpe_bootstrap(M.top_n_portfolio(scored(s, d)).cache(), 15.0, 500), "sharpe")
+    return X.interval(X.sharpe_bootstrap(M.top_n_portfolio(scored_once(s, d)).cache(), 15.0, 500), "sharpe")
 
 
 @query("m6_svr_r2")
