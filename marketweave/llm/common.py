@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +41,10 @@ def save(df: DataFrame, **options) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced, as its periodic collection does."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first collection finds weakly reachable, the second frees
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def drop(*frames: DataFrame) -> None:

@@ -160,7 +160,7 @@ def _distinct(pairs, seed: int):
             held.clear()
             return rows
 
-        for part in bytehash.texts(batches, 1 << 20):
+        for part in bytehash.texts(batches, 2 << 20):
             data, offsets = bytehash.utf8(part.column(0))
             start, end, h, _ = units(data, offsets, pairs.value, seed)
             u, at, n = np.unique(h, return_index=True, return_counts=True)
@@ -178,7 +178,8 @@ def _distinct(pairs, seed: int):
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int, on: str = "unit", scores: bool = True) -> DataFrame:
-    """words: h, unit -> h, length, edges: the pieces that are substrings of the unit, as (rank, start, len, id) and their score if asked for.
+    """words: h, unit -> h, length, edges: the pieces that are substrings of the unit, as (rank, start, len, id) with their score or, without
+    scores, bit masks of their ends and of what lies between.
 
     Units are dealt first, GROUP to a part, and exploded and grouped where they are: no edge is shuffled, and a part's groups fit in memory.
     """
@@ -189,7 +190,9 @@ def lattice(words: DataFrame, table: DataFrame, longest: int, on: str = "unit",
     at = at.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("length") - F.col("start")))))
     sub = at.withColumn("sub", F.substring(on, F.col("start") + 1, F.col("len"))).withColumn("key", F.xxhash64("sub"))
     edges = sub.join(F.broadcast(table.withColumn("key", F.xxhash64("piece"))), "key").where("sub = piece")
-    return edges.groupBy("h").agg(F.first("length").alias("length"), F.collect_list(F.struct("rank", "start", "len", "id", *(["score"] if scores else []))).alias("edges"))
+    last = F.col("start") + F.col("len")
+    more = ["score"] if scores else [_bit(F.col("start")).bitwiseOR(_bit(last)).alias("ends"), (_bit(last) - _bit(F.col("start") + 1)).alias("inner")]
+    return edges.groupBy("h").agg(F.max("length").alias("length"), F.collect_list(F.struct("rank", "start", "len", "id", *more)).alias("edges"))
 
 
 def _bit(i: Column) -> Column:
@@ -202,9 +205,7 @@ def fold_bpe(lat: DataFrame) -> DataFrame:
     The state is a mask of the characters that begin a symbol. A merge is an edge both of whose ends are set and that has exactly one
     bit set inside; of all the one with the best rank, the leftmost of equals, clears that bit.
     """
-    edge = lambda e: F.struct((_bit(e["start"]).bitwiseOR(_bit(e["start"] + e["len"]))).alias("ends"), (_bit(e["start"] + e["len"]) - _bit(e["start"] + 1)).alias("inner"))
-    merges = F.transform(F.filter(F.sort_array("edges"), lambda e: e["len"] > 1), edge)
-    lat = lat.withColumn("merges", merges)
+    lat = lat.withColumn("merges", F.sort_array(F.filter("edges", lambda e: e["len"] > 1)))
     inside = lambda m, e: m.bitwiseAND(e["inner"])
 
     def one(mask: Column, e: Column) -> Column:
@@ -220,7 +221,7 @@ def fold_bpe(lat: DataFrame) -> DataFrame:
     whole = _bit(F.col("length") + 1) - F.lit(1).cast("long")
     steps = F.when((F.size("merges") > 0) & (F.col("length") > 1), F.sequence(F.lit(1), F.least(F.col("length") - 1, F.size("merges")))).otherwise(F.array().cast("array<int>"))
     lat = lat.withColumn("mask", F.aggregate(steps, whole, step)).withColumn("mask", F.when(F.col("mask") < 0, F.bitwise_not("mask")).otherwise(F.col("mask")))
-    last = lambda e: (F.col("mask").bitwiseAND(edge(e)["ends"]) == edge(e)["ends"]) & (F.col("mask").bitwiseAND(edge(e)["inner"]) == 0)
+    last = lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0)
     return lat.select("h", F.filter("edges", last).alias("kept"))
 
 
@@ -358,7 +359,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.xxhash64(F.col(text_col)).alias("uid"), F.col(id_col).alias("id"), F.concat(F.when(F.length(F.col(text_col)) > 0, " " if model.prefix else "").otherwise(""), F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("body"))
+    source = docs.select(F.xxhash64(id_col, text_col).alias("uid"), F.col(id_col).alias("id"), F.concat(F.when(F.length(F.col(text_col)) > 0, " " if model.prefix else "").otherwise(""), F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("body"))
     pairs = spark.sparkContext.broadcast(model.pairs())
     prefix = model.prefix
     for seed in range(5):  # another seed in the unlikely case that two units share a hash
@@ -385,14 +386,13 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     del chunks
     order = np.argsort(h)
     begin = (np.cumsum(n) - n)[order]
-    shared = spark.sparkContext.broadcast((h[order], begin, n[order].astype(np.int32), flat))
+    shared = spark.sparkContext.broadcast((h[order], begin, n[order].astype(np.int32), flat, slots(h[order])))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value[0]
+        keys, table = shared.value[0], shared.value[4]
         for part in bytehash.texts(batches, 1 << 20):
             _, _, h, first = units(*bytehash.utf8(part.column(1)), pairs.value, seed)
-            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            missing = keys[at] != h if len(keys) else np.ones(len(h), bool)
+            missing = lookup(table, keys, h) < 0
             lists = [np.unique(h[a:b][missing[a:b]]) for a, b in zip(first[:-1], first[1:], strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))], names=["uid", "hs"])
@@ -405,7 +405,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     schema = pa.schema([("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, begin, size, flat = shared.value
+        keys, begin, size, flat, table = shared.value
         for part in bytehash.texts(_expand(batches), 1 << 20):
             data, offsets = bytehash.utf8(part.column(1))
             _, _, h, first = units(data, offsets, pairs.value, seed)
@@ -414,14 +414,15 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             own_flat, own_first = np.asarray(own_ids.flatten()), np.asarray(own_ids.offsets).astype(np.int64)
             own_first = own_first - own_first[0]
             lead = np.unique(own_h, return_index=True)
-            own_n = np.diff(own_first)[lead[1]] if len(own_h) else np.zeros(0, np.int64)
             all_flat = np.concatenate([flat, own_flat.astype(np.int32)])
             where, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-            for ks, bs, ns, add in ((keys, begin, size, 0), (lead[0], own_first[:-1][lead[1]] if len(own_h) else own_n, own_n, len(flat))):
-                if len(ks):
-                    at = np.minimum(np.searchsorted(ks, h), len(ks) - 1)
-                    ok = ks[at] == h
-                    where[ok], count[ok] = bs[at[ok]] + add, ns[at[ok]]
+            at = lookup(table, keys, h)
+            ok = at >= 0
+            where[ok], count[ok] = begin[at[ok]], size[at[ok]]
+            rest = np.flatnonzero(~ok)
+            if len(rest):
+                at = lead[1][np.searchsorted(lead[0], h[rest])]
+                where[rest], count[rest] = own_first[:-1][at] + len(flat), np.diff(own_first)[at]
             ids = all_flat[_ragged(where, count)]
             ends = np.concatenate([[0], np.cumsum(count)])[first]
             back, back_first = decoded(ids, ends, *decoder.value, prefix)
@@ -435,6 +436,33 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     return out.withColumnRenamed("id", id_col)
 
 
+def slots(keys: np.ndarray) -> np.ndarray:
+    """An open hash table of the positions of distinct 64-bit hashes, at most half full; -1 is empty."""
+    size = 1 << max(4, int(2 * len(keys)).bit_length())
+    table = np.full(size, -1, np.int32)
+    left, at = np.arange(len(keys), dtype=np.int32), keys & (size - 1)
+    while len(left):
+        free = table[at] < 0
+        table[at[free]] = left[free]  # of several for one slot, one stays
+        lost = table[at] != left
+        left, at = left[lost], (at[lost] + 1) & (size - 1)
+    return table
+
+
+def lookup(table: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Position of each wanted hash among the keys, or -1."""
+    at = wanted & (len(table) - 1)
+    out = table[at]
+    left = np.flatnonzero(out >= 0)
+    left = left[keys[out[left]] != wanted[left]]
+    while len(left):
+        at[left] = (at[left] + 1) & (len(table) - 1)
+        out[left] = table[at[left]]
+        left = left[out[left] >= 0]
+        left = left[keys[out[left]] != wanted[left]]
+    return out
+
+
 def _ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Indices begin[i] .. begin[i] + count[i] - 1 of all i, end to end."""
     ends = np.cumsum(count)
