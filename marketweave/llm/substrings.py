@@ -82,7 +82,7 @@ def _key(low: np.ndarray, parts: int) -> np.ndarray:
 
 def _minimisers(length: int, parts: int):
     """Rows for lookup by part (part, uids, upper halves of the keys); keys known to be shared inside the slice travel along (uid, whole keys, no flags)."""
-    schema = pa.schema([("part", pa.int32()), ("uids", pa.list_(pa.int64())), ("keys", pa.binary()), ("shared", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("uids", pa.list_(pa.int64())), ("counts", pa.binary()), ("keys", pa.binary()), ("shared", pa.binary())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bytehash.texts(batches, SLICE):
@@ -98,18 +98,23 @@ def _minimisers(length: int, parts: int):
             many = np.repeat(np.diff(first) > 1, np.diff(first))
             lead = first[:-1]
             k, t, flag = key[lead], text[lead], many[lead]
-            by = np.argsort(k & np.uint64(0xFFFFFFFF), kind="stable")
+            by = np.lexsort((t, k & np.uint64(0xFFFFFFFF)))
             k, t, flag = k[by], t[by], flag[by].astype(np.uint8)
             cut = _first(k & np.uint64(0xFFFFFFFF))
             if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array((k[cut[:-1]] & np.uint64(0xFFFFFFFF)).astype(np.int32)), _lists(uid[t], cut), _blobs((k >> np.uint64(32)).astype(np.uint32), cut), _blobs(flag, cut)], schema=schema)
+                # A text's keys stand together in a part: its uid is written once, with their number.
+                run = _first((k & np.uint64(0xFFFFFFFF)) * np.uint64(part.num_rows) + t.astype(np.uint64))
+                of_part = np.searchsorted(run, cut)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((k[cut[:-1]] & np.uint64(0xFFFFFFFF)).astype(np.int32)), _lists(uid[t[run[:-1]]], of_part), _blobs(np.diff(run).astype(np.uint32), of_part),
+                    _blobs((k >> np.uint64(32)).astype(np.uint32), cut), _blobs(flag, cut)], schema=schema)
             if many.any():
                 k, t = key[many], text[many]
                 by = np.argsort(t, kind="stable")
                 k, t = k[by], t[by]
                 cut = _first(t)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array((uid[t[cut[:-1]]] % parts).astype(np.int32)), _lists(uid[t[cut[:-1]]], np.arange(len(cut))), _blobs(k, cut), pa.array([b""] * (len(cut) - 1), pa.binary())], schema=schema)
+                    pa.array((uid[t[cut[:-1]]] % parts).astype(np.int32)), _lists(uid[t[cut[:-1]]], np.arange(len(cut))), pa.array([b""] * (len(cut) - 1), pa.binary()), _blobs(k, cut), pa.array([b""] * (len(cut) - 1), pa.binary())], schema=schema)
 
     return find
 
@@ -129,7 +134,7 @@ def _shared(table: pa.Table) -> pa.Table:
     known = pa.table({"uid": pa.array(_flat(known["uids"], np.int64), pa.int64()), "keys": known["keys"]})
     if not table.num_rows:
         return known
-    uid, key, flag = _flat(table["uids"], np.int64), _flat(table["keys"], np.uint32), _flat(table["shared"], np.uint8)
+    uid, key, flag = np.repeat(_flat(table["uids"], np.int64), _flat(table["counts"], np.uint32)), _flat(table["keys"], np.uint32), _flat(table["shared"], np.uint8)
     part = np.uint64(table["part"][0].as_py())
     order = np.argsort(key, kind="stable")
     first = _first(key[order])
@@ -342,7 +347,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     able = source.where(F.col("id").isNotNull() & (F.octet_length("body") >= length))
     bytes_in = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     parts = max(64, min(1 << 20, bytes_in >> 23))
-    found = able.select("uid", "body").mapInArrow(_minimisers(length, parts), "part int, uids array<long>, keys binary, shared binary")
+    found = able.select("uid", "body").mapInArrow(_minimisers(length, parts), "part int, uids array<long>, counts binary, keys binary, shared binary")
     known = found.groupBy("part").applyInArrow(_shared, "uid long, keys binary")
     wanted = known.groupBy("uid").agg(F.collect_list("keys").alias("keys"))
     # Texts are dealt by uid once: the exchange is the same in this join and in the last one, and Spark reuses it.
