@@ -26,8 +26,8 @@ from marketweave.llm.common import drop, release, save, small_batches
 #: Units whose ids are sent to every task, at most; about 25 bytes each.
 HOT = 1 << 20
 SPACE = "▁"
-#: Units in one part of the lattice.
-GROUP = 20_000
+#: Units in one part of the lattice: few, so that a part's edges die young in the collector.
+GROUP = 4_000
 #: Units of up to so many characters fold in a bit mask; longer ones in a Python heap.
 MASK = 60
 _PAIRS = 1 << 22
