@@ -41,10 +41,10 @@ def save(df: DataFrame, **options) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced, as its periodic collection does."""
-    for _ in range(2):  # what the first collection finds weakly reachable, the second frees
+    for _ in range(3):  # what one collection finds weakly reachable, the next frees
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.5)
 
 
 def drop(*frames: DataFrame) -> None:

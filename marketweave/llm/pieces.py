@@ -365,8 +365,10 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     for seed in range(5):  # another seed in the unlikely case that two units share a hash
         found = source.select("body").mapInArrow(_distinct(pairs, seed), "h long, unit string, n long")
         words = save(found.groupBy("h", "unit").agg(F.sum("n").alias("n")), compression="zstd")
+        del found
         if words.select("h").distinct().count() == words.count():
             break
+    release(spark)
     coded = save(unit_ids(words, model), compression="zstd")
     drop(words)
     release(spark)
@@ -384,6 +386,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     n = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(c[1], np.int32) for c in chunks)]).astype(np.int64)
     flat = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(c[2], np.int32) for c in chunks)])
     del chunks
+    release(spark)
     order = np.argsort(h)
     begin = (np.cumsum(n) - n)[order]
     shared = spark.sparkContext.broadcast((h[order], begin, n[order].astype(np.int32), flat, slots(h[order])))
