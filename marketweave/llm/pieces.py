@@ -369,7 +369,8 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
         if words.select("h").distinct().count() == words.count():
             break
     release(spark)
-    coded = save(unit_ids(words, model), compression="zstd")
+    # A task takes several parts one after the other and writes one file for all.
+    coded = save(unit_ids(words, model).coalesce(max(16, words.count() // (8 * GROUP))), compression="zstd")
     drop(words)
     release(spark)
     counts = coded.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("level")).collect()  # at most 4 * 63 rows
