@@ -2,9 +2,9 @@
 
 A neighbour graph starts from random-hyperplane orders and is refined by joins of neighbours' neighbours: at every node its
 neighbours and reverse neighbours are compared with each other, and each keeps its best. Lists whose last entry still is a
-link are enlarged. Links are checked in double precision; recall is audited against brute force for a sample of vectors,
-and the search goes on with longer lists while it is too low. Within a component, where lists may be too short for
-all links, links are counted exactly in blocks.
+link are enlarged. Links are checked in double precision. Lists may be too short for all links and the descent may miss some,
+so its components are only a start: all pairs of vectors of different components are compared in blocks, components with a
+link between them are merged, and within a component links are counted exactly in blocks. Results don't depend on the lists.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from marketweave.llm.components import components
 
 #: Orders to start from, and neighbours taken on each side in each.
 ORDERS, SIDE = 4, 4
-#: Vectors audited at most; their links are searched among all rows.
-AUDIT = 256
 #: Vectors of a component that meet in one block product.
 BLOCK = 512
+#: Vectors of a block in the comparison of components, about, and the most blocks a side; beyond them blocks grow.
+SWEEP, SWEEP_BLOCKS = 10_000, 64
+#: Vectors of a tile of such a block, and pairs verified at once.
+TILE, VERIFY = 1024, 1 << 14
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -167,12 +169,59 @@ def _count_block(threshold: float):
     return count
 
 
-def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, k: int = 12, rounds: int = 6, target: float = 0.99, seed: int = 11) -> DataFrame:
+def _bridges(threshold: float):
+    """Pairs of components with a link between two blocks: products in single precision, near hits again in double."""
+
+    def find(table: pa.Table) -> pa.Table:
+        side, label = np.asarray(table["side"]), np.asarray(table["label"])
+        order = np.lexsort((label, side))
+        side, label = side[order], label[order]
+        x = _matrix(table["unit"].combine_chunks().take(pa.array(order)), np.float64)
+        single, lowest = x.astype(np.float32), np.float32(threshold - 1e-5 - 1e-6 * x.shape[1])
+        n, found = int((side == 0).sum()), set()
+        own = n == len(side)  # a block with itself
+        for i in range(0, n, TILE):
+            p = slice(i, min(i + TILE, n))
+            for j in range(i if own else n, len(side), TILE):
+                q = slice(j, j + TILE)
+                if label[p][0] == label[p][-1] == label[q][0] == label[q][-1]:
+                    continue
+                a, b = np.nonzero((single[p] @ single[q].T >= lowest) & (label[p][:, None] != label[q]))
+                for k in range(0, len(a), VERIFY):
+                    u, v = a[k : k + VERIFY] + i, b[k : k + VERIFY] + j
+                    hit = (x[u] * x[v]).sum(1) >= threshold
+                    found.update(zip(label[u[hit]].tolist(), label[v[hit]].tolist(), strict=True))
+        pairs = sorted({(max(c), min(c)) for c in found})
+        return pa.table({"a": pa.array([c[0] for c in pairs], pa.int64()), "b": pa.array([c[1] for c in pairs], pa.int64())})
+
+    return find
+
+
+def _join_components(units: DataFrame, comps: DataFrame, size: int, threshold: float) -> DataFrame:
+    """comps with those merged that have a link between them; a vector without a link so far is a component of its own."""
+    labelled = units.select("id", "dim", "unit").join(comps, "id", "left").select("id", "dim", "unit", F.coalesce("component_id", "id").alias("label"), F.col("component_id").isNotNull().alias("linked"))
+    labelled = save(labelled)
+    blocks = max(1, min(SWEEP_BLOCKS, -(-size // SWEEP)))
+    dealt = labelled.withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "label", "unit")
+    bridges = save(dealt.groupBy("dim", "i", "j").applyInArrow(_bridges(threshold), "a long, b long").distinct())
+    if bridges.isEmpty():
+        drop(bridges, labelled)
+        return comps
+    merged = components(bridges).select(F.col("id").alias("label"), "component_id")
+    merged = merged.join(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label")
+    after = left_join_groups(labelled.select("id", "label", "linked"), merged, "label", "m", size, "id")
+    after = save(after.where("linked or component_id is not null").select("id", F.coalesce("component_id", "label").alias("component_id")))
+    drop(bridges, labelled)
+    return after
+
+
+def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, k: int = 12, rounds: int = 6, seed: int = 11) -> DataFrame:
     """id, n_links, component_id and kept of every row; links have a cosine of at least `threshold` in double precision.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do rows with a null id (component null, kept)
     and vectors of other lengths than each other. Equal vectors are one node with a count. Rows that repeat an id are taken to
-    repeat its vector. Lists grow to 4k neighbours; links beyond that are found by exact blocks inside the component. Empty table: empty result.
+    repeat its vector. Lists grow to 4k neighbours; links beyond that are found by exact blocks between components and inside them. Empty table: empty result.
     """
     spark = rows.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
@@ -190,25 +239,18 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     parts = max(1, min(4096, size // 5000))
     start = ordered.repartitionByRange(parts, "order", "dim", "sig", "id").sortWithinPartitions("order", "dim", "sig", "id").mapInArrow(_adjacent, "u long, v long, sim float")
     lists = save(_best(start, None, k, threshold, k_most))
-    turn = 0
-    for attempt in range(4):
-        for _ in range(rounds):
-            turn += 1
-            after, news = _refine(lists, units, k, threshold, k_most, turn)
-            drop(lists)
-            lists = after
-            release(spark)
-            if news <= 0.002 * size * k:
-                break
-        near = lists.select("u", F.explode("near").alias("e")).where(F.col("e.sim") >= threshold - 0.01)
-        pairs = near.select(F.greatest("u", "e.v").alias("a"), F.least("u", "e.v").alias("b")).distinct()
-        both = pairs.join(units.select(F.col("id").alias("a"), F.col("unit").alias("x")), "a").join(units.select(F.col("id").alias("b"), F.col("unit").alias("y")), "b")
-        links = both.select("a", "b", "x", "y").mapInArrow(_cosine, "a long, b long, cos double").where(F.col("cos") >= threshold).select("a", "b")
-        comps = save(components(links))
-        if attempt == 3 or audit_recall(units, comps, threshold) >= target:
+    for turn in range(1, rounds + 1):
+        after, news = _refine(lists, units, k, threshold, k_most, turn)
+        drop(lists)
+        lists = after
+        release(spark)
+        if news <= 0.002 * size * k:
             break
-        k, k_most = 2 * k, 2 * k_most
-        lists = save(lists.withColumn("room", F.greatest("room", F.lit(k))).withColumn("worst", F.lit(-2.0)).withColumn("near", F.transform("near", lambda e: F.struct(e["sim"].alias("sim"), e["v"].alias("v"), F.lit(True).alias("new")))))
+    near = lists.select("u", F.explode("near").alias("e")).where(F.col("e.sim") >= threshold - 0.01)
+    pairs = near.select(F.greatest("u", "e.v").alias("a"), F.least("u", "e.v").alias("b")).distinct()
+    both = pairs.join(units.select(F.col("id").alias("a"), F.col("unit").alias("x")), "a").join(units.select(F.col("id").alias("b"), F.col("unit").alias("y")), "b")
+    links = both.select("a", "b", "x", "y").mapInArrow(_cosine, "a long, b long, cos double").where(F.col("cos") >= threshold).select("a", "b")
+    comps = _join_components(units, save(components(links)), size, threshold)
 
     # Exact counts: every component in blocks of about BLOCK vectors, each pair of blocks in a task of its own.
     inside = units.join(comps, "id").select("id", "n", "unit", "component_id")
@@ -224,26 +266,3 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     out = vectors.select("id").join(known, "id", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
-
-
-def audit_recall(units: DataFrame, comps: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the true links of a sample of at most `queries` vectors whose ends share a component; 1 without links."""
-    sample = units.orderBy(F.xxhash64("id", F.lit(1)), "id").select("id", "dim", "unit").limit(queries).collect()
-    shared = units.sparkSession.sparkContext.broadcast([(r[0], r[1], bytes(r[2])) for r in sample])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims, ids = np.asarray(batch.column(1)), np.asarray(batch.column(0))
-            for dim in np.unique(dims):
-                own = [q for q in shared.value if q[1] == dim]
-                at = np.flatnonzero(dims == dim)
-                if own:
-                    y = np.frombuffer(b"".join(q[2] for q in own), np.float64).reshape(len(own), -1)
-                    q, v = np.nonzero(y @ _matrix(batch.column(2).take(pa.array(at)), np.float64).T >= threshold)
-                    a, b = np.array([x[0] for x in own])[q], ids[at][v]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
-
-    true = units.select("id", "dim", "unit").mapInArrow(search, "a long, b long")
-    of = lambda name: comps.select(F.col("id").alias(name), F.col("component_id").alias(f"c{name}"))
-    row = true.join(of("a"), "a", "left").join(of("b"), "b", "left").agg(F.count(F.lit(1)), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()
-    return row[1] / row[0] if row[0] else 1.0

@@ -238,6 +238,21 @@ def test_embeddings(spark):
     assert embeddings.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_dense_groups(spark):
+    """Two linked groups whose members all have more nearer neighbours inside than a list holds."""
+    rng = np.random.default_rng(5)
+    centre = np.eye(200)[0], np.eye(200)[0] * 0.922 + np.eye(200)[1] * (1 - 0.922**2) ** 0.5
+    x = np.concatenate([c + rng.normal(size=(80, 200)) * (0.022 / 200) ** 0.5 for c in centre])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ u.T
+    hit = sim >= 0.9
+    np.fill_diagonal(hit, False)
+    assert sim[:80, :80].min() > sim[:80, 80:].max() and hit[:80, 80:].mean() > 0.2
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_dedup(df, k=2, rounds=2).collect()}
+    assert got == {i: (hit[i].sum(), 0) for i in range(160)}
+
+
 def test_language_id(spark):
     vocab = {"en": ["the", "house", "water", "with", "this"], "de": ["das", "haus", "wasser", "nicht", "über"], "fr": ["la", "maison", "avec", "été", "leau"]}
     rng = random.Random(0)
