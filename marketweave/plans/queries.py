@@ -647,13 +647,13 @@ def _(s, d):
 @query("m6_svr_r2")
 def _(s, d):
     rows = scored(s, d, None).where("pre_agm > 0").cache()
-    return X.reconstruction_r2(rows.where(T.between(*TRAIN)), rows.where(T.between(*TEST)), INPUTS, "score", most_rows=300)
+    return X.reconstruction_r2(rows.where(T.between(*TRAIN)), rows.where(T.between(*TEST)), INPUTS, "score")
 
 
 @query("m7_svr_shuffled")
 def _(s, d):
     rows = scored(s, d, None).where("pre_agm > 0").cache()
-    return X.reconstruction_r2(rows.where(T.between(*TRAIN)), rows.where(T.between(*TEST)), INPUTS, "score", shuffled=True, most_rows=300)
+    return X.reconstruction_r2(rows.where(T.between(*TRAIN)), rows.where(T.between(*TEST)), INPUTS, "score", shuffled=True)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

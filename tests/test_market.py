@@ -299,6 +299,21 @@ def test_bootstraps_and_adversary(spark, points):
     assert X.train_per_ticker(rows, ["a", "b"], "y", epochs=2).count() == 5
 
 
+def test_registered_adversary_takes_all_rows(spark, monkeypatch):
+    import datetime as dt
+
+    from marketweave.plans import queries as Q
+
+    x = np.random.default_rng(4).normal(size=(4300, len(Q.INPUTS)))
+    days = [dt.date(1996, 6, 1) if i < 2100 else dt.date(1999, 6, 1) for i in range(4300)]
+    rows = [(f"T{i}", d, 1.0, *map(float, r), float(r[0])) for i, (d, r) in enumerate(zip(days, x))]
+    df = spark.createDataFrame(rows, "ticker string, date date, pre_agm double, " + ", ".join(f"{c} double" for c in Q.INPUTS) + ", score double")
+    monkeypatch.setattr(Q, "scored", lambda *_: df)
+    plain, shuffled = (Q.QUERIES[name](spark, "").first() for name in ("m6_svr_r2", "m7_svr_shuffled"))
+    assert (plain.n_train, plain.n_test) == (shuffled.n_train, shuffled.n_test) == (2100, 2200)
+    assert plain.r2 > 0.9 > shuffled.r2
+
+
 def test_payout(spark):
     import datetime as dt
 
