@@ -280,6 +280,19 @@ def test_clustering():
         Z.subtractive_centers(np.full((2, 2), np.nan))
 
 
+def test_clustering_takes_all_rows(spark):
+    """5000 rows: the centre is that of all pairs at once, per-ticker training takes them all."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.3, (2500, 2)) for c in (0.0, 2.0)])
+    df = spark.createDataFrame([("T", i, float(a), float(b), float(a)) for i, (a, b) in enumerate(x)], "ticker string, date int, a double, b double, y double")
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    z = (x - x.min(0)) / (x.max(0) - x.min(0))
+    gap = sum((z[:, None, i] - z[None, :, i]) ** 2 for i in range(2))
+    want = x[np.exp(-16 * gap).sum(1).argmax()]
+    assert Z.initial_model(df, ["a", "b"], rules=1).centers == [want.tolist()]
+    assert X.train_per_ticker(df, ["a", "b"], "y", epochs=1).first().n_train == 5000
+
+
 def test_bootstraps_and_adversary(spark, points):
     mean, low, high = X.block_bootstrap_ci(np.arange(100.0), 500, 10)
     assert low < mean < high
