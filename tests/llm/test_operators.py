@@ -317,13 +317,44 @@ PAGE = (
 def test_wrappers(spark):
     pages = [PAGE.format(i=i, links="<li><a href=a>l</a></li>" * (2 + i % 3), extra="<ul><li>item one</li><li>item two</li></ul>" if i % 2 else "") for i in range(8)]
     wrapper = infer(pages)
-    assert "(<li><a>l</a></li>)+" in expression(wrapper) and ")?" in expression(wrapper)
-    want = lambda i: f"Title & {i}\nFirst para {i} x.\nSecond {i}" + ("\nitem one\nitem two" if i % 2 else "")
+    assert "(<li><a>#CONSTANT</a></li>)+" in expression(wrapper) and ")?" in expression(wrapper)
+    want = lambda i: f"Title & {i}\n\nFirst para {i} x.\n\nSecond {i}" + ("\n\nitem one\n\nitem two" if i % 2 else "")
     assert [read(p, wrapper) for p in pages] == [want(i) for i in range(8)]
-    plain = ["<div id=hd>Site</div><div><a href=a>x</a> <a href=b>y</a></div><div class=c><h2>T{0}</h2><p>long text {0} one</p><p>long text {0} two</p></div><div>Imprint</div>".format(i) for i in range(6)]
-    assert read(plain[2], infer(plain)) == "T2\nlong text 2 one\nlong text 2 two"
-    rows = [(i, f"http://h.example.com/{i}", p) for i, p in enumerate(pages)] + [(100, None, None), (101, "x", ""), (102, "http://h.example.com/o", "<div><p>only &lt;this&gt;</div><p"), (103, "http://deep.example.com", "<div>" * 3000 + "deep")]
-    got = {r.page_id: r for r in extract_html(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
-    assert all(got[i].text == want(i) and got[i].n_chars == len(want(i)) for i in range(8))
+    deep = "<div>" * 3000 + "<nav>menu</nav>" + "<article>" + "<section>" * 500 + "deep<nav>" + "<i>" * 200 + "menu</nav></article>"
+    rows = [(i, f"http://h.example.com/{i}", p) for i, p in enumerate(pages)] + [(100, None, None), (101, "x", ""), (102, "http://h.example.com/o", "<div><p>only &lt;this&gt;</div><p"), (103, "http://deep.example.com", deep)]
+    rows += [(None, "http://h.example.com/0", pages[0]), (0, "http://h.example.com/0", pages[0]), (104, "http://long.example.com", "<article>" + "<p>word &amp; word</p>" * 30000 + "</article>")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, wrapper int")
+    out = extract_html(df.repartition(3)).collect()
+    got = {r.page_id: r for r in out}
+    assert len(out) == len(rows) and all(got[i].text == want(i) and got[i].n_chars == len(want(i)) for i in range(8))
+    assert got[None].text == want(0) and sum(r.page_id == 0 for r in out) == 2
     assert got[100].text == got[101].text == "" and got[102].text == "only <this>" and got[103].text == "deep"
-    assert extract_html(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert got[104].text == "\n\n".join(["word & word"] * 30000)
+    assert extract_html(df.limit(0)).count() == 0
+
+
+def test_wrapper_beats_one_page():
+    """Boilerplate without telling tags: only pages side by side show which texts belong to the site."""
+    site = '<div><div>Site of many things and more</div><div>{m}</div><div><h2>T{i}</h2>{body}</div><div>The imprint is the same long text on each page of this site, longer than some articles, and says so often.</div></div>'
+    menu = "<span>Home</span><span>News of the day</span><span>All about us</span>"
+    bodies = [["The same first sentence on all pages."] + [f"text {i} {k}" for k in range(1 + i % 3)] for i in range(9)]
+    pages = [site.format(i=i, m=menu, body="".join(f"<p>{x}</p>" for x in b)) for i, b in enumerate(bodies)]
+    wrapper = infer(pages)
+    want = ["\n\n".join([f"T{i}", *b]) for i, b in enumerate(bodies)]
+    assert [read(p, wrapper) for p in pages] == want
+    assert read(pages[0], infer(pages[:1])) != want[0]
+    # A rare template of the same host, whose prose is where the others have nothing.
+    rare = '<div class="other"><section><p>rare words of an own template</p><p>and a second line</p></section></div><div>The imprint</div>'
+    assert read(rare, infer([*pages, rare])) == "rare words of an own template\n\nand a second line"
+
+
+def test_wrapper_keeps_all_of_the_article():
+    """Lists of links, telling class words and repeated sentences stay when they are in the article; named parts outside it or small in it go."""
+    body = '<h1>T{0}</h1><p class="share price">price {0}</p><p class="side-by-side">both {0}</p><div class="comment-free">free {0}</div><p class="cookie-recipe">bake {0}</p><p>same</p><ul><li><a href=x>link {0}</a></li><li><a href=y>same link</a></li></ul><div class="ad">buy</div><p>long text of page {0}</p>'
+    want = "T{0}|price {0}|both {0}|free {0}|bake {0}|same|link {0}|same link|long text of page {0}"
+    for tag in ("article", "div"):
+        pages = [f"<nav>m</nav><{tag}>{body.format(i)}</{tag}><div class=comments><p>me too {i}</p></div>" for i in range(6)]
+        wrapper = infer(pages)
+        assert [read(p, wrapper) for p in pages] == [want.format(i).replace("|", "\n\n") for i in range(6)]
+    noticed = [f"<div class=notice><p>a whole article number {i} under a telling name</p><p>goes on</p></div><div>x</div>" for i in range(5)]
+    assert read(noticed[1], infer(noticed)) == "a whole article number 1 under a telling name\n\ngoes on"
