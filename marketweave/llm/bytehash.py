@@ -76,22 +76,28 @@ def _hash_piece(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix((run[end] - run[start]) * q[start]), start
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the A-Z-lower-cased words of all texts, and the index at which each text's words start."""
-    hashes, starts, at = [], [], 0
+def slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, stop, offsets within) of parts of about PIECE bytes, cut at white space or at the end of a text."""
+    at = 0
     while at < len(data):
         stop = min(len(data), at + PIECE)
-        while stop < len(data):  # cut at white space or at the end of a text
+        while stop < len(data):
             gap = np.flatnonzero(_SPACE[data[stop : stop + PIECE]])
             edge = offsets[np.searchsorted(offsets, stop)]
             stop = min(int(edge), stop + int(gap[0])) if len(gap) else min(int(edge), stop + PIECE)
             if len(gap) or stop == edge:
                 break
-        own = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop, "right")] - at
+        yield at, stop, offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop, "right")] - at
+        at = stop
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the A-Z-lower-cased words of all texts, and the index at which each text's words start."""
+    hashes, starts = [], []
+    for at, stop, own in slices(data, offsets):
         h, s = _hash_piece(data[at:stop], own)
         hashes.append(h)
         starts.append(s + at)
-        at = stop
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     return h, np.searchsorted(s, offsets)

@@ -15,6 +15,8 @@ from marketweave.llm.exact import exact_dedup
 from marketweave.llm.langmix import language_id
 from marketweave.llm.minhash import near_dedup
 from marketweave.llm.mixing import pareto_mix, source_targets
+from marketweave.llm import langmix, toxicity as toxic_
+from marketweave.llm import quality as quality_
 from marketweave.llm.quality import grade, quality, train
 from marketweave.llm.toxicity import toxicity
 from marketweave.llm.wrappers import expression, extract_html, infer, read
@@ -267,6 +269,39 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_mixture_against_loops():
+    """Expectation-maximisation with penalised sets against plain loops over trigrams and languages."""
+    rng = np.random.default_rng(0)
+    table = rng.dirichlet(np.full(langmix.BUCKETS, 0.02), 3).T + 1e-9
+    for share in ([1, 0, 0], [0.5, 0.5, 0], [0.2, 0.2, 0.6]):
+        grams = np.concatenate([rng.choice(langmix.BUCKETS, int(400 * s), p=table[:, k] / table[:, k].sum()) for k, s in enumerate(share)])
+        got = langmix.mixture(grams, table)
+
+        def em(langs, pi):
+            for _ in range(20):
+                new = {k: 0.0 for k in langs}
+                for g in grams.tolist():
+                    total = sum(pi[k] * table[g, k] for k in langs)
+                    for k in langs:
+                        new[k] += pi[k] * table[g, k] / total / len(grams)
+                done = max(abs(new[k] - pi[k]) for k in langs) < 1e-4
+                pi = new
+                if done:
+                    break
+            return pi, sum(np.log(sum(pi[k] * table[g, k] for k in langs)) for g in grams.tolist())
+
+        langs = [0, 1, 2]
+        pi, like = em(langs, dict.fromkeys(langs, 1 / 3))
+        while len(langs) > 1:
+            rest = [k for k in langs if k != min(langs, key=lambda k: pi[k])]
+            z = sum(pi[k] + 1e-3 for k in rest)
+            fewer, less = em(rest, {k: (pi[k] + 1e-3) / z for k in rest})
+            if langmix.EVIDENCE * (like - less) > 0.5 * np.log(len(grams)):
+                break
+            langs, pi, like = rest, fewer, less
+        assert {k: got[k] for k in range(3) if got[k]} == pytest.approx(pi, abs=1e-6) and set(langs) == {k for k, s in enumerate(share) if s}
+
+
 def test_toxicity(spark):
     rng = random.Random(0)
     rows, labels = [], []
@@ -278,13 +313,46 @@ def test_toxicity(spark):
         labels.append((i, bad))
     rows += [(1000, None, "en"), (1001, "", "en"), (1002, "...", "en"), (None, "vilex vilex", "en")]
     labels += [(1000, 1), (None, 1), (3, None)]
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows += [(5, rows[5][1], "en"), (1003, "filler " * 300_000 + "vilex vilez vilest", "en")]
+    labels.append((1003, 1))
+    clash = [F.lit(1).alias(c) for c in ("_id", "_y", "h", "id", "y", "row", "score")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", *clash), spark.createDataFrame(labels, "doc_id long, toxic int").select("*", *clash)
     out = toxicity(docs, labels, carry=docs.columns).collect()
     truth = {i: int(i % 5 == 0) for i in range(400)}
     held = [r for r in out if r.held_out]
     assert len(held) > 60 and sum(r.predicted == truth[r.doc_id] for r in held if r.doc_id in truth) / len(held) > 0.95
-    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.row.doc_id == r.doc_id for r in out) and len(out) == 404
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.row.doc_id == r.doc_id for r in out) and len(out) == 406
+    assert len({r.score for r in out if r.doc_id == 5}) == 1 and [r.predicted for r in out if r.doc_id == 1003] == [1]
     assert {r.score for r in toxicity(docs, labels.limit(0)).collect()} == {0.0}
+    assert toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_against_loops():
+    """The sliced network against plain loops over words, filters and widths."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["bad", "Good,", "(odd)", "..", "x", "end."]) for _ in range(n)) for n in (0, 1, 2, 5, 40, 700)]
+    rows = [(toxic_.encoded(f"{'bad' if i % 3 == 0 else 'fine'} word {i} {rng.choice(['x', 'y'])}".encode()), int(i % 3 == 0), "en") for i in range(90)]
+    m = toxic_.train(rows, epochs=2)
+    old, toxic_.SLICE = toxic_.SLICE, 64
+    try:
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        w, f, first = toxic_.tokens(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        got = m.raw(w, f, first)
+        best, spots = m.pooled(w, f, first, where=True)
+    finally:
+        toxic_.SLICE = old
+    for t in range(len(texts)):
+        own = range(first[t], first[t + 1])
+        assert len(own) == sum(any(c not in ".,()" for c in x) for x in texts[t].split())
+        total = m.out_bias
+        for j, k in enumerate(toxic_.WIDTHS):
+            for c in range(toxic_.FILTERS):
+                values = [sum(float(m.conv[j][i * toxic_.DIM + d, c]) * float(m.word[w[p + i], d] + m.front[f[p + i], d]) for i in range(k) if p + i < first[t + 1] for d in range(toxic_.DIM)) for p in own]
+                top = (max(values) if values else 0.0) + float(m.bias[j][c])
+                assert best[t, j * toxic_.FILTERS + c] == pytest.approx(top, abs=1e-4)
+                assert not values or values[spots[j][t, c] - first[t]] == pytest.approx(max(values), abs=1e-4)
+                total += max(top, 0.0) * float(m.out[j * toxic_.FILTERS + c])
+        assert got[t] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-4)
 
 
 def test_quality(spark):
@@ -294,20 +362,49 @@ def test_quality(spark):
         g = i % 3
         t = " ".join(f"w{rng.randrange(200)}" for _ in range(40))
         rows.append((i, t.upper().replace(" ", "!! ") if g == 0 else t + " vile vile vile" if g == 1 else t, g))
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, None), (1001, ""), (None, "a")], "doc_id long, text string")
-    ratings = spark.createDataFrame([(i, g) for i, _, g in rows] + [(1000, None)], "doc_id long, grade int")
-    out = {r.doc_id: r for r in quality(docs, ratings).collect()}
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, None), (1001, ""), (None, "a"), (0, rows[0][1]), (1002, "w1 w2 " * 300_000)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, g) for i, _, g in rows] + [(1000, None), (1002, 2)], "doc_id long, grade int")
+    clash = [F.lit("c").alias(c) for c in ("_id", "_y", "h", "id", "y", "row", "kept", "body")]
+    docs, ratings = docs.select("*", *clash), ratings.select("*", *clash)
+    found = quality(docs, ratings).collect()
+    out = {r.doc_id: r for r in found}
+    assert len(found) == 605 and len({r.score for r in found if r.doc_id == 0}) == 1 and quality(docs.limit(0), ratings).count() == 0
     held = [i for i, _, _ in rows if out[i].held_out]
     assert np.corrcoef([out[i].expected_grade for i in held], [i % 3 for i in held])[0, 1] > 0.9
     assert sum(out[i].kept == (i % 3 > 0) for i in held) / len(held) > 0.95
     assert all(0 <= r.top <= r.score <= 1 for r in out.values())
     assert {r.score for r in quality(docs, ratings.limit(0)).collect()} == {1.0}
-    model = train([(t.encode(), g) for _, t, g in rows[:200]], 3)
+    model = train([(quality_.encoded(t.encode()), g) for _, t, g in rows[:200]], 3)
     assert (np.diff(model.thresholds) > 0).all()
     row = spark.range(1).select(grade(F.lit(0), F.lit(1)).alias("a"), grade(F.lit(1), F.lit(1)).alias("b"), grade(F.lit(1), F.lit(0)).alias("c"), grade(F.lit(None), F.lit(0)).alias("d")).first()
     assert list(row) == [0, 1, 2, None]
 
 
+def test_quality_against_loops():
+    """Features in slices against counts of one text, and tail probabilities against the formula."""
+    texts = ["", "a", "One one, two  (two)!", "x " * 300 + "é\n" * 50, "Same same SAME 12 34"]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    old, bytehash.PIECE = bytehash.PIECE, 64
+    try:
+        text, feature, value = quality_.features(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    finally:
+        bytehash.PIECE = old
+    for i, t in enumerate(raw):
+        own = dict(zip(feature[text == i].tolist(), value[text == i].tolist()))
+        n = len(re.findall(rb"[^\x20\x09-\x0D]+", t))
+        words, pairs, seen, shape = ([v for k, v in own.items() if lo <= k < hi] for lo, hi in ((0, 1 << 15), (1 << 15, 2 << 15), (2 << 15, 3 << 15), (3 << 15, 4 << 15)))
+        assert sum(v * v for v in words) == pytest.approx(float(n > 0)) and sum(v * v for v in pairs) == pytest.approx(max(0, len(t) - 1) / max(1, len(t)))
+        assert len(words) == len({w.lower() for w in t.split()}) and len(pairs) == len({t[k : k + 2] for k in range(len(t) - 1)})
+        assert len(seen) == len({w.strip(b"(),.!").lower() for w in t.split()}) and set(seen) <= {1.0} and shape == [0.5] * 4
+        alone = np.frombuffer(t, np.uint8), np.array([0, len(t)])
+        _, f1, v1 = quality_.features(*alone)
+        assert own == pytest.approx(dict(zip(f1.tolist(), v1.tolist())))
+        m = quality_.OrdinalModel(np.sin(np.arange(quality_.FEATURES)), np.array([-0.5, 0.25]))
+        s = sum(np.sin(k) * v for k, v in own.items())
+        assert m.tails(*alone)[0] == pytest.approx([1 / (1 + np.exp(-s - 0.5)), 1 / (1 + np.exp(0.25 - s))])
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T{i}</title><script>if (a < b) "<p>no</p>"</script></head><body><header class="site"><a href="/">Home</a></header><nav><ul>{links}</ul></nav>'
     '<div class="sidebar"><p>side {i}</p></div><article><h1>Title &amp; {i}</h1><p>First <b>para\n  {i}</b>&nbsp;x.<p>Second {i}{extra}<aside>ad</aside></article>'
