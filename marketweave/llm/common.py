@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -22,18 +23,20 @@ def lower_ascii(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder. Where none is configured: a temporary one in local mode (tests), an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="marketweave-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
-def save(df: DataFrame, **options) -> DataFrame:
+def save(df: DataFrame, partitionBy: str | None = None, **options) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/mw-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).parquet(path, partitionBy=partitionBy)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._mw_path = path
     return out

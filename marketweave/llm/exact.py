@@ -1,10 +1,10 @@
 """Exact deduplication through a log-structured merge index of text digests.
 
-A flush turns each task's memtable into a run: one file of (digest, id) sorted by digest, with a Bloom
-filter and min/max statistics on the digest, in the shared folder. Compaction merges all runs into one level
-that keeps one identifier for each digest. Digests that occur more than once are hits; every hit's bytes are
-compared with those of the row that stays, and texts that differ under one digest are split into groups of their own.
-Only DataFrame functions are used.
+Digests arrive in batches. A batch's memtables (one per task) collapse equal digests, and a flush writes them as a run: rows sorted by digest, and
+a blocked Bloom filter. New digests are probed against the filters of earlier runs; those that pass are looked up in the runs themselves, and what is
+found there or twice in the memtable is a hit. When a level has FANOUT runs, compaction merges them into one run of the next level, which
+keeps one identifier and the number of entries of each digest. Every hit's bytes are compared with those of the row that
+stays, and texts that differ under one digest are split into groups of their own. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -16,38 +16,87 @@ from pyspark.sql import functions as F
 
 from marketweave.llm.common import drop, left_join_groups, lower_ascii, save
 
+#: Runs of a level that compaction merges; bits of a filter for each digest.
+FANOUT, FILTER_BITS = 2, 16
+
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _mask(digest: Column) -> Column:
+    """Three bits of a filter's 64-bit word."""
+    h = F.xxhash64(digest, F.lit(1))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(63).cast("int"))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+
+
 class DigestIndex:
-    """Runs of sorted digests and their compaction. `keep`: "max" or "min" identifier of a digest."""
-
-    def __init__(self, keep: str = "max", memtable_rows: int = 1_000_000) -> None:
-        self.keep = {"max": F.max, "min": F.min}[keep]
-        self.memtable_rows, self.runs = memtable_rows, []
-
-    def flush(self, entries: DataFrame) -> DataFrame:
-        """entries: digest, id and any payload. Each task sorts its memtable and writes it as a run."""
-        self.runs.append(run := save(
-            entries.sortWithinPartitions("digest", "id"),
-            maxRecordsPerFile=self.memtable_rows, **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"},
-        ))
+    """Sorted runs by level with their filters. `keep`: "max" or "min" identifier of a digest stays."""
+
+    def __init__(self, keep: str = "max", fanout: int = FANOUT) -> None:
+        self.keep, self.fanout = {"max": F.max, "min": F.min}[keep], fanout
+        self.levels: list[list[dict]] = [[]]
+
+    @property
+    def runs(self) -> list[dict]:
+        return [run for level in self.levels for run in level]
+
+    def _flush(self, memtable: DataFrame, level: int) -> dict:
+        """memtable: digest, id, n, one row per digest. Each task sorts and writes its own; the filter is a table of 64-bit words."""
+        rows = save(memtable.sortWithinPartitions("digest"))
+        words = max(1, rows.count() * FILTER_BITS // 64)
+        bits = rows.groupBy(F.pmod(F.xxhash64("digest"), F.lit(words)).alias("word")).agg(F.bit_or(_mask(F.col("digest"))).alias("bits"))
+        run = {"rows": rows, "filter": save(bits), "words": words}
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
         return run
 
-    def entries(self) -> DataFrame:
-        out = self.runs[0]
-        for run in self.runs[1:]:
-            out = out.unionByName(run)
-        return out
+    def lookup(self, digests: DataFrame, runs: list[dict] | None = None) -> DataFrame:
+        """digest of those that some run holds: filters first, then the runs for what passes."""
+        runs = self.runs if runs is None else runs
+        asked = [F.struct(F.lit(k).alias("run"), F.pmod(F.xxhash64("digest"), F.lit(r["words"])).alias("word")) for k, r in enumerate(runs)]
+        if not asked:
+            return digests.limit(0)
+        filters = held = None
+        for k, r in enumerate(runs):
+            f, h = r["filter"].withColumn("run", F.lit(k)), r["rows"].select("digest", F.lit(k).alias("run"))
+            filters, held = (f, h) if filters is None else (filters.unionByName(f), held.unionByName(h))
+        probes = digests.select("digest", F.explode(F.array(*asked)).alias("at")).select("digest", "at.*")
+        maybe = probes.join(filters, ["run", "word"]).where(F.col("bits").bitwiseAND(_mask(F.col("digest"))) == _mask(F.col("digest")))
+        return maybe.select("digest", "run").join(held, ["run", "digest"], "left_semi").select("digest")
+
+    def add(self, entries: DataFrame) -> DataFrame:
+        """entries: digest, id. Flushes one batch as a run and returns its hits: digests that it holds twice or that were there before."""
+        earlier = self.runs
+        run = self._flush(entries.groupBy("digest").agg(self.keep("id").alias("id"), F.count(F.lit(1)).alias("n")), 0)["rows"]
+        hits = save(run.where("n > 1").select("digest").unionByName(self.lookup(run.select("digest"), earlier)).distinct())
+        for level in range(len(self.levels)):
+            if len(self.levels[level]) >= self.fanout:
+                self._merge(level, self.levels[level])
+        return hits
+
+    def _merge(self, level: int, runs: list[dict]) -> dict:
+        every = runs[0]["rows"]
+        for r in runs[1:]:
+            every = every.unionByName(r["rows"])
+        gone = list(runs)
+        run = self._flush(every.groupBy("digest").agg(self.keep("id").alias("id"), F.sum("n").alias("n")), level + 1)
+        for other in self.levels[: level + 1]:
+            other[:] = [r for r in other if not any(r is g for g in gone)]
+        for r in gone:
+            drop(r["rows"], r["filter"])
+        return run
 
     def compact(self) -> DataFrame:
-        """One row for each digest: its identifier that stays and its number of entries."""
-        return self.entries().groupBy("digest").agg(self.keep("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        """All runs as one: digest, the id that stays and the number n of entries."""
+        if len(self.runs) > 1:
+            self._merge(len(self.levels) - 1, self.runs)
+        return self.runs[0]["rows"]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest: Callable[[Column], Column] = sha256, batches: int = 4) -> DataFrame:
     """id, keep_id, group_size, kept and text_sha256 of every row; `digest` is a parameter so that tests can force collisions.
 
     Null text counts as empty. Texts are equal if identical after lower-casing A-Z. A null id never stays while
@@ -56,32 +105,43 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     norm = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    index = DigestIndex(keep)
-    run = index.flush(rows.select("digest", "id", F.unhex(F.sha2("norm", 256)).alias("sha")))
-    total = run.count()
-    found = left_join_groups(run, index.compact().where("group_size > 1"), "digest", "group_size", total, "id")
-    found = save(found.select("id", "digest", "sha", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")))
+    sha = [] if digest is sha256 else [sha256(F.col("norm")).alias("sha")]
+    log = save(rows.select("id", "digest", *sha, F.pmod(F.xxhash64("id", "digest"), F.lit(batches)).cast("int").alias("batch")), partitionBy="batch")
+    total = log.count()
+    index, hits = DigestIndex(keep), None
+    for k in range(batches):
+        got = index.add(log.where(F.col("batch") == k).select("digest", "id"))
+        hits = got if hits is None else hits.unionByName(got)
+    groups = index.compact().join(hits.distinct(), "digest", "left_semi").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    found = left_join_groups(log.drop("batch"), groups, "digest", "group_size", total, "id")
+    found = save(found.select("id", "digest", *(["sha"] if sha else []), F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")))
+    drop(log)
 
     # Byte verification of the hits. The text that stays is read once for every 64 rows of its group.
-    members = found.where("group_size > 1 and id is not null").select("id", "digest", "keep_id", "group_size").distinct()
-    texts = members.join(rows, ["id", "digest"])
+    members = found.where("group_size > 1").select(F.col("id").alias("own"), F.col("digest").alias("d"), "keep_id", "group_size").distinct()
+    texts = rows.join(members, F.col("id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("d"))).drop("own", "d")
+    is_kept = F.col("id").eqNullSafe(F.col("keep_id"))
+    stays = texts.where(is_kept).groupBy("digest").agg(F.min("norm").alias("kept_norm"), F.max("norm").alias("other"), F.max("group_size").alias("group_size"))
     salts = F.ceil(F.col("group_size") / 64).cast("int")
-    stays = texts.where("id = keep_id").select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    dealt = texts.where("id != keep_id").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
-    differ = save(dealt.join(stays, ["digest", "salt"]).where("norm != kept_norm").select("digest").distinct())
+    dealt = texts.where(~is_kept).select("digest", "norm", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    spread = stays.select("digest", "kept_norm", "other", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    both = spread.join(dealt, ["digest", "salt"], "left").where("kept_norm != other or norm != kept_norm")
+    differ = save(both.select("digest").distinct())
     if differ.isEmpty():
         drop(differ)
         return _named(found, id_col)
     # Digests that hold different texts: group those rows by the bytes themselves.
     clash = rows.join(differ, "digest", "left_semi")
     groups = clash.groupBy("norm").agg(index.keep("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    fixed = left_join_groups(clash, groups, "norm", "group_size", total, "id").withColumn("sha", F.unhex(F.sha2("norm", 256)))
+    fixed = left_join_groups(clash, groups, "norm", "group_size", total, "id").withColumn("sha", sha256(F.col("norm"))).drop("norm")
     clean = found.join(differ, "digest", "left_anti")
-    return _named(clean.unionByName(fixed, allowMissingColumns=True), id_col)
+    clean = clean if sha else clean.withColumn("sha", F.col("digest"))
+    return _named(clean.unionByName(fixed), id_col)
 
 
 def _named(out: DataFrame, id_col: str) -> DataFrame:
+    sha = F.col("sha" if "sha" in out.columns else "digest")
     return out.select(
         F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex(sha)).alias("text_sha256"),
     )

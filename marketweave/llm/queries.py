@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pareto_mix(_table(spark, sf_dir, "documents")).drop("copies", "row_key")
+    return pareto_mix(_table(spark, sf_dir, "documents")).drop("source", "copies", "u")
 
 
 def tokenizer_path() -> str:
@@ -124,7 +124,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)""",
     "op1_pareto_mix": r"""
-        WITH d AS (
+        WITH RECURSIVE d AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
                    (('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
             FROM documents),
@@ -137,7 +137,18 @@ SQL: dict[str, str] = {
         e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e0 FROM t),
         e2 AS (SELECT *, CASE WHEN abs(e0 - round(e0)) < 1e-12 THEN round(e0) ELSE e0 END AS e FROM e),
         p AS (SELECT source, source_size, target, floor(e)::BIGINT AS certain, e - floor(e) AS p, (e - floor(e)) * source_size AS rest FROM e2),
-        r AS (SELECT d.*, source_size, target, certain, p, rest, (u / (1 - u)) / (1 + u / (1 - u)) AS q FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+        x0 AS (SELECT *, (1::BIGINT << ((length(bin(greatest(size, 1))) - 1) // 2))::DOUBLE AS x FROM d),
+        k AS (SELECT source, list({'x': x, 'n': n} ORDER BY x) AS ks FROM (SELECT source, x, CAST(sum(size) AS DOUBLE) AS n FROM x0 GROUP BY source, x) GROUP BY source),
+        h AS (SELECT p.source, ks, rest, 0::DOUBLE AS lo, 1::DOUBLE AS hi, 0 AS i FROM p JOIN k ON p.source IS NOT DISTINCT FROM k.source
+              UNION ALL
+              SELECT source, ks, rest, CASE WHEN low THEN mid ELSE lo END, CASE WHEN low THEN hi ELSE mid END, i + 1
+              FROM (SELECT *, (lo + hi) / 2 AS mid,
+                           list_reduce(list_prepend(0::DOUBLE, list_transform(ks, lambda c: c.n * ((lo + hi) / 2 / (1 - (lo + hi) / 2) * c.x / (1 + (lo + hi) / 2 / (1 - (lo + hi) / 2) * c.x)))), lambda s, v: s + v) < rest AS low
+                    FROM h WHERE i < 60)),
+        f AS (SELECT source, lo / (1 - lo) AS factor FROM h WHERE i = 60),
+        r0 AS (SELECT x0.*, source_size, target, certain, p, rest, factor, (u / (1 - u)) / (factor * x) AS rank
+               FROM x0 JOIN p ON x0.source IS NOT DISTINCT FROM p.source JOIN f ON x0.source IS NOT DISTINCT FROM f.source),
+        r AS (SELECT *, CASE WHEN p > 0 AND factor > 0 THEN rank / (1 + rank) ELSE u END AS q FROM r0),
         c AS (SELECT *, p > 0 AND size > 0 AND sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS chosen FROM r),
         g AS (SELECT *, rest - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
         x AS (SELECT *, p > 0 AND size > 0 AND NOT chosen AND size < 2 * gap AS able FROM g),

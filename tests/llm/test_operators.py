@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marketweave.llm import bytehash, embeddings, substrings
 from marketweave.llm.components import components
-from marketweave.llm.exact import exact_dedup
+from marketweave.llm.exact import DigestIndex, exact_dedup
 from marketweave.llm.langmix import language_id
 from marketweave.llm.minhash import near_dedup
 from marketweave.llm.mixing import pareto_mix, source_targets
@@ -84,6 +84,37 @@ def test_exact_dedup(docs, collide):
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
 
 
+def test_digest_index(spark):
+    """Five batches one after the other against a dictionary: hits, levels, sorted runs, the smallest id and the number of entries."""
+    rng = random.Random(5)
+    index, held = DigestIndex("min"), {}
+    for k in range(5):
+        rows = [(bytes([rng.randrange(60 + 30 * k)]) * 32, rng.randrange(1000)) for _ in range(40)]
+        got = sorted(bytes(r.digest) for r in index.add(spark.createDataFrame(rows, "digest binary, id long")).collect())
+        digests = [d for d, _ in rows]
+        assert got == sorted(d for d in set(digests) if d in held or digests.count(d) > 1)
+        for d, i in rows:
+            held.setdefault(d, []).append(i)
+        assert [len(level) for level in index.levels] == [int(x) for x in reversed(f"{k + 1:b}")]
+    asked = spark.createDataFrame([(bytes([b]) * 32,) for b in range(256)], "digest binary")
+    assert {bytes(r.digest) for r in index.lookup(asked).collect()} == set(held)
+    for run in index.runs:
+        for part in run["rows"].select("digest", F.input_file_name().alias("f")).toPandas().groupby("f"):
+            values = [bytes(d) for d in part[1].digest]
+            assert values == sorted(values)
+    assert {bytes(r.digest): (r.id, r.n) for r in index.compact().collect()} == {d: (min(i), len(i)) for d, i in held.items()} and len(index.runs) == 1
+
+
+def test_exact_dedup_edges(spark):
+    schema = "doc_id long, text string, norm string, digest int, batch int"
+    assert exact_dedup(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, "A"), (None, "a"), (None, "b"), (7, "b"), (7, "b"), (3, "B")]
+    df = spark.createDataFrame([(i, t, "x", 1, 9) for i, t in rows], schema)
+    for kw in ({}, {"digest": lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 0)}):
+        got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(df, **kw).collect()), key=repr)
+        assert got == sorted([(None, None, 2, True)] * 2 + [(None, 7, 4, False), (7, 7, 4, True), (7, 7, 4, True), (3, 7, 4, False)], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 7), (None, 3)]
@@ -153,6 +184,36 @@ def test_mixing(spark, docs):
     rate = taken.assign(t=taken.taken > 0).groupby("w").t.mean()
     assert rate[4] > rate[1]
     assert pareto_mix(df.limit(0)).count() == 0
+    clash = [F.lit("c").alias(c) for c in ("q", "b1", "odds", "factor", "words", "classes", "copies")]
+    assert sorted(map(tuple, pareto_mix(df.select("*", *clash)).collect())) == sorted(map(tuple, pareto_mix(df).collect()))
+    hot = spark.range(400).select(F.lit(1).alias("doc_id"), F.lit("s").alias("source"), F.lit("a b c").alias("text"))
+    assert len({r.taken for r in pareto_mix(hot).collect()}) == 1
+
+
+def test_mixing_inclusion(spark):
+    """Inclusion frequencies over 600 sources with the same sizes (each source is a draw of its own) against the probabilities."""
+    sizes = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233] * 4
+    rows = [(s * 100 + k, f"s{s:04d}", " ".join(["w"] * n)) for s in range(600) for k, n in enumerate(sizes)]
+    out = pareto_mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(8)).toPandas()
+    out["turn"] = (out.doc_id // 100) % 3
+    seen = 0
+    for _, g in out.groupby("turn"):
+        e = g.target.iloc[0] / sum(sizes)
+        if abs(e - round(e)) < 1e-9:
+            assert (g.copies == round(e)).all()
+            continue
+        x = np.array([2.0 ** ((int(n).bit_length() - 1) // 2) for n in sizes])
+        lo, hi = 0.0, 1e6
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (np.array(sizes) * mid * x / (1 + mid * x)).sum() < (e % 1) * sum(sizes) else (lo, mid)
+        p = lo * x / (1 + lo * x)
+        got = g.assign(extra=g.copies - int(e)).groupby("size").extra.mean()
+        for n, want in sorted(set(zip(sizes, p.tolist()))):
+            assert got[n] == pytest.approx(want, abs=0.06), (n, want)
+        assert len(set(p)) > 3 and p.max() - p.min() > 0.2
+        seen += 1
+    assert seen
 
 
 def test_targets(spark):
