@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketweave.llm.common import lower_ascii, save
 from marketweave.llm.exact import exact_dedup
 from marketweave.llm.minhash import near_dedup
-from marketweave.llm.mixing import pareto_mix
+from marketweave.llm.mixing import draw, pareto_mix, word_count
 from marketweave.llm.pieces import encode, load_model
 from marketweave.llm.queries import tokenizer_path
 from marketweave.llm.toxicity import toxicity
@@ -21,38 +21,50 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under the threshold, rows with a null id too."""
+    """Documents whose score is under the threshold, rows with a null id and with null or empty texts too; all stay without labels of both classes."""
     scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=docs.columns)
     return scored.where("predicted = 0").select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each text (A-Z in lower case): the one with the largest id; of rows that repeat id and text, one."""
-    verdicts = save(exact_dedup(docs).select(F.col("doc_id").alias("_id"), "kept", F.unhex("text_sha256").alias("_sha")))
-    sha = F.unhex(F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
-    mine = docs.withColumn("_own", sha)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    out = mine.join(verdicts.where("not kept").select("_id", "_sha").distinct(), same, "left_anti")
-    if not verdicts.where("kept").groupBy("_id", "_sha").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_own"])
-    return out.select(*docs.columns)
+    """One row for each text (A-Z in lower case): the one with the largest id; of rows that repeat id and text, one.
+
+    Null text counts as empty; a null id stays only where no other has its text. Rows come along whole, whatever their columns' names.
+    """
+    verdicts = save(exact_dedup(docs).select(F.col("doc_id").alias("other"), "kept", F.unhex("text_sha256").alias("theirs")))
+    mine = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.unhex(F.sha2(lower_ascii(F.coalesce("row.text", F.lit(""))), 256)).alias("sha"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("other")) & (F.col("sha") == F.col("theirs"))
+    out = mine.join(verdicts.where("not kept").select("other", "theirs").distinct(), same, "left_anti")
+    if not verdicts.where("kept").groupBy("other", "theirs").count().where("count > 1").isEmpty():
+        out = out.withColumn("id", F.col("row.doc_id")).groupBy("id", "sha").agg(F.min("row").alias("row"))
+    return out.select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, Jaccard similarity of at least 0.8)."""
-    gone = save(near_dedup(docs, width=5, percent=80).where("not kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of near copies (five-word shingles, Jaccard similarity of at least 0.8): the one with the smallest id.
+
+    Rows without words or with a null id stay; rows that share an id share its fate. Other columns come along, whatever their names.
+    """
+    gone = save(near_dedup(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; a document taken twice is two rows."""
-    taken = save(pareto_mix(docs).where("copies > 0").groupBy("row_key").agg(F.max("copies").alias("_copies")))
-    mine = docs.withColumn("row_key", F.xxhash64("doc_id", "source", "text")).join(taken, "row_key")
-    return mine.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Every document as often as the mix takes it; a document taken twice is two rows, one without words none.
+
+    A row's copies follow from its id, source, number of words and draw, so they find it by these without any doubt.
+    """
+    key = ["doc_id", "source", "size", "u"]
+    taken = pareto_mix(docs).where("copies > 0").groupBy(*key).agg(F.max("copies").alias("copies"))
+    taken = save(taken.select(*[F.col(c).alias(f"t_{c}") for c in key], "copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", word_count(F.col("row.text")).alias("size"), draw("row.doc_id", "row.text").alias("u"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("t_doc_id")) & F.col("row.source").eqNullSafe(F.col("t_source")) & (F.col("size") == F.col("t_size")) & (F.col("u") == F.col("t_u"))
+    return rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids and round_trip of every row of the mix."""
+    """doc_id, n_pieces, ids and round_trip of every row of the mix; null and empty texts have no pieces."""
     return encode(docs, load_model(tokenizer_path()))
 
 
