@@ -3,8 +3,8 @@
 Digests arrive in batches. A batch's memtables (one per task) collapse equal digests, and a flush writes them as a run: rows sorted by digest, and
 a blocked Bloom filter. New digests are probed against the filters of earlier runs; those that pass are looked up in the runs themselves, and what is
 found there or twice in the memtable is a hit. When a level has FANOUT runs, compaction merges them into one run of the next level, which
-keeps one identifier and the number of entries of each digest. Every hit's bytes are compared with those of the row that
-stays, and texts that differ under one digest are split into groups of their own. Only DataFrame functions are used.
+keeps one identifier and the number of entries of each digest. The bytes of all rows of a hit are compared,
+and texts that differ under one digest are split into groups of their own. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from marketweave.llm.common import drop, left_join_groups, lower_ascii, save
 
 #: Runs of a level that compaction merges; bits of a filter for each digest.
 FANOUT, FILTER_BITS = 2, 16
+#: Digests of hits that are broadcast for verification; more are joined by id and digest.
+HITS_SENT = 200_000
 
 
 def sha256(text: Column) -> Column:
@@ -112,21 +114,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for k in range(batches):
         got = index.add(log.where(F.col("batch") == k).select("digest", "id"))
         hits = got if hits is None else hits.unionByName(got)
-    groups = index.compact().join(hits.distinct(), "digest", "left_semi").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    groups = save(index.compact().join(hits.distinct(), "digest", "left_semi").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size")))
     found = left_join_groups(log.drop("batch"), groups, "digest", "group_size", total, "id")
     found = save(found.select("id", "digest", *(["sha"] if sha else []), F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")))
     drop(log)
 
-    # Byte verification of the hits. The text that stays is read once for every 64 rows of its group.
-    members = found.where("group_size > 1").select(F.col("id").alias("own"), F.col("digest").alias("d"), "keep_id", "group_size").distinct()
-    texts = rows.join(members, F.col("id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("d"))).drop("own", "d")
-    is_kept = F.col("id").eqNullSafe(F.col("keep_id"))
-    stays = texts.where(is_kept).groupBy("digest").agg(F.min("norm").alias("kept_norm"), F.max("norm").alias("other"), F.max("group_size").alias("group_size"))
-    salts = F.ceil(F.col("group_size") / 64).cast("int")
-    dealt = texts.where(~is_kept).select("digest", "norm", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    spread = stays.select("digest", "kept_norm", "other", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    both = spread.join(dealt, ["digest", "salt"], "left").where("kept_norm != other or norm != kept_norm")
-    differ = save(both.select("digest").distinct())
+    # Byte verification of the hits: all texts under a digest are equal if the least is the greatest. A task passes on two for each digest.
+    if groups.count() <= HITS_SENT:
+        texts = rows.join(F.broadcast(groups.select("digest")), "digest", "left_semi")
+    else:
+        members = found.where("group_size > 1").select(F.col("id").alias("own"), F.col("digest").alias("d")).distinct()
+        texts = rows.join(members, F.col("id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("d")))
+    ends = texts.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    differ = save(ends.where("least != greatest").select("digest"))
     if differ.isEmpty():
         drop(differ)
         return _named(found, id_col)

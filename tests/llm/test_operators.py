@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketweave.llm import bytehash, embeddings, substrings
+from marketweave.llm import bytehash, embeddings, exact, substrings
 from marketweave.llm.components import components
 from marketweave.llm.exact import DigestIndex, exact_dedup
 from marketweave.llm.langmix import language_id
@@ -70,8 +70,9 @@ def test_word_hashes(texts):
         bytehash.PIECE = old
 
 
-@pytest.mark.parametrize("collide", [False, True])
-def test_exact_dedup(docs, collide):
+@pytest.mark.parametrize(("collide", "sent"), [(False, 10), (True, 10), (False, 0), (True, 0)])
+def test_exact_dedup(docs, collide, sent, monkeypatch):
+    monkeypatch.setattr(exact, "HITS_SENT", sent)
     kw = {"digest": lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 0)} if collide else {}
     got = exact_dedup(docs, **kw).collect()
     groups = {}
