@@ -18,7 +18,7 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """links: a, b (any order, repeats and loops allowed, nulls ignored) -> id, component_id of every id that has a link.
 
     component_id is the smallest id reachable. A node with a huge number of neighbours is joined through
@@ -38,5 +38,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges, before, state = after, state, _state(after)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     ids = edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     return ids.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm import bytehash
-from marketweave.llm.common import drop, left_join_groups, save, small_batches
+from marketweave.llm.common import MAX_HOT, left_join_groups, save, small_batches
 from marketweave.llm.components import components
 
 #: Rows in a band. With 32 bands a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 = 5e-8.
@@ -40,29 +40,44 @@ def _signer(width: int, bands: int, seed: int = 7):
                 at = first[some]
                 for k in range(n):
                     sig[some, k] = np.minimum.reduceat((shingles * mul[k] + add[k]) >> np.uint64(32), at)
-                for j in range(2):  # a 128-bit digest of the set; the sum of mixed members doesn't depend on their order
-                    digest[some, j] = np.add.reduceat(bytehash.mix(shingles ^ mul[j]), at)
+                digest[some] = _digest(shingles, at)
             keys = np.zeros((len(n_set), bands), np.uint64)
             for b in range(bands):
                 for j in range(BAND_ROWS):
                     keys[:, b] += sig[:, b * BAND_ROWS + j] * lane[j]
                 keys[:, b] = bytehash.mix(bytehash.mix(keys[:, b]) + np.uint64(b))
-            raw = np.concatenate([n_set.astype(np.uint64)[:, None], digest], 1).tobytes()
             lists = lambda m, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel().view(kind)))
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array(n_set, pa.int64()), pa.array([raw[i : i + 24] for i in range(0, len(raw), 24)], pa.binary()),
+                part.column(0), pa.array(n_set, pa.int64()), _raw(n_set, digest),
                 lists(sig, np.int32), lists(keys, np.int64)], schema=schema)
 
     return sign
 
 
+def _digest(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 128-bit digest of each set; the sum of mixed members doesn't depend on their order."""
+    return np.stack([np.add.reduceat(bytehash.mix(shingles ^ key), at) for key in _KEYS], 1)
+
+
+_KEYS = bytehash.mix(np.arange(7, 9, dtype=np.uint64))
+
+
+def _raw(n_set: np.ndarray, digest: np.ndarray) -> pa.Array:
+    raw = np.concatenate([n_set.astype(np.uint64)[:, None], digest], 1).tobytes()
+    return pa.array([raw[i : i + 24] for i in range(0, len(raw), 24)], pa.binary())
+
+
 def _sets(width: int):
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bytehash.texts(batches, 1 << 20):
             shingles, first = bytehash.shingle_sets(*bytehash.word_hashes(*bytehash.utf8(part.column(1))), width)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(shingles.view(np.int64)))], schema=schema)
+            n_set = np.diff(first)
+            digest = np.zeros((len(n_set), 2), np.uint64)
+            if n_set.any():
+                digest[n_set > 0] = _digest(shingles, first[:-1][n_set > 0])
+            yield pa.RecordBatch.from_arrays([part.column(0), _raw(n_set, digest), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(shingles.view(np.int64)))], schema=schema)
 
     return build
 
@@ -75,22 +90,45 @@ def _of(rows: DataFrame, facts: DataFrame, col: str, prefix: str, total: int) ->
     return left_join_groups(rows, groups, col, "_n", total, next(c for c in rows.columns if c != col)).drop("_n")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, col: str, name: str) -> DataFrame:
+    """pairs with the shingles of `col`. An id in very many pairs has its set repeated once for each 256 of them, under a salt of its own."""
+    counts = pairs.groupBy(F.col(col).alias("id")).agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts"))
+    spread = sets.select("id", "shingles").join(counts, "id").select(F.col("id").alias(col), F.col("shingles").alias(name), "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    other = next(c for c in pairs.columns if c != col)
+    if counts.where("salts > 1").isEmpty():
+        return pairs.join(spread.select(col, name), col)
+    dealt = left_join_groups(pairs, counts.withColumnRenamed("id", col).withColumn("size", F.col("salts")), col, "size", 1000 * MAX_HOT, other)
+    return dealt.withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts")).cast("int")).drop("size").join(spread.drop("salts"), [col, "salt"]).drop("salt", "salts")
+
+
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 32,
 ) -> DataFrame:
     """id, n_shingles, component_id and kept of every row; links have 100 * intersection >= percent * union.
 
     Words are A-Z-lower-cased runs of non-white-space; a text of fewer than `width` words is one shingle; null, empty and blank texts
-    have no shingle and link with nothing. Rows with a null id link with nothing, have a null component and are kept. Rows that repeat
-    an id are one document to the links. Texts of any length are read whole, in slices. Empty table: empty result.
+    have no shingle and link with nothing (also where a row with words repeats the id). Rows with a null id link with nothing, have a null component and are kept. Rows that repeat
+    an id are one document to the links, which has the links of each of its texts; n_shingles is of the row's own text. Texts of any
+    length are read whole, in slices. Empty table: empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     signed = save(source.mapInArrow(_signer(width, bands), "id long, n_shingles long, digest binary, sig array<int>, bands array<long>"))
     total = signed.count()
+    # An id with several sets is several nodes, numbered above all ids, that are linked with the one that keeps the id.
+    several = signed.where("id is not null and n_shingles > 0").groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least != most").select("id", "least")
+    several = save(several)
+    more = None
+    if not several.isEmpty():
+        above = signed.agg(F.max("id")).first()[0] + 1
+        more = signed.join(several, "id").where("n_shingles > 0 and digest != least").select("id", "digest").distinct()
+        more = save(more.select("id", "digest", (F.monotonically_increasing_id() + F.lit(above)).alias("node")))
+        signed = save(signed.withColumnRenamed("id", "doc").join(more.withColumnRenamed("id", "doc"), ["doc", "digest"], "left").withColumn("id", F.coalesce("node", "doc")).drop("node"))
+    else:
+        signed = signed.withColumn("doc", F.col("id"))
     copies = signed.where("id is not null and n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = save(left_join_groups(signed.select("id", "n_shingles", "digest"), copies, "digest", "size", total, "id").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")))
+    members = save(left_join_groups(signed.select("id", "doc", "n_shingles", "digest"), copies, "digest", "size", total, "id").select("id", "doc", "n_shingles", F.coalesce("rep", "id").alias("rep")))
     others = members.where("id != rep").select("id").distinct()
 
     keyed = signed.where("id is not null and n_shingles > 0").select("id", F.explode("bands").alias("key")).join(others, "id", "left_anti")
@@ -102,7 +140,14 @@ def near_dedup(
     placed = save(left_join_groups(placed, pivots, "key", "_s", total, "id").drop("_s"))
     among = placed.select("id").distinct()
     facts = save(signed.select("id", "n_shingles", "sig").join(among, "id", "left_semi").dropDuplicates(["id"]))
-    sets = save(source.join(among, "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"))
+    kind = "id long, digest binary, shingles array<long>"
+    if more is None:
+        sets = save(source.join(among, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), kind).drop("digest"))
+    else:
+        wanted = members.join(among, "id", "left_semi").select(F.col("doc").alias("id")).distinct()
+        found = source.join(wanted, "id", "left_semi").dropDuplicates(["id", "body"]).mapInArrow(_sets(width), kind).withColumnRenamed("id", "doc")
+        found = found.join(more.withColumnRenamed("id", "doc"), ["doc", "digest"], "left").select(F.coalesce("node", "doc").alias("id"), "shingles")
+        sets = save(found.join(among, "id", "left_semi").dropDuplicates(["id"]))
     floor = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (bands * BAND_ROWS)) ** 0.5
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -112,14 +157,19 @@ def near_dedup(
         same = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         fits = F.least("a_n_shingles", "b_n_shingles") * 100 >= F.greatest("a_n_shingles", "b_n_shingles") * percent
         p = save(p.where(fits & (same >= floor * bands * BAND_ROWS)).select("a", "b"))
-        left = p.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = _with_sets(_with_sets(p, sets, "a", "sa"), sets, "b", "sb")
         common = F.size(F.array_intersect("sa", "sb"))
         link = 100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))
         return save(both.withColumn("common", common).select("a", "b", "common", link.alias("link")))
 
+    if more is not None:
+        rep_of = lambda col: members.select(F.col("id").alias(col), "rep").distinct()
+        same = more.select("node", "id").join(rep_of("node"), "node").select(F.col("rep").alias("a"), "id").join(rep_of("id"), "id").select("a", F.col("rep").alias("b"))
+        same = save(same)
+
     def linked(tested: DataFrame) -> DataFrame:
-        return tested.where("link").select("a", "b")
+        links = tested.where("link").select("a", "b")
+        return links if more is None else links.unionByName(same)
 
     # 1. Each class against the fullest of its pivots.
     starred = placed.select(F.col("id").alias("a"), "pivot", (-F.col("pivot.minus_id")).alias("b")).where("a != b")
@@ -172,4 +222,4 @@ def near_dedup(
         comps = save(components(linked(tested)))
     final = members.join(comps.select(F.col("id").alias("rep"), F.col("component_id").alias("_c")), "rep", "left")
     component = F.coalesce("_c", "rep")
-    return final.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return final.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))

@@ -165,6 +165,19 @@ def test_near_dedup(spark, docs, texts, width):
     for i, s in sets.items():
         assert got[(i, len(s))] == (comp[i], comp[i] == i), i
     assert got[(None, 0)] == (None, True)
+    assert near_dedup(rows.limit(0)).count() == 0
+
+
+def test_near_dedup_repeated_ids(spark):
+    """An id with two texts has the links of both; many pairs with one text; columns with names used inside."""
+    a, b, c = (" ".join(words(100, s)) for s in (21, 22, 23))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, c), (5, c + " y"), (5, "alone"), (6, "alone"), (6, None), (7, b)]
+    near = " ".join(words(200, 24))
+    rows += [(1000 + k, f"{near} tail{k}") for k in range(700)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, digest int, node string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_dedup(df).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 1000} == {(1, 96): 1, (2, 97): 1, (3, 97): 1, (7, 96): 1, (4, 96): 4, (5, 97): 4, (5, 1): 4, (6, 1): 4, (6, 0): 6}
+    assert {v for k, v in got.items() if k[0] >= 1000} == {1000}
 
 
 def test_mixing(spark, docs):
