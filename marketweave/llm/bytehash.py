@@ -6,6 +6,8 @@ over the whole buffer, so the cost is a few numpy passes over the bytes. P is od
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,6 +116,14 @@ def texts(batches: Iterator[pa.RecordBatch], limit: int = 4 * PIECE) -> Iterator
             hi = max(lo + 1, int(np.searchsorted(total, base + limit, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Give what this Python worker no longer uses back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shingle_sets(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

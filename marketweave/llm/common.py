@@ -1,4 +1,4 @@
-"""Shared pieces: scratch tables in the shared folder, ASCII lower-casing, skew-proof joins."""
+"""Shared pieces: scratch tables in the shared folder, ASCII lower-casing, joins that stand skew."""
 
 from __future__ import annotations
 
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of bytes other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A key is hot if it holds at least a thousandth of all rows, so there are at most this many.
-MAX_HOT = 1000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -62,18 +60,14 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: str) -> DataFrame:
-    """Left join of rows to one row per key, where a few keys may hold most rows.
+def left_join(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Left join of rows to one row per key (nulls are equal), where a few keys may hold most rows.
 
-    Keys with at least a thousandth of `total` rows number at most MAX_HOT, so they are broadcast;
-    their rows then get a null-free key of their own (dealt by `spread`) that matches nothing in the shuffled join.
+    The groups are written first. Then both sides are plain exchanges below the join, which adaptive execution can split where a key is
+    hot, and whose measured size decides whether the groups are broadcast instead.
     """
     values = [c for c in groups.columns if c != key]
-    is_hot = F.col(size) * MAX_HOT >= F.lit(total)
-    hot = groups.where(is_hot).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hv"))
-    rest = groups.where(~is_hot).select(F.col(key).alias("_rk"), F.lit(-1).alias("_rs"), F.struct(*values).alias("_rv"))
-    dealt = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hk")), "left")
-    salt = F.when(F.col("_hv").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int"))
-    joined = dealt.withColumn("_salt", salt).join(rest, F.col(key).eqNullSafe(F.col("_rk")) & (F.col("_salt") == F.col("_rs")), "left")
-    value = F.coalesce("_hv", "_rv")
-    return joined.select(*rows.columns, *[value[v].alias(v) for v in values])
+    right = groups if hasattr(groups, "_mw_path") else save(groups)
+    right = right.select(F.col(key).alias("_rk"), F.struct(*values).alias("_rv"))
+    joined = rows.join(right, F.col(key).eqNullSafe(F.col("_rk")), "left")
+    return joined.select(*rows.columns, *[F.col("_rv")[v].alias(v) for v in values])

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import drop, left_join_groups, save
+from marketweave.llm.common import drop, left_join, save
 
 
-def _with_min(edges: DataFrame, total: int) -> DataFrame:
-    mins = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    return left_join_groups(edges, mins, "u", "n", total, "v").withColumn("m", F.least("u", "m"))
+def _with_min(edges: DataFrame) -> DataFrame:
+    return left_join(edges, edges.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,8 +20,8 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """links: a, b (any order, repeats and loops allowed, nulls ignored) -> id, component_id of every id that has a link.
 
-    component_id is the smallest id reachable. A node with a huge number of neighbours is joined through
-    a broadcast of at most 1000 hot nodes, so no task gathers one neighbourhood.
+    component_id is the smallest id reachable. No task gathers a neighbourhood: minima come from partial aggregates, and a node with a
+    huge number of neighbours is split by the join.
     """
     edges = save(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(edges)
@@ -30,8 +29,8 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = save(_with_min(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        near = _with_min(large, large.count())
+        large = save(_with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        near = _with_min(large)
         moved = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
         after = save(moved.distinct())
         drop(large, edges)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import drop, left_join_groups, release, save
+from marketweave.llm.common import drop, left_join, save
 from marketweave.llm.components import components
 
 #: Orders to start from, and neighbours taken on each side in each.
@@ -133,7 +133,7 @@ def _refine(lists: DataFrame, units: DataFrame, k: int, threshold: float, k_most
     edges = lists.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.new")
     popular = edges.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     # Of a node's reverse neighbours about k_most are drawn each time.
-    back = left_join_groups(edges, popular.withColumn("size", F.col("n")), "v", "size", lists.count() * k, "u")
+    back = left_join(edges, popular, "v")
     back = back.where(F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.lit(1 << 20)) < F.lit(k_most) / F.col("n") * (1 << 20))
     around = edges.select(F.col("u").alias("node"), F.col("v").alias("other"), "new").unionByName(back.select(F.col("v").alias("node"), F.col("u").alias("other"), "new"))
     around = around.groupBy("node", "other").agg(F.max("new").alias("new"))
@@ -209,8 +209,7 @@ def _join_components(units: DataFrame, comps: DataFrame, size: int, threshold: f
         drop(bridges, labelled)
         return comps
     merged = components(bridges).select(F.col("id").alias("label"), "component_id")
-    merged = merged.join(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label")
-    after = left_join_groups(labelled.select("id", "label", "linked"), merged, "label", "m", size, "id")
+    after = left_join(labelled.select("id", "label", "linked"), merged, "label")
     after = save(after.where("linked or component_id is not null").select("id", F.coalesce("component_id", "label").alias("component_id")))
     drop(bridges, labelled)
     return after
@@ -228,9 +227,8 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     k_most = 4 * k
     vectors = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     all_units = save(vectors.mapInArrow(_prepare, "id long, dim int, unit binary, half binary").dropDuplicates(["id"]))
-    total = all_units.count()
     same = all_units.groupBy("unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    members = save(left_join_groups(all_units.select("id", "unit"), same.where("n > 1"), "unit", "n", total, "id").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(1)).alias("n")))
+    members = save(left_join(all_units.select("id", "unit"), same.where("n > 1"), "unit").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(1)).alias("n")))
     reps = members.where("id = rep").select("id", "n")
     units = save(all_units.join(reps, "id"))
     size = units.count()
@@ -243,7 +241,6 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         after, news = _refine(lists, units, k, threshold, k_most, turn)
         drop(lists)
         lists = after
-        release(spark)
         if news <= 0.002 * size * k:
             break
     near = lists.select("u", F.explode("near").alias("e")).where(F.col("e.sim") >= threshold - 0.01)
@@ -255,7 +252,7 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     # Exact counts: every component in blocks of about BLOCK vectors, each pair of blocks in a task of its own.
     inside = units.join(comps, "id").select("id", "n", "unit", "component_id")
     sizes = comps.groupBy("component_id").agg(F.count(F.lit(1)).alias("m"))
-    inside = left_join_groups(inside, sizes, "component_id", "m", size, "id")
+    inside = left_join(inside, sizes, "component_id")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     inside = inside.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import drop, left_join_groups, lower_ascii, save
+from marketweave.llm.common import drop, left_join, lower_ascii, save
 
 #: Runs of a level that compaction merges; bits of a filter for each digest.
 FANOUT, FILTER_BITS = 2, 16
@@ -109,13 +109,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
     sha = [] if digest is sha256 else [sha256(F.col("norm")).alias("sha")]
     log = save(rows.select("id", "digest", *sha, F.pmod(F.xxhash64("id", "digest"), F.lit(batches)).cast("int").alias("batch")), partitionBy="batch")
-    total = log.count()
     index, hits = DigestIndex(keep), None
     for k in range(batches):
         got = index.add(log.where(F.col("batch") == k).select("digest", "id"))
         hits = got if hits is None else hits.unionByName(got)
     groups = save(index.compact().join(hits.distinct(), "digest", "left_semi").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size")))
-    found = left_join_groups(log.drop("batch"), groups, "digest", "group_size", total, "id")
+    found = left_join(log.drop("batch"), groups, "digest")
     found = save(found.select("id", "digest", *(["sha"] if sha else []), F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")))
     drop(log)
 
@@ -133,7 +132,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Digests that hold different texts: group those rows by the bytes themselves.
     clash = rows.join(differ, "digest", "left_semi")
     groups = clash.groupBy("norm").agg(index.keep("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    fixed = left_join_groups(clash, groups, "norm", "group_size", total, "id").withColumn("sha", sha256(F.col("norm"))).drop("norm")
+    fixed = left_join(clash, groups, "norm").withColumn("sha", sha256(F.col("norm"))).drop("norm")
     clean = found.join(differ, "digest", "left_anti")
     clean = clean if sha else clean.withColumn("sha", F.col("digest"))
     return _named(clean.unionByName(fixed), id_col)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm import bytehash
-from marketweave.llm.common import MAX_HOT, left_join_groups, save, small_batches
+from marketweave.llm.common import left_join, save, small_batches
 from marketweave.llm.components import components
 
 #: Rows in a band. With 32 bands a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 = 5e-8.
@@ -82,23 +82,10 @@ def _sets(width: int):
     return build
 
 
-def _of(rows: DataFrame, facts: DataFrame, col: str, prefix: str, total: int) -> DataFrame:
-    """Left join of one row of facts per id to rows by a column in which a few ids may be very frequent."""
-    counts = rows.groupBy(F.col(col).alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    names = [c for c in facts.columns if c != "id"]
-    groups = facts.join(counts, "id").select(F.col("id").alias(col), "_n", *[F.col(c).alias(f"{prefix}{c}") for c in names])
-    return left_join_groups(rows, groups, col, "_n", total, next(c for c in rows.columns if c != col)).drop("_n")
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame, col: str, name: str) -> DataFrame:
-    """pairs with the shingles of `col`. An id in very many pairs has its set repeated once for each 256 of them, under a salt of its own."""
-    counts = pairs.groupBy(F.col(col).alias("id")).agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts"))
-    spread = sets.select("id", "shingles").join(counts, "id").select(F.col("id").alias(col), F.col("shingles").alias(name), "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    other = next(c for c in pairs.columns if c != col)
-    if counts.where("salts > 1").isEmpty():
-        return pairs.join(spread.select(col, name), col)
-    dealt = left_join_groups(pairs, counts.withColumnRenamed("id", col).withColumn("size", F.col("salts")), col, "size", 1000 * MAX_HOT, other)
-    return dealt.withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts")).cast("int")).drop("size").join(spread.drop("salts"), [col, "salt"]).drop("salt", "salts")
+def _of(rows: DataFrame, facts: DataFrame, col: str, prefix: str) -> DataFrame:
+    """Left join of one row of facts (a written table) per id to rows by a column in which a few ids may be very frequent."""
+    own = facts.select(F.col("id").alias(col), *[F.col(c).alias(f"{prefix}{c}") for c in facts.columns if c != "id"])
+    return rows.join(own, col, "left")
 
 
 def near_dedup(
@@ -115,7 +102,6 @@ def near_dedup(
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     signed = save(source.mapInArrow(_signer(width, bands), "id long, n_shingles long, digest binary, sig array<int>, bands array<long>"))
-    total = signed.count()
     # An id with several sets is several nodes, numbered above all ids, that are linked with the one that keeps the id.
     several = signed.where("id is not null and n_shingles > 0").groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least != most").select("id", "least")
     several = save(several)
@@ -128,16 +114,16 @@ def near_dedup(
     else:
         signed = signed.withColumn("doc", F.col("id"))
     copies = signed.where("id is not null and n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = save(left_join_groups(signed.select("id", "doc", "n_shingles", "digest"), copies, "digest", "size", total, "id").select("id", "doc", "n_shingles", F.coalesce("rep", "id").alias("rep")))
+    members = save(left_join(signed.select("id", "doc", "n_shingles", "digest"), copies, "digest").select("id", "doc", "n_shingles", F.coalesce("rep", "id").alias("rep")))
     others = members.where("id != rep").select("id").distinct()
 
     keyed = signed.where("id is not null and n_shingles > 0").select("id", F.explode("bands").alias("key")).join(others, "id", "left_anti")
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    placed = save(left_join_groups(keyed, buckets.select("key", "size", F.col("size").alias("_s")), "key", "_s", total, "id").where("size is not null").drop("_s"))
+    buckets = save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    placed = save(keyed.join(buckets, "key"))
     # A bucket's pivot is the class whose buckets are fullest: the common ancestor of near copies rather than one of them.
     crowd = save(placed.groupBy("id").agg(F.struct(F.sum("size").alias("rows"), (-F.col("id")).alias("minus_id")).alias("crowd")))
-    pivots = placed.join(crowd, "id").groupBy("key").agg(F.max("crowd").alias("pivot"), F.count(F.lit(1)).alias("_s"))
-    placed = save(left_join_groups(placed, pivots, "key", "_s", total, "id").drop("_s"))
+    pivots = placed.join(crowd, "id").groupBy("key").agg(F.max("crowd").alias("pivot"))
+    placed = save(placed.join(save(pivots), "key"))
     among = placed.select("id").distinct()
     facts = save(signed.select("id", "n_shingles", "sig").join(among, "id", "left_semi").dropDuplicates(["id"]))
     kind = "id long, digest binary, shingles array<long>"
@@ -152,12 +138,12 @@ def near_dedup(
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs a, b that pass sizes and signatures, with the common shingles of their full sets and whether they link."""
-        n = pairs.count()
-        p = _of(_of(pairs, facts, "a", "a_", n), facts, "b", "b_", n)
+        p = _of(_of(pairs, facts, "a", "a_"), facts, "b", "b_")
         same = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         fits = F.least("a_n_shingles", "b_n_shingles") * 100 >= F.greatest("a_n_shingles", "b_n_shingles") * percent
         p = save(p.where(fits & (same >= floor * bands * BAND_ROWS)).select("a", "b"))
-        both = _with_sets(_with_sets(p, sets, "a", "sa"), sets, "b", "sb")
+        # A pivot meets its whole family here: adaptive execution splits its pairs.
+        both = _of(_of(p, sets, "a", "a_"), sets, "b", "b_").select("a", "b", F.col("a_shingles").alias("sa"), F.col("b_shingles").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
         link = 100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))
         return save(both.withColumn("common", common).select("a", "b", "common", link.alias("link")))
@@ -178,19 +164,18 @@ def near_dedup(
     tested = verified(first)
     comps = save(components(linked(tested)))
     # 2. The other pivots that are still in another component.
-    known = lambda rows, col, name, n: _of(rows, comps, col, "_", n).withColumnRenamed("_component_id", name).withColumn(name, F.coalesce(name, col))
+    known = lambda rows, col, name: _of(rows, comps, col, "_").withColumnRenamed("_component_id", name).withColumn(name, F.coalesce(name, col))
     others_ = save(stars.select("a", "b").join(first, ["a", "b"], "left_anti"))
-    n = others_.count()
-    second = save(known(known(others_, "a", "ca", n), "b", "cb", n).where("ca != cb").select("a", "b"))
+    second = save(known(known(others_, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b"))
     if not second.isEmpty():
         tested = tested.unionByName(verified(second))
         comps = save(components(linked(tested)))
     # 3. Within a bucket, what is outside its largest component against the rest of the bucket.
-    inside = save(known(placed.select("id", "key", "size", "pivot"), "id", "comp", placed.count()))
+    inside = save(known(placed.select("id", "key", "size", "pivot"), "id", "comp"))
     parts = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("n_comps"), F.sum("n").alias("_s"))
-    open_keys = open_keys.where("n_comps > 1").select("key", F.col("most.comp").alias("major"), "_s")
-    open_rows = save(left_join_groups(inside, open_keys, "key", "_s", total, "id").where("major is not null").drop("_s"))
+    open_keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("n_comps"))
+    open_keys = save(open_keys.where("n_comps > 1").select("key", F.col("most.comp").alias("major")))
+    open_rows = save(inside.join(open_keys, "key"))
     # A shingle that no other open class has can't be in an intersection, so I <= own = n - lone, and a link needs
     # (100 + percent) * I >= percent * (n + n'). Where both were tested against the pivot and have i and i' shingles in common
     # with it, I <= min(i, i') + min(own - i, own' - i').
@@ -199,9 +184,9 @@ def near_dedup(
     bound = facts.select("id", "n_shingles").join(lone, "id", "left").select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("own"))
     own_keys = open_rows.groupBy("id").agg(F.collect_list("key").alias("keys"))
     open_rows = open_rows.join(bound.join(own_keys, "id"), "id")
-    least = open_rows.groupBy("key").agg(F.min("n_shingles").alias("least"), F.count(F.lit(1)).alias("_s"))
+    least = open_rows.groupBy("key").agg(F.min("n_shingles").alias("least"))
     fits = lambda common, n: (100 + percent) * common >= percent * n
-    alive = left_join_groups(open_rows, least, "key", "_s", total, "id").where(fits(F.col("own"), F.col("n_shingles") + F.col("least")))
+    alive = left_join(open_rows, least, "key").where(fits(F.col("own"), F.col("n_shingles") + F.col("least")))
     measured = tested.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common")
     alive = alive.withColumn("hub", -F.col("pivot.minus_id")).join(measured, ["id", "hub"], "left")
     alive = save(alive.withColumn("common", F.when(F.col("id") == F.col("hub"), F.col("n_shingles")).otherwise(F.col("common"))))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import WORD, left_join_groups, save
+from marketweave.llm.common import WORD, left_join, save
 
 BINS, SEED = 4096, 17
 
@@ -93,14 +93,13 @@ def pareto_mix(
     importance = None if importance_col is None else F.col(importance_col)
     size = word_count(F.col(text_col))
     rows = save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), draw(id_col, text_col, seed).alias("u"), importance_class(size, importance).alias("c")))
-    kinds = rows.groupBy("source", "c").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
-    sizes = save(kinds.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_rows"), F.array_sort(F.collect_list(F.struct("c", "words"))).alias("classes")))
+    kinds = rows.groupBy("source", "c").agg(F.sum("size").alias("words"))
+    sizes = save(kinds.groupBy("source").agg(F.sum("words").alias("source_size"), F.array_sort(F.collect_list(F.struct("c", "words"))).alias("classes")))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.when(F.abs(copies - F.round(copies)) < 1e-12, F.round(copies)).otherwise(copies)
     plan = source_targets(sizes, weights, share, cap).withColumn("e", copies).withColumn("certain", F.floor("e")).withColumn("p", F.col("e") - F.col("certain"))
     plan = plan.withColumn("rest", F.col("p") * F.col("source_size")).withColumn("factor", inclusion_factor(F.col("classes"), F.col("rest"))).drop("classes")
-    total = rows.count()
-    rows = left_join_groups(rows, save(plan), "source", "n_rows", total, "u")
+    rows = left_join(rows, plan, "source")
     # Pareto rank: random odds over inclusion odds. rank/(1+rank) lies in (0, 1); the sample ends near 1/2.
     rank = (F.col("u") / (1 - F.col("u"))) / (F.col("factor") * F.pow(F.lit(2.0), F.col("c") / F.lit(4.0)))
     q = F.when((F.col("p") > 0) & (F.col("factor") > 0), rank / (1 + rank)).otherwise(F.col("u"))
@@ -119,15 +118,14 @@ def pareto_mix(
         .join(last.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3")), "left")
         .select("source", "c1", "c2", "edge", (F.coalesce("left2", "left1") - F.coalesce("got", F.lit(0))).alias("gap"))
     )
-    edges = edges.join(sizes.select(F.col("source").alias("s4"), "n_rows"), F.col("source").eqNullSafe(F.col("s4"))).drop("s4")
-    rows = left_join_groups(rows.drop("n_rows"), edges, "source", "n_rows", total, "u")
+    rows = left_join(rows, edges, "source")
     in_edge = (F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2")) & (F.struct("q", "id") <= F.col("edge"))
     before = (F.col("b1") < F.coalesce("c1", F.lit(BINS))) | ((F.col("b1") == F.col("c1")) & (F.col("b2") < F.coalesce("c2", F.lit(BINS)))) | in_edge
     rows = save(rows.withColumn("chosen", (F.col("p") > 0) & (F.col("size") > 0) & F.coalesce(before, F.lit(False))))
 
     closing = rows.where("p > 0 and size > 0 and not chosen and size < 2 * gap").groupBy("source").agg(
-        F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "q", "id")).alias("closing"), F.first("n_rows").alias("n_rows"))
-    out = left_join_groups(rows.drop("n_rows"), closing, "source", "n_rows", total, "u")
+        F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "q", "id")).alias("closing"))
+    out = left_join(rows, closing, "source")
     one = F.coalesce(F.struct("q", "id") == F.struct(F.col("closing.q"), F.col("closing.id")), F.lit(False)) & F.col("id").isNotNull() & (F.col("p") > 0) & (F.col("size") > 0)
     n = (F.col("certain") + (F.col("chosen") | one).cast("int")).cast("int")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * n).alias("taken"), F.when(F.col("size") > 0, n).otherwise(F.lit(0)).alias("copies"), "u")

@@ -295,13 +295,11 @@ def unit_ids(words: DataFrame, model: PieceModel) -> DataFrame:
         if first_byte is None:
             return F.array(F.lit(model.unk))
         return F.transform(F.sequence(F.lit(1), F.length(digits(c)) - 1, F.lit(2)), lambda k: (F.conv(F.substring(digits(c), k, F.lit(2)), 16, 10).cast("int") + F.lit(first_byte)))
-    starts = F.transform("kept", lambda e: e["start"])
     inside = lambda i: F.exists(F.coalesce("kept", F.array().cast("array<struct<start:int,len:int,id:int>>")), lambda e: (e["start"] < i) & (i < e["start"] + e["len"]))
     def at(i: Column) -> Column:
         own = F.filter(F.coalesce("kept", F.array().cast("array<struct<start:int,len:int,id:int>>")), lambda e: e["start"] == i)
         return F.when(F.size(own) > 0, F.transform(own, lambda e: e["id"])).when(inside(i), F.array().cast("array<int>")).otherwise(spelled(F.substring("unit", i + 1, F.lit(1))))
     slow = F.flatten(F.transform(F.sequence(F.lit(0), F.length("unit") - 1), at))
-    del starts
     out = got.select("h", "n", F.when(covered == F.length("unit"), F.transform("kept", lambda e: e["id"])).otherwise(slow).alias("ids"))
     if model.kind != "bpe":
         return out
@@ -324,15 +322,6 @@ def unit_ids(words: DataFrame, model: PieceModel) -> DataFrame:
     return out.unionByName(long)
 
 
-def _packed(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes, and their ids end to end with where each one's begin."""
-    h = np.array([r[0] for r in rows], np.int64)
-    order = np.argsort(h)
-    sizes = np.array([len(r[1]) for r in rows], np.int64)[order] if rows else np.zeros(0, np.int64)
-    flat = np.concatenate([np.asarray(rows[i][1], np.int32) for i in order]) if rows else np.zeros(0, np.int32)
-    return h[order], np.concatenate([[0], np.cumsum(sizes)]), flat
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = b.column(1)
@@ -389,11 +378,16 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     del chunks
     release(spark)
     order = np.argsort(h)
-    begin = (np.cumsum(n) - n)[order]
-    shared = spark.sparkContext.broadcast((h[order], begin, n[order].astype(np.int32), flat, slots(h[order])))
+    flat = flat[_ragged((np.cumsum(n) - n)[order], n[order])]
+    if len(flat) and 0 <= flat.min() and flat.max() < 1 << 16:
+        flat = flat.astype(np.uint16)
+    begin = np.concatenate([[0], np.cumsum(n[order])])
+    begin = begin.astype(np.int32) if begin[-1] < 1 << 31 else begin
+    shared = spark.sparkContext.broadcast((h[order], begin, flat, slots(h[order])))
+    del h, n, flat, order, begin
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, table = shared.value[0], shared.value[4]
+        keys, table = shared.value[0], shared.value[3]
         for part in bytehash.texts(batches, 1 << 20):
             _, _, h, first = units(*bytehash.utf8(part.column(1)), pairs.value, seed)
             missing = lookup(table, keys, h) < 0
@@ -409,7 +403,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     schema = pa.schema([("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, begin, size, flat, table = shared.value
+        keys, begin, flat, table = shared.value
         for part in bytehash.texts(_expand(batches), 1 << 20):
             data, offsets = bytehash.utf8(part.column(1))
             _, _, h, first = units(data, offsets, pairs.value, seed)
@@ -418,16 +412,17 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             own_flat, own_first = np.asarray(own_ids.flatten()), np.asarray(own_ids.offsets).astype(np.int64)
             own_first = own_first - own_first[0]
             lead = np.unique(own_h, return_index=True)
-            all_flat = np.concatenate([flat, own_flat.astype(np.int32)])
             where, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
             at = lookup(table, keys, h)
             ok = at >= 0
-            where[ok], count[ok] = begin[at[ok]], size[at[ok]]
+            where[ok], count[ok] = begin[at[ok]], begin[at[ok] + 1] - begin[at[ok]]
             rest = np.flatnonzero(~ok)
             if len(rest):
                 at = lead[1][np.searchsorted(lead[0], h[rest])]
-                where[rest], count[rest] = own_first[:-1][at] + len(flat), np.diff(own_first)[at]
-            ids = all_flat[_ragged(where, count)]
+                where[rest], count[rest] = own_first[:-1][at], np.diff(own_first)[at]
+            place, sent = _ragged(where, count), np.repeat(ok, count)
+            ids = np.empty(len(place), np.int32)
+            ids[sent], ids[~sent] = flat[place[sent]], own_flat[place[~sent]]
             ends = np.concatenate([[0], np.cumsum(count)])[first]
             back, back_first = decoded(ids, ends, *decoder.value, prefix)
             raw, text = data.tobytes(), back.tobytes()
@@ -442,7 +437,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
 
 def slots(keys: np.ndarray) -> np.ndarray:
     """An open hash table of the positions of distinct 64-bit hashes, at most half full; -1 is empty."""
-    size = 1 << max(4, int(2 * len(keys)).bit_length())
+    size = 1 << max(4, int(2 * len(keys) - 1).bit_length())
     table = np.full(size, -1, np.int32)
     left, at = np.arange(len(keys), dtype=np.int32), keys & (size - 1)
     while len(left):

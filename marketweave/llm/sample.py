@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketweave.llm.bytehash import trim
 from marketweave.llm.common import drop, save
 
 
@@ -55,6 +56,8 @@ def fit(rows: DataFrame, encode: Callable[[bytes], bytes], learn: Callable[[list
                 size += len(row[1])
                 held.append((row[1], row[0], *row[2:]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(held))], pa.binary())], names=["model"])
+        del held
+        trim()
 
     short = rows.mapInArrow(shorten, f"h long, y int, x binary{', ' if kinds else ''}{kinds}")
     found = save(short.repartition(1).sortWithinPartitions("h", "x").mapInArrow(run, "model binary"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import left_join_groups, save, small_batches
+from marketweave.llm.common import left_join, save, small_batches
 
 #: Parts of partial wrappers that a task holds before it passes them on.
 HELD_PARTS = 200_000
@@ -510,8 +510,7 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         wrapped = rows.withColumn("wrapper", F.lit(None).cast("binary"))
     else:
         sent = None
-        sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-        wrapped = left_join_groups(rows, wrappers.join(sizes, "host"), "host", "n", pages.count(), "page_id")
+        wrapped = left_join(rows, wrappers, "host")
 
     def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict = {}
