@@ -4,21 +4,25 @@ A neighbour graph starts from random-hyperplane orders and is refined by joins o
 neighbours and reverse neighbours are compared with each other, and each keeps its best. Lists whose last entry still is a
 link are enlarged. Links are checked in double precision. Lists may be too short for all links and the descent may miss some,
 so its components are only a start: all pairs of vectors of different components are compared in blocks, components with a
-link between them are merged, and within a component links are counted exactly in blocks. Results don't depend on the lists.
+link between them are merged, and within a component links are counted exactly in blocks. Results don't depend on the lists;
+an audit logs the share of all links that they held.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm.common import drop, left_join, save
 from marketweave.llm.components import components
 
+_LOG = logging.getLogger(__name__)
 #: Orders to start from, and neighbours taken on each side in each.
 ORDERS, SIDE = 4, 4
 #: Vectors of a component that meet in one block product.
@@ -39,18 +43,29 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, dim, unit vector as float64 and float16; rows that link with nothing are left out."""
     schema = pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("unit", pa.binary()), ("half", pa.binary())])
     for batch in batches:
+        vec = batch.column(1)
+        flat, first = vec.values, np.asarray(vec.offsets).astype(np.int64)
+        x = np.asarray(flat.fill_null(float("nan")), np.float64)
+        size = np.diff(first)
+        odd = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+        ok = np.asarray(pc.and_(batch.column(0).is_valid(), vec.is_valid())) & (size > 0) & (odd[first[1:]] == odd[first[:-1]])
         out = []
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if i is None or not v or any(x is None for x in v):
-                continue
-            x = np.asarray(v, np.float64)
-            scale = np.abs(x).max()
-            if not np.isfinite(x).all() or not scale:
-                continue
-            x = x / scale
-            x = x / np.sqrt(x @ x)
-            out.append((i, len(x), x.tobytes(), x.astype(np.float16).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], f.type) for j, f in enumerate(schema)], schema=schema)
+        for dim in np.unique(size[ok]):
+            at = np.flatnonzero(ok & (size == dim))
+            m = x[first[at][:, None] + np.arange(dim)]
+            scale = np.abs(m).max(1)
+            at, m, scale = at[scale > 0], m[scale > 0], scale[scale > 0]
+            m = m / scale[:, None]
+            m = m / np.sqrt((m * m).sum(1))[:, None]
+            out.append([batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), _rows(m), _rows(m.astype(np.float16))])
+        if out:
+            yield from (pa.RecordBatch.from_arrays(o, schema=schema) for o in out)
+
+
+def _rows(m: np.ndarray) -> pa.Array:
+    """A row of the matrix per value, as bytes."""
+    raw = np.ascontiguousarray(m).tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.arange(0, len(raw) + 1, max(1, m.itemsize * m.shape[1]), dtype=np.int32)), pa.py_buffer(raw)])
 
 
 def _signatures(seed: int):
@@ -162,9 +177,10 @@ def _count_block(threshold: float):
         if not len(right):  # a block with itself
             hit = (x @ x.T >= threshold)
             np.fill_diagonal(hit, False)
-            return pa.table({"id": ids, "links": hit @ n})
+            return pa.table({"id": ids, "n": n, "links": hit @ n, "found": hit.sum(1)})
         hit = x[left] @ x[right].T >= threshold
-        return pa.table({"id": np.concatenate([ids[left], ids[right]]), "links": np.concatenate([hit @ n[right], hit.T @ n[left]])})
+        both = np.concatenate([left, right])
+        return pa.table({"id": ids[both], "n": n[both], "links": np.concatenate([hit @ n[right], hit.T @ n[left]]), "found": np.concatenate([hit.sum(1), hit.sum(0)])})
 
     return count
 
@@ -246,7 +262,7 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     near = lists.select("u", F.explode("near").alias("e")).where(F.col("e.sim") >= threshold - 0.01)
     pairs = near.select(F.greatest("u", "e.v").alias("a"), F.least("u", "e.v").alias("b")).distinct()
     both = pairs.join(units.select(F.col("id").alias("a"), F.col("unit").alias("x")), "a").join(units.select(F.col("id").alias("b"), F.col("unit").alias("y")), "b")
-    links = both.select("a", "b", "x", "y").mapInArrow(_cosine, "a long, b long, cos double").where(F.col("cos") >= threshold).select("a", "b")
+    links = save(both.select("a", "b", "x", "y").mapInArrow(_cosine, "a long, b long, cos double").where(F.col("cos") >= threshold).select("a", "b"))
     comps = _join_components(units, save(components(links)), size, threshold)
 
     # Exact counts: every component in blocks of about BLOCK vectors, each pair of blocks in a task of its own.
@@ -257,7 +273,10 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     inside = inside.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("component_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "unit")
-    counted = met.groupBy("component_id", "i", "j").applyInArrow(_count_block(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    counted = save(met.groupBy("component_id", "i", "j").applyInArrow(_count_block(threshold), "id long, n long, links long, found long").groupBy("id").agg(F.max("n").alias("n"), F.sum("links").alias("links"), F.sum("found").alias("found")))
+    # The audit: of all links between different vectors, the share that the refined lists hold.
+    true, held = counted.agg(F.sum("found")).first()[0] or 0, links.count()
+    _LOG.info("NN-descent held %d of %d links (recall %.4f); the exact blocks gave the rest", held, true // 2, 2 * held / true if true else 1.0)
     found = counted.join(comps, "id").select(F.col("id").alias("rep"), "links", "component_id")
     known = members.join(found, "rep", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = vectors.select("id").join(known, "id", "left")

@@ -7,46 +7,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweave.functions.scalars import keyed_truncated_normal, keyed_uniform
 from marketweave.operators.fuzzy import FuzzyModel
 from marketweave.operators.metrics import fit_metrics, net_sharpe, rank_ic, top_n_portfolio
-from marketweave.operators.training import finite_rows, initial_model, subtractive_centers, train
+from marketweave.operators.training import finite_rows, initial_model, least_squares, linear_score, subtractive_centers, train
 
 
-def block_starts(draws: int, blocks: int, choices: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, choices, size=(draws, blocks))
+def block_draws(spark, n: int, draws: int, block: int, seed: int) -> DataFrame:
+    """b, pos, i: each draw's n positions from moving blocks of 0 .. n-1, by a keyed hash (the same on every engine); empty if n is under a block."""
+    if n < block:
+        return spark.createDataFrame([], "b int, pos int, i int")
+    rows = spark.range(draws).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(-(-n // block) - 1))).alias("j"))
+    start = F.floor(keyed_uniform(str(seed), F.col("b").cast("string"), F.col("j").cast("string")) * F.lit(n - block + 1)).cast("int")
+    rows = rows.withColumn("s", start).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+    return rows.select("b", (F.col("j") * block + F.col("k")).alias("pos"), (F.col("s") + F.col("k")).alias("i")).where(F.col("pos") < n)
 
 
-def block_bootstrap_ci(values: np.ndarray, draws: int = 5000, block: int = 30, seed: int = 0, alpha: float = 0.05) -> tuple[float, float, float]:
-    """Mean and interval from moving blocks of a series on the driver; NaN bounds if it is shorter than a block."""
-    values = np.asarray(values, float)
-    values = values[np.isfinite(values)]
-    n = len(values)
-    if n < block:
-        return (float(values.mean()) if n else np.nan), np.nan, np.nan
-    starts = block_starts(draws, n // block + 1, n - block + 1, seed)
-    at = (starts[:, :, None] + np.arange(block)).reshape(draws, -1)[:, :n]
-    low, high = np.quantile(values[at].mean(1), [alpha / 2, 1 - alpha / 2])
-    return float(values.mean()), float(low), float(high)
+def numbered(days: DataFrame, by: str = "date") -> DataFrame:
+    """i = 0, 1, ... in order; for one row per date."""
+    return days.withColumn("i", F.row_number().over(Window.orderBy(by)) - 1)
 
 
-def panel_draws(panel: DataFrame, draws: int, block: int, seed: int) -> DataFrame:
-    """b, pos, date: each draw's dates from moving blocks of the panel's sorted dates. Only starts (draws x blocks) come from the driver."""
-    spark = panel.sparkSession
-    days = panel.select("date").distinct()
-    n = days.count()
-    if n < block:
-        return spark.createDataFrame([], "b int, pos int, date date")
-    starts = block_starts(draws, -(-n // block), n - block + 1, seed)
-    table = spark.createDataFrame(pd.DataFrame({"b": np.repeat(np.arange(draws, dtype=np.int32), starts.shape[1]), "j": np.tile(np.arange(starts.shape[1], dtype=np.int32), draws), "s": starts.ravel().astype(np.int32)}))
-    taken = table.select("b", "j", "s", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k")).select("b", (F.col("j") * block + F.col("k")).alias("pos"), (F.col("s") + F.col("k")).alias("i")).where(F.col("pos") < n)
-    from pyspark.sql import Window
+def block_bootstrap(series: DataFrame, col: str = "ic", draws: int = 5000, block: int = 30, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """n, mean, low, high: mean of a series by date and its interval from moving blocks; NULL bounds if it is shorter than a block."""
+    rows = numbered(series.where(F.col(col).isNotNull() & ~F.isnan(col))).select("i", F.col(col).alias("x"))
+    means = block_draws(series.sparkSession, rows.count(), draws, block, seed).join(rows, "i").groupBy("b").agg(F.avg("x").alias("m"))
+    bounds = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
+    return rows.agg(F.count("x").alias("n"), F.avg("x").alias("mean")).crossJoin(bounds)  # one row and one row
+
 
-    index = days.withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
-    return taken.join(index, "i").select("b", "pos", "date")
+def panel_draws(panel: DataFrame, draws: int, block: int, seed: int) -> DataFrame:
+    """b, pos, date: each draw's dates from moving blocks of the panel's sorted dates."""
+    days = numbered(panel.select("date").distinct())
+    return block_draws(panel.sparkSession, days.count(), draws, block, seed).join(days, "i").select("b", "pos", "date")
 
 
 def panel_bootstrap(panel: DataFrame, score: str = "score", ret: str = "R30", draws: int = 5000, block: int = 30, seed: int = 0) -> DataFrame:
@@ -61,14 +57,30 @@ def interval(series: DataFrame, col: str, low: float = 0.025, high: float = 0.97
 
 def sharpe_bootstrap(portfolio: DataFrame, cost_bps: float, draws: int = 2000, seed: int = 0) -> DataFrame:
     """b, sharpe: months drawn with replacement; turnover follows the drawn order."""
-    from pyspark.sql import Window
+    index = numbered(portfolio).select("i", "portfolio_return", "picks")
+    return net_sharpe(block_draws(portfolio.sparkSession, index.count(), draws, 1, seed).join(index, "i"), [cost_bps], by=["b"], order="pos").select("b", "sharpe")
+
+
+def horizon_table(scored: DataFrame, train_rows: DataFrame, inputs: list[str], horizons: list[int]) -> DataFrame:
+    """One row per horizon: n_labelled, rmse, mae, pooled_rank_ic, per_asset_mean_rank_ic and, for least squares on the same labels,
+    ols_pooled_rank_ic. A horizon without a label has 0 and NULLs."""
+    out = None
+    for h in horizons:
+        label, ret = f"Y_target_{h}", f"R{h}"
+        pooled = rank_ic(scored, "score", ret).select(F.col("ic").alias("pooled_rank_ic"))
+        fit = scored.where(F.col(label).isNotNull()).agg(F.count(F.lit(1)).alias("n_labelled"), F.sqrt(F.avg((F.col("score") - F.col(label)) ** 2)).alias("rmse"), F.avg(F.abs(F.col("score") - F.col(label))).alias("mae"))
+        own = rank_ic(scored.where(F.col(label).isNotNull()), "score", ret, ["ticker"]).agg(F.avg("ic").alias("per_asset_mean_rank_ic"))
+        ols = scored.withColumn("ols", linear_score(least_squares(train_rows, inputs, label), inputs))
+        ols = rank_ic(ols, "ols", ret).select(F.col("ic").alias("ols_pooled_rank_ic"))
+        row = fit.crossJoin(pooled).crossJoin(own).crossJoin(ols).withColumn("horizon_days", F.lit(h))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
 
-    spark = portfolio.sparkSession
-    n = portfolio.count()
-    index = portfolio.withColumn("i", F.row_number().over(Window.orderBy("date")) - 1).select("i", "portfolio_return", "picks")
-    at = np.random.default_rng(seed).integers(0, max(n, 1), size=(draws, n))
-    table = spark.createDataFrame(pd.DataFrame({"b": np.repeat(np.arange(draws, dtype=np.int32), n), "pos": np.tile(np.arange(n, dtype=np.int32), draws), "i": at.ravel().astype(np.int32)})) if n else spark.createDataFrame([], "b int, pos int, i int")
-    return net_sharpe(table.join(index, "i"), [cost_bps], by=["b"], order="pos").select("b", "sharpe")
+
+def evaluate(df: DataFrame, inputs: list[str], model: FuzzyModel, label: str) -> DataFrame:
+    """n, rmse, mae, dir_acc and rank_ic of the unclipped prediction on finite rows."""
+    rows = model.with_prediction(finite_rows(df, inputs, label), inputs)
+    return fit_metrics(rows, "prediction", label).crossJoin(rank_ic(rows, "prediction", label).select(F.col("ic").alias("rank_ic")))  # one row each
 
 
 def conditioning(model: FuzzyModel, df: DataFrame, inputs: list[str]) -> DataFrame:
@@ -98,8 +110,6 @@ def masked_report(model: FuzzyModel, df: DataFrame, inputs: list[str], draws: in
     ic = rank_ic(many, "masked", "R30", ["draw"]).select("draw", "ic")
     fit = fit_metrics(many, "masked", "Y_target", ["draw"]).select("draw", "rmse")
     days = many.join(many.groupBy(F.date_trunc("month", "date").alias("m")).agg(F.min("date").alias("date")).select("date"), "date", "left_semi").where("R30 is not null and masked is not null")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("draw", "date").orderBy(F.col("masked").desc(), "ticker"))
     picks = days.withColumn("k", place).where(F.col("k") <= top_n).groupBy("draw", "date").agg(F.avg("R30").alias("portfolio_return"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("ticker")), ",").alias("picks")).where(F.col("n") >= top_n)
     sharpe = net_sharpe(picks, [cost_bps], by=["draw"]).select("draw", "sharpe")

@@ -554,15 +554,103 @@ _A = ["1.0::DOUBLE", *INPUTS]
 
 @query("a18_gram", with_("panel") + " SELECT " + ", ".join(f"round(sum({_A[i]} * {_A[j]}), 2) + 0.0::DOUBLE AS g{i}{j}" for i in range(4) for j in range(i, 4)) + " FROM panel WHERE Y_target IS NOT NULL AND date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'")
 def _(s, d):
-    a = [F.lit(1.0), *_xs()]
-    return panel(s, d, TRAIN).where(F.col("Y_target").isNotNull()).agg(*[r(F.sum(a[i] * a[j]), 2).alias(f"g{i}{j}") for i in range(4) for j in range(i, 4)])
+    a, _, _ = Z.gram(panel(s, d, TRAIN).where(F.col("Y_target").isNotNull()), [F.lit(1.0), *_xs()], F.col("Y_target"))
+    return s.range(1).select(*[r(F.lit(float(a[i][j])), 2).alias(f"g{i}{j}") for i in range(4) for j in range(i, 4)])
 
 
-@query("m5_ols_predict")
+_DESIGN = [f"({sql_firing(k)} / {SQL_FIRED}) * {x}" for k in K for x in ["1.0::DOUBLE", *INPUTS]]
+
+
+@query("z12_gram", with_("panel") + ", dm AS (SELECT Y_target AS y, " + ", ".join(f"{x} AS d{i}" for i, x in enumerate(_DESIGN)) + " FROM panel WHERE Y_target IS NOT NULL AND date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31') SELECT "
+       + ", ".join(f"round(sum(d{i} * d{j}), 1) + 0.0::DOUBLE AS g{i}_{j}" for i in range(12) for j in range(i, 12)) + ", " + ", ".join(f"round(sum(d{i} * y), 1) + 0.0::DOUBLE AS b{i}" for i in range(12)) + " FROM dm")
+def _(s, d):
+    a, b, _ = Z.gram(panel(s, d, TRAIN).where(F.col("Y_target").isNotNull()), MODEL.design(_xs()), F.col("Y_target"))
+    return s.range(1).select(*[r(F.lit(float(a[i][j])), 1).alias(f"g{i}_{j}") for i in range(12) for j in range(i, 12)], *[r(F.lit(float(b[i])), 1).alias(f"b{i}") for i in range(12)])
+
+
+def sql_ols(label: str, test: str, name: str = "ols") -> str:
+    """Common table expressions that end in `name`: the rows of `test` with the least-squares prediction `ols`, by orthogonalised inputs."""
+    train = f"SELECT dev_price AS x1, dev_volume AS x2, order_flow AS x3, {label} AS y FROM panel WHERE {label} IS NOT NULL AND date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'"
+    return f"""{name}_t AS ({train}),
+    {name}_a AS (SELECT regr_slope(x2, x1) AS s2, regr_intercept(x2, x1) AS i2, regr_slope(x3, x1) AS s3, regr_intercept(x3, x1) AS i3, regr_slope(y, x1) AS b1, regr_intercept(y, x1) AS b0 FROM {name}_t),
+    {name}_e AS (SELECT y, x2 - i2 - s2 * x1 AS e2, x3 - i3 - s3 * x1 AS r3 FROM {name}_t, {name}_a),
+    {name}_b AS (SELECT regr_slope(r3, e2) AS s32, regr_slope(y, e2) AS b2 FROM {name}_e),
+    {name}_c AS (SELECT regr_slope(y, r3 - s32 * e2) AS b3 FROM {name}_e, {name}_b),
+    {name} AS (SELECT q.*, b0 + b1 * dev_price + b2 * (dev_volume - i2 - s2 * dev_price) + b3 * (order_flow - i3 - s3 * dev_price - s32 * (dev_volume - i2 - s2 * dev_price)) AS ols FROM {test} q, {name}_a, {name}_b, {name}_c)"""
+
+
+@query("m5_ols_predict", with_("tested") + ", " + sql_ols("Y_target", "tested") + f" SELECT ticker, date, {q('ols', 4)} AS score FROM ols")
 def _(s, d):
     p = panel(s, d).cache()
     b = Z.least_squares(p.where(T.between(*TRAIN)), INPUTS, "Y_target")
-    return p.where(T.between(*TEST)).select("ticker", "date", Z.linear_score(b, INPUTS).alias("score"))
+    return p.where(T.between(*TEST)).select("ticker", "date", r(Z.linear_score(b, INPUTS), 4).alias("score"))
+
+
+HORIZONS = [5, 21, 30, 63, 252]
+
+
+def _sql_horizon(h: int) -> str:
+    return (f"SELECT {h} AS horizon_days, f.*, p.ic AS pooled_rank_ic, a.ic AS per_asset_mean_rank_ic, o.ic AS ols_pooled_rank_ic FROM "
+            f"(SELECT count(*) AS n_labelled, {q(f'sqrt(avg((score - Y_target_{h}) * (score - Y_target_{h})))', 4)} AS rmse, {q(f'avg(abs(score - Y_target_{h}))', 4)} AS mae FROM scored WHERE Y_target_{h} IS NOT NULL) f, "
+            f"({sql_ic('scored', 'score', f'R{h}')}) p, (SELECT {q('avg(ic)', 5)} AS ic FROM ({sql_ic(f'(SELECT * FROM scored WHERE Y_target_{h} IS NOT NULL)', 'score', f'R{h}', 'ticker')})) a, ({sql_ic(f'o{h}', 'ols', f'R{h}')}) o")
+
+
+@query("m1_horizons", with_scored() + ", " + ", ".join(sql_ols(f"Y_target_{h}", "scored", f"o{h}") for h in HORIZONS) + " " + " UNION ALL ".join(_sql_horizon(h) for h in HORIZONS))
+def _(s, d):
+    p = panel(s, d).cache()
+    tested = MODEL.with_score(p.where(T.between(*TEST)), INPUTS).withColumn("score", r("score", 6)).cache()
+    out = X.horizon_table(tested, p.where(T.between(*TRAIN)).cache(), INPUTS, HORIZONS)
+    return out.select("horizon_days", "n_labelled", *[r(c, k).alias(c) for c, k in (("rmse", 4), ("mae", 4), ("pooled_rank_ic", 6), ("per_asset_mean_rank_ic", 5), ("ols_pooled_rank_ic", 6))])
+
+
+_PREDICTED = _sql_total([f"{sql_firing(k)} * {sql_output(k, False)}" for k in K]) + " / " + SQL_FIRED
+
+
+@query("a14_evaluate", with_("tested") + f""", pr AS (SELECT *, {_PREDICTED} AS yhat FROM tested WHERE Y_target IS NOT NULL)
+    SELECT f.*, i.ic AS rank_ic FROM (SELECT count(*) AS n, {q('sqrt(avg((yhat - Y_target) * (yhat - Y_target)))', 4)} AS rmse, {q('avg(abs(yhat - Y_target))', 4)} AS mae, {q('avg((sign(yhat - 50) = sign(Y_target - 50))::INT)', 5)} AS dir_acc FROM pr WHERE yhat IS NOT NULL) f,
+    ({sql_ic('pr', 'yhat', 'Y_target')}) i""")
+def _(s, d):
+    out = X.evaluate(panel(s, d, TEST), INPUTS, MODEL, "Y_target")
+    return out.select("n", *[r(c, k).alias(c) for c, k in (("rmse", 4), ("mae", 4), ("dir_acc", 5), ("rank_ic", 6))])
+
+
+@query("f8_finite", with_("tested") + " SELECT ticker, date FROM tested WHERE dev_price IS NOT NULL AND dev_volume IS NOT NULL AND order_flow IS NOT NULL AND Y_target IS NOT NULL AND isfinite(Y_target)")
+def _(s, d):
+    return Z.finite_rows(panel(s, d, TEST), INPUTS, "Y_target").select("ticker", "date")
+
+
+@query("c3_year", with_("bars") + r" SELECT ticker, date, try_cast(regexp_extract('rep_' || ticker || '_' || (year(date) + 4) || '_v2019.csv', '20\d{2}') AS INT) AS y FROM bars")
+def _(s, d):
+    return B.bars(s, d).select("ticker", "date", S.year_in(F.concat(F.lit("rep_"), "ticker", F.lit("_"), (F.year("date") + 4).cast("string"), F.lit("_v2019.csv"))).alias("y"))
+
+
+@query("f5_ratio", with_("bars") + f" SELECT ticker, date, {q('(close - open) / nullif(high - low, 0)')} AS x FROM bars")
+def _(s, d):
+    return B.bars(s, d).select("ticker", "date", r(S.safe_ratio(F.col("close") - F.col("open"), F.col("high") - F.col("low"))).alias("x"))
+
+
+@query("c10_bias_bound", f"SELECT round(c * 0.000625::DOUBLE, 8) + 0.0::DOUBLE AS bound FROM ({SQL['a16_conditioning']})")
+def _(s, d):
+    return X.conditioning(MODEL, panel(s, d, TEST), INPUTS).select(r(r("c", 4) * S.bias_bound(0.05, 1.0), 8).alias("bound"))
+
+
+_SCALED = FuzzyModel(MODEL.centers, MODEL.sigmas, MODEL.consequents, scale_lo=[-50.0, -1.0, -1.0], scale_span=[100.0, 2.0, 2.0])
+
+
+@query("z4_scaled", with_("tested") + " SELECT ticker, date, " + ", ".join(f"{q(f'({x} - ({lo}::DOUBLE)) / {span}::DOUBLE')} AS x{i}" for i, (x, lo, span) in enumerate(zip(INPUTS, _SCALED.scale_lo, _SCALED.scale_span))) + " FROM tested")
+def _(s, d):
+    return panel(s, d, TEST).select("ticker", "date", *[r(x).alias(f"x{i}") for i, x in enumerate(_SCALED.scaled(_xs()))])
+
+
+@query("z11_design", with_("tested") + " SELECT ticker, date, " + ", ".join(f"{q(f'({sql_firing(k)} / {SQL_FIRED}) * {x}', 4)} AS d{k}{i}" for k in K for i, x in enumerate(["1.0::DOUBLE", *INPUTS])) + " FROM tested")
+def _(s, d):
+    return panel(s, d, TEST).select("ticker", "date", *[r(c, 4).alias(f"d{n // 4}{n % 4}") for n, c in enumerate(MODEL.design(_xs()))])
+
+
+@query("z15_counts", "SELECT 3 * 3 + 3 * 4 AS free, 3 * 3 * 3 + 3 AS total")
+def _(s, d):
+    c = MODEL.counts()
+    return s.range(1).select(F.lit(c["free"]).alias("free"), F.lit(c["total"]).alias("total"))
 
 
 @query("m5_simple_regression", with_("panel") + f", b AS (SELECT regr_slope(Y_target, dev_volume) AS k, regr_intercept(Y_target, dev_volume) AS i FROM panel WHERE date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' AND Y_target IS NOT NULL) SELECT ticker, date, {q('i + k * dev_volume', 4)} AS score FROM tested, b".replace("FROM tested, b", "FROM panel, b WHERE date BETWEEN DATE '1999-01-01' AND DATE '2001-12-31'"))
@@ -624,24 +712,58 @@ def _(s, d):
 
 @query("a20_masked_report")
 def _(s, d):
-    return X.masked_report(MODEL, panel(s, d, TEST), INPUTS, draws=5)
+    return X.masked_report(MODEL, panel(s, d, TEST), INPUTS)
+
+
+_DRAWN = ", nz AS (SELECT *, " + ", ".join(f"{_sql_noise(k, chr(39).join(['0|', ' || draw || ', '']))} AS z{k}" for k in K) + f" FROM (SELECT *, {SQL_SCORE} AS score FROM tested), range(25) t(draw)), md AS (SELECT *, CASE WHEN pre_agm > 0 THEN {_MASKED_SCORE} ELSE score END AS masked FROM nz)"
 
 
-@query("m2_bootstrap_ci")
+@query("a20_masked_draws", with_("tested") + _DRAWN + f""" SELECT draw::INT AS draw, count(masked - score) AS n_masked, {q('avg(abs(masked - score))', 5)} AS mean_abs_delta, {q('avg(masked - score)', 5)} AS mean_delta,
+    {q('sqrt(avg((masked - Y_target) * (masked - Y_target)))', 4)} AS rmse FROM md WHERE pre_agm > 0 GROUP BY draw""")
 def _(s, d):
-    ic = [row["ic"] for row in M.monthly_rank_ic(scored_once(s, d)).orderBy("date").collect()]  # one row per month
-    mean, low, high = (float(v) for v in X.block_bootstrap_ci(ic, 2000, 6))
-    return s.createDataFrame([(len(ic), mean, low, high)], "n int, mean double, low double, high double")
+    many = X.masked_draws(MODEL, panel(s, d, TEST), INPUTS).where("pre_agm > 0")
+    delta = many.groupBy("draw").agg(F.count("delta").alias("n_masked"), F.avg(F.abs("delta")).alias("a"), F.avg("delta").alias("m"), F.sqrt(F.avg((F.col("masked") - F.col("Y_target")) ** 2)).alias("e"))
+    return delta.select("draw", "n_masked", r("a", 5).alias("mean_abs_delta"), r("m", 5).alias("mean_delta"), r("e", 4).alias("rmse"))
+
+
+def _sql_draws(source: str, draws: int, block: int) -> str:
+    """b, pos, i of moving blocks over the n rows of a numbered source."""
+    u = "((('0x' || substr(md5('0|' || b || '|' || j), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+    return (f"(SELECT b, j * {block} + k AS pos, floor({u} * (n - {block} + 1))::BIGINT + k AS i FROM range({draws}) x(b), (SELECT count(*) AS n FROM {source}), range(10000) y(j), range({block}) z(k) "
+            f"WHERE n >= {block} AND j * {block} < n AND j * {block} + k < n)")
+
+
+def _sql_interval(col: str, digits: int = 5) -> str:
+    return f"count({col}) AS n, {q(f'quantile_cont({col}, 0.025)', digits)} AS low, {q(f'quantile_cont({col}, 0.975)', digits)} AS high"
+
+
+@query("m2_bootstrap_ci", f"""WITH sr AS (SELECT ic, row_number() OVER (ORDER BY date) - 1 AS i FROM ({SQL['a7_monthly_ic']})),
+    ms AS (SELECT b, avg(ic) AS m FROM {_sql_draws('sr', 5000, 6)} JOIN sr USING (i) GROUP BY b)
+    SELECT (SELECT count(*) FROM sr) AS n, (SELECT {q('avg(ic)', 5)} FROM sr) AS mean, {q('quantile_cont(m, 0.025)', 5)} AS low, {q('quantile_cont(m, 0.975)', 5)} AS high FROM ms""")
+def _(s, d):
+    ic = M.monthly_rank_ic(scored_once(s, d)).select("date", r("ic").alias("ic")).cache()
+    return X.block_bootstrap(ic, "ic", 5000, 6).select("n", *[r(c, 5).alias(c) for c in ("mean", "low", "high")])
+
+
+#: Draws of the pooled panel: each ranks the whole test window again.
+PANEL_DRAWS = 100
 
 
-@query("m3_panel_bootstrap")
+@query("m3_panel_bootstrap", with_scored() + f""", dy AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM scored)),
+    dr AS (SELECT b, score, R30 FROM {_sql_draws('dy', PANEL_DRAWS, 30)} JOIN dy USING (i) JOIN scored USING (date)) SELECT {_sql_interval('ic')} FROM ({sql_ic('dr', 'score', 'R30', 'b')})""")
 def _(s, d):
-    return X.interval(X.panel_bootstrap(scored(s, d).select("date", "score", "R30").cache(), draws=50), "ic")
+    out = X.interval(X.panel_bootstrap(scored(s, d).select("date", "score", "R30").cache(), draws=PANEL_DRAWS).withColumn("ic", r("ic")), "ic")
+    return out.select("n", r("low", 5).alias("low"), r("high", 5).alias("high"))
 
 
-@query("m4_sharpe_ci")
+@query("m4_sharpe_ci", with_scored() + _TOP + f""", nb AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i FROM pf),
+    h AS (SELECT *, string_split(picks, ',') AS a, string_split(lag(picks) OVER (PARTITION BY b ORDER BY pos), ',') AS l FROM {_sql_draws('nb', 2000, 1)} JOIN nb USING (i)),
+    ch AS (SELECT *, CASE WHEN l IS NOT NULL THEN (len(list_filter(a, lambda x: NOT list_contains(l, x))) + len(list_filter(l, lambda x: NOT list_contains(a, x)))) / greatest(len(a), 1) END AS c FROM h),
+    st AS (SELECT b, coalesce(avg(c), 0) / 2 * 12 AS t, avg(portfolio_return) AS m, stddev_samp(portfolio_return) AS s FROM ch GROUP BY b),
+    sh AS (SELECT CASE WHEN s > 0 THEN {q('(m - t / 12 * 15 / 1e4::DOUBLE) / s * sqrt(12.0)', 5)} END AS sharpe FROM st) SELECT {_sql_interval('sharpe', 4)} FROM sh""")
 def _(s, d):
-    return X.interval(X.sharpe_bootstrap(M.top_n_portfolio(scored_once(s, d)).cache(), 15.0, 500), "sharpe")
+    out = X.interval(X.sharpe_bootstrap(M.top_n_portfolio(scored_once(s, d)).cache(), 15.0).withColumn("sharpe", r("sharpe", 5)), "sharpe")
+    return out.select("n", r("low", 4).alias("low"), r("high", 4).alias("high"))
 
 
 @query("m6_svr_r2")

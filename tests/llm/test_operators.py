@@ -292,14 +292,20 @@ def test_remove_repeats(spark):
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, caplog):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(260, 24))
     x[100:140] = x[100] + rng.normal(size=(40, 24)) * 0.12
     x[200] = x[201]
-    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(900, None, 1), (901, [0.0] * 24, 1), (902, [float("nan")] * 24, 1), (903, [None] * 24, 1), (904, [], 1), (905, [1.0, 2.0], 1)]
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(None, [1.0] * 24, 1), (906, [0.0, None] * 12, 1), (907, [float("inf")] * 24, 1), (908, [1e200, 1e-200], 1), (909, [1e300, 0.0], 1), (5, [float(v) for v in x[5]], 0), (900, None, 1), (901, [0.0] * 24, 1), (902, [float("nan")] * 24, 1), (903, [None] * 24, 1), (904, [], 1), (905, [1.0, 2.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_dedup(df, k=6, rounds=4).collect()}
+    df = df.select("*", F.lit(1).alias("id"), F.lit("x").alias("unit"), F.lit(2).alias("rep"))
+    with caplog.at_level("INFO", logger=embeddings.__name__):
+        out = embeddings.embedding_dedup(df, k=12, rounds=5).collect()
+    assert float(caplog.messages[-1].split("recall ")[1].split(")")[0]) >= 0.9
+    assert [(r.n_links, r.component_id, r.kept) for r in out if r.vec_id is None] == [(0, None, True)] and sum(r.vec_id == 5 for r in out) == 2
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out}
+    assert got[908] == (1, 908) and got[909] == (1, 908) and got[906] == (0, 906) and got[907] == (0, 907)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = u @ u.T >= 0.9
     np.fill_diagonal(hit, False)

@@ -294,9 +294,15 @@ def test_clustering_takes_all_rows(spark):
 
 
 def test_bootstraps_and_adversary(spark, points):
-    mean, low, high = X.block_bootstrap_ci(np.arange(100.0), 500, 10)
-    assert low < mean < high
-    assert math.isnan(X.block_bootstrap_ci([1.0], 10, 5)[1])
+    series = spark.createDataFrame([(f"2001-{1 + i // 25:02d}-{1 + i % 25:02d}", float(i)) for i in range(100)] + [("2002-01-01", None)], "date string, ic double")
+    row = X.block_bootstrap(series, draws=500, block=10).first()
+    assert row.n == 100 and row.mean == 49.5 and 30 < row.low < 49.5 < row.high < 70
+    short = X.block_bootstrap(series.limit(1), draws=10, block=5).first()
+    assert (short.n, short.low, short.high) == (1, None, None)
+    drawn = X.block_draws(spark, 7, 50, 3, 0).toPandas()
+    for _, g in drawn.groupby("b"):
+        g = g.sort_values("pos")
+        assert list(g.pos) == list(range(7)) and all(g.i.iloc[k] + 1 == g.i.iloc[k + 1] for k in (0, 1, 3, 4)) and g.i.between(0, 6).all()
     rng = np.random.default_rng(0)
     x = rng.normal(size=(150, 2))
     y = np.sin(x[:, 0])
