@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marketweave.functions.scalars import keyed_truncated_normal, keyed_uniform
 from marketweave.operators.fuzzy import FuzzyModel
 from marketweave.operators.metrics import fit_metrics, net_sharpe, rank_ic, top_n_portfolio
-from marketweave.operators.training import finite_rows, initial_model, least_squares, linear_score, subtractive_centers, train
+from marketweave.operators.training import cluster_centers, finite_rows, initial_model, least_squares, linear_score, train
 
 
 def block_draws(spark, n: int, draws: int, block: int, seed: int) -> DataFrame:
@@ -144,9 +144,8 @@ def compare_feature_sets(panels: dict[str, tuple[DataFrame, DataFrame, list[str]
     return spark.createDataFrame(out, "set string, n_inputs int, n_free_params int, rmse double, mae double, pooled_rank_ic double, net_sharpe_15bps double")
 
 
-def _fit_numpy(x: np.ndarray, y: np.ndarray, rules: int, epochs: int, ridge: float, rate: float) -> tuple[np.ndarray, float]:
-    """Training of one small matrix; returns predictions and the final loss."""
-    c = subtractive_centers(x, rules=rules)
+def _fit_numpy(x: np.ndarray, y: np.ndarray, c: np.ndarray, epochs: int, ridge: float, rate: float) -> tuple[np.ndarray, float]:
+    """Training of one small matrix from given centres; returns predictions and the final loss."""
     s = np.tile(np.where(x.std(0) > 0, np.maximum(0.75 * x.std(0), 4e-4), 1.0), (len(c), 1))
     one = np.column_stack([np.ones(len(x)), x])
 
@@ -176,11 +175,13 @@ def _fit_numpy(x: np.ndarray, y: np.ndarray, rules: int, epochs: int, ridge: flo
 def train_per_ticker(df: DataFrame, inputs: list[str], label: str, rules: int = 3, epochs: int = 20, ridge: float = 10.0, rate: float = 1e-3) -> DataFrame:
     """ticker, n_train, rmse, final_loss: a model of its own for each ticker, all in parallel (Arrow groups of one ticker, with all its rows)."""
     rows = finite_rows(df, inputs, label).select("ticker", "date", *inputs, label)
+    centers = cluster_centers(rows, inputs, rules=rules, by=F.col("ticker")).withColumnRenamed("g", "ticker")
+    rows = rows.join(F.broadcast(centers), "ticker")  # one row per ticker
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         x, y = pdf[inputs].to_numpy(float), pdf[label].to_numpy(float)
-        p, loss = _fit_numpy(x, y, rules, epochs, ridge, rate)
+        p, loss = _fit_numpy(x, y, np.stack(pdf["centers"].iloc[0]), epochs, ridge, rate)
         return pd.DataFrame({"ticker": [pdf["ticker"].iloc[0]], "n_train": [len(x)], "rmse": [float(np.sqrt(((p - y) ** 2).mean()))], "final_loss": [loss]})
 
     return rows.groupBy("ticker").applyInPandas(fit, "ticker string, n_train int, rmse double, final_loss double")

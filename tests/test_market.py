@@ -271,13 +271,38 @@ def test_training(spark, model, points, tmp_path):
     np.testing.assert_allclose(b, np.linalg.lstsq(one, y[1:], rcond=None)[0], rtol=1e-8)
 
 
-def test_clustering():
+def brute_centers(x, rules, radius=0.5, ratio=0.5):
+    """Plain loops over all rows."""
+    span = [max(c) - min(c) or 1.0 for c in zip(*x)]
+    z = [[(v - min(c)) / s for v, c, s in zip(row, zip(*x), span)] for row in x]
+    gap = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b))
+    found = []
+    while radius > 1e-3:
+        p = [round(sum(math.exp(-4 / radius**2 * gap(a, b)) for b in z), 9) for a in z]
+        own = []
+        while len(own) < rules:
+            k = max(range(len(x)), key=lambda i: (p[i], [-v for v in x[i]]))
+            if p[k] <= 0:
+                break
+            own.append(x[k])
+            p = [0.0 if x[i] == x[k] else max(p[i] - p[k] * (ratio + math.exp(-4 / (1.25 * radius) ** 2 * gap(z[i], z[k]))), 0.0) for i in range(len(x))]
+        found += own
+        if len(own) == rules:
+            break
+        radius *= 0.7
+    return found[:rules]
+
+
+def test_clustering(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(c, 0.05, (40, 2)) for c in (0.0, 1.0, 3.0)])
-    centers = Z.subtractive_centers(x, rules=3)
-    assert centers.shape == (3, 2) and all(any((c == r).all() for r in x) for c in centers)
+    monkeypatch.setattr(Z, "CLUSTER_BLOCK", 50)
+    x = np.round(np.concatenate([rng.normal(c, 0.05, (40, 2)) for c in (0.0, 1.0, 3.0)]), 3).tolist()
+    groups = {"a": x, "b": x[:45] + x[:5], "c": [[1.0, 2.0]] * 3}
+    df = spark.createDataFrame([(g, *row) for g, rows in groups.items() for row in rows] + [("a", None, 1.0), ("d", None, None)], "t string, p double, q double")
+    got = {r.g: [list(c) for c in r.centers] for r in Z.cluster_centers(df, ["p", "q"], rules=4, by=F.col("t")).collect()}
+    assert got == {g: brute_centers(rows, 4) for g, rows in groups.items()}
     with pytest.raises(ValueError):
-        Z.subtractive_centers(np.full((2, 2), np.nan))
+        Z.initial_model(df.where("t = 'd'"), ["p", "q"])
 
 
 def test_clustering_takes_all_rows(spark):
