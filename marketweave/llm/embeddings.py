@@ -220,6 +220,7 @@ def _join_components(units: DataFrame, comps: DataFrame, size: int, threshold: f
     blocks = max(1, min(SWEEP_BLOCKS, -(-size // SWEEP)))
     dealt = labelled.withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select("dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "label", "unit")
+    dealt = dealt.repartition(blocks * (blocks + 1) // 2, "dim", "i", "j")  # few bytes, much work: not for adaptive execution to reduce
     bridges = save(dealt.groupBy("dim", "i", "j").applyInArrow(_bridges(threshold), "a long, b long").distinct())
     if bridges.isEmpty():
         drop(bridges, labelled)
