@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm import bytehash
-from marketweave.llm.common import left_join, save, small_batches
+from marketweave.llm.common import WORD, left_join, save, small_batches
 from marketweave.llm.components import components
 
 #: Rows in a band. With 32 bands a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 = 5e-8.
@@ -125,13 +125,14 @@ def near_dedup(
     pivots = placed.join(crowd, "id").groupBy("key").agg(F.max("crowd").alias("pivot"))
     placed = save(placed.join(save(pivots), "key"))
     among = placed.select("id").distinct()
-    facts = save(signed.select("id", "n_shingles", "sig").join(among, "id", "left_semi").dropDuplicates(["id"]))
+    facts = save(signed.where("n_shingles > 0").select("id", "n_shingles", "sig").join(among, "id", "left_semi").dropDuplicates(["id"]))
     kind = "id long, digest binary, shingles array<long>"
     if more is None:
-        sets = save(source.join(among, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), kind).drop("digest"))
+        worded = source.where(F.col("body").cast("string").rlike(WORD))
+        sets = save(worded.join(among, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), kind).drop("digest"))
     else:
         wanted = members.join(among, "id", "left_semi").select(F.col("doc").alias("id")).distinct()
-        found = source.join(wanted, "id", "left_semi").dropDuplicates(["id", "body"]).mapInArrow(_sets(width), kind).withColumnRenamed("id", "doc")
+        found = source.join(wanted, "id", "left_semi").dropDuplicates(["id", "body"]).mapInArrow(_sets(width), kind).where("size(shingles) > 0").withColumnRenamed("id", "doc")
         found = found.join(more.withColumnRenamed("id", "doc"), ["doc", "digest"], "left").select(F.coalesce("node", "doc").alias("id"), "shingles")
         sets = save(found.join(among, "id", "left_semi").dropDuplicates(["id"]))
     floor = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (bands * BAND_ROWS)) ** 0.5
@@ -206,5 +207,5 @@ def near_dedup(
         tested = tested.unionByName(verified(third))
         comps = save(components(linked(tested)))
     final = members.join(comps.select(F.col("id").alias("rep"), F.col("component_id").alias("_c")), "rep", "left")
-    component = F.coalesce("_c", "rep")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("_c", "rep")).otherwise(F.col("doc"))
     return final.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))

@@ -536,3 +536,41 @@ def test_wrapper_keeps_all_of_the_article():
         assert [read(p, wrapper) for p in pages] == [want.format(i).replace("|", "\n\n") for i in range(6)]
     noticed = [f"<div class=notice><p>a whole article number {i} under a telling name</p><p>goes on</p></div><div>x</div>" for i in range(5)]
     assert read(noticed[1], infer(noticed)) == "a whole article number 1 under a telling name\n\ngoes on"
+
+def test_near_dedup_empty_row_of_a_linked_id(spark):
+    """An id's row without words neither hides its set nor takes its component, whether or not other ids have several sets."""
+    a = " ".join(words(100, 31))
+    rows = [(1, a)] + [(2, t) for t in (None, "", " \t", a + " z")] + [(3, a + " y"), (4, None)]
+    rows += [(2, None)] * 40
+    for more in ([], [(8, "one text"), (8, "another text")]):
+        df = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(5)
+        got = sorted({(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup(df).collect() if r.doc_id < 8})
+        assert got == [(1, 96, 1, True), (2, 0, 2, True), (2, 97, 1, False), (3, 97, 1, False), (4, 0, 4, True)]
+
+
+def test_remove_repeats_edges(spark):
+    """Clashing columns, a long text that repeats itself and others, a passage common to texts of many partitions."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefé ") for _ in range(90))
+    long = "".join(rng.choice("abcdefgh ") for _ in range(60_000))
+    rows = [(0, long), (1, long + long), (2, long[7:30_000] + "#" + long[100:40_000])] + [(10 + i, f"<{i}>{passage}<{i}>") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(c) for c in ("uid", "id", "body", "keys", "lo", "hi", "part", "n")]).repartition(6)
+    got = {r.doc_id: r for r in substrings.remove_repeats(df).collect()}
+    assert (got[0].n_removed, got[0].n_spans) == (0, 0) and bytes(got[0].kept) == long.encode()
+    # Windows over the seam of a doubled text start in no other document.
+    assert got[1].n_removed == 2 * len(long) and bytes(got[1].kept) == b""
+    assert got[2].n_spans == 2 and bytes(got[2].kept) == b"#"
+    size = len(passage.encode())
+    assert got[10].n_removed == 0 and all(got[10 + i].n_removed >= size and got[10 + i].n_spans == 1 for i in range(1, 300))
+
+
+def test_language_id_edges(spark):
+    rows = [(i, "the house with water " * 3, "en") for i in range(20)] + [(20 + i, "das haus nicht über wasser " * 3, "de") for i in range(20)]
+    rows += [(None, "the house with water", "en"), (3, rows[3][1], "en"), (41, "the water with this house " * 60_000, None)]
+    clash = [F.lit("x").alias(c) for c in ("held_out", "lang_pred", "score", "mix", "_body", "_lettered", "counts", "n", "body")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", *clash).repartition(3)
+    found = language_id(df).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) and sum(r.doc_id == 3 for r in found) == 2 and got[None].lang_pred == "en" and not got[None].held_out
+    assert got[41].lang_pred == "en" and got[25].lang_pred == "de"
+    assert language_id(df.limit(0)).count() == 0
