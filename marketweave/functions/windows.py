@@ -29,26 +29,34 @@ def average_rank(x: Column, *keys: str) -> Column:
     return F.when(x.isNotNull(), F.rank().over(over.orderBy(x)) + (F.count(F.lit(1)).over(tied) - 1) / 2.0)
 
 
-def _slices(df: DataFrame, col: str, n: int = 64) -> tuple[DataFrame, str]:
-    """df with the slice of its value range a row falls into: at most n, of about equal size, equal values together."""
-    cuts = sorted(set(df.approxQuantile(col, [i / n for i in range(1, n)], 0.25 / n)))
-    slice_ = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(col))) if cuts else F.lit(0)
-    return df.withColumn("_slice", slice_), "_slice"
+#: Distinct values of a slice, about, and the most slices.
+SLICE_VALUES, SLICES = 1 << 18, 1024
 
 
-def cumulative(df: DataFrame, col: str, weight: str, name: str) -> DataFrame:
-    """df with the sum of weights of all rows whose col isn't larger. NULLs in col sum over nothing.
+def _slice(values: DataFrame, col: str) -> Column:
+    """The slice of the value range a distinct value falls into: their number grows with the values, and each has about as many."""
+    n = max(8, min(SLICES, -(-values.count() // SLICE_VALUES)))
+    cuts = sorted(set(values.approxQuantile(col, [i / n for i in range(1, n)], 0.25 / n)))
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(col))) if cuts else F.lit(0)
 
-    The range is cut into slices with a window each; their totals, at most 64 rows, are summed apart. No task sees all rows. df is read several times and persisted (to disk where memory ends).
+
+def cumulative(df: DataFrame, col: str, weight: str, name: str, own: str | None = None) -> DataFrame:
+    """df with the sum of weights of all rows whose col isn't larger, and as `own` that of rows with the same value; NULLs in col have neither.
+
+    Weights are summed by value first, so a value that most rows share is one row from then on and no task sees all values: their range is cut
+    into slices with a window each, and the slices' totals are summed apart. Rows meet their value's sums in a plain join, which adaptive execution may
+    split. The table of values is read several times and persisted (to disk where memory ends).
     """
-    df = df.persist()
-    cut, key = _slices(df, col)
-    before = cut.groupBy(key).agg(F.sum(weight).alias("_w")).select(key, F.coalesce(F.sum("_w").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum(weight).over(Window.partitionBy(key).orderBy(col).rangeBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("_in", inside).join(F.broadcast(before), key).withColumn(name, F.col("_before") + F.col("_in")).drop(key, "_in", "_before")
+    values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_value")).agg(F.sum(weight).alias("_w")).persist()
+    cut = values.withColumn("_slice", _slice(values, "_value"))
+    ahead = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy("_slice").agg(F.sum("_w").alias("_w")).select("_slice", F.coalesce(F.sum("_w").over(ahead), F.lit(0)).alias("_before"))
+    inside = F.sum("_w").over(Window.partitionBy("_slice").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    sums = cut.withColumn("_in", inside).join(F.broadcast(before), "_slice").select("_value", (F.col("_before") + F.col("_in")).alias(name), *([F.col("_w").alias(own)] if own else []))
+    return df.join(sums, F.col(col) == F.col("_value"), "left").drop("_value")
 
 
 def global_rank(df: DataFrame, col: str, name: str) -> DataFrame:
-    """df with the rank of col among all rows, ties averaged, without one window over everything; col must not be NULL."""
-    out = cumulative(df.withColumn("_one", F.lit(1).cast("long")), col, "_one", "_upto")
-    return out.withColumn(name, F.col("_upto") - (F.count(F.lit(1)).over(Window.partitionBy(col)) - 1) / 2.0).drop("_one", "_upto")
+    """df with the rank of col among all rows, ties averaged, without one window over everything; NULLs have none."""
+    out = cumulative(df.withColumn("_one", F.lit(1).cast("long")), col, "_one", "_upto", "_ties")
+    return out.withColumn(name, F.col("_upto") - (F.col("_ties") - 1) / 2.0).drop("_one", "_upto", "_ties")

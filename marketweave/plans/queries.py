@@ -380,7 +380,7 @@ def _(s, d):
 
 @query("a5_ic_per_asset", with_scored() + " " + sql_ic("scored", "score", "R30", "ticker"))
 def _(s, d):
-    return M.rank_ic(scored(s, d), by=["ticker"]).select("ticker", "n", r("ic").alias("ic"))
+    return M.rank_ic(scored_once(s, d), by=["ticker"]).select("ticker", "n", r("ic").alias("ic"))
 
 
 _FIRST = ", days AS (SELECT min(date) AS date FROM scored GROUP BY date_trunc('month', date)), fd AS (SELECT * FROM scored WHERE date IN (FROM days))"

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketweave.functions.scalars import is_annual, parse_number, parse_volume, period_end, year_in
+from marketweave.sources.files import exists, read_text
 
 DIVIDENDS = "ticker string, ex_date date, dividend double"
 #: Column headings of the disclosure files.
@@ -24,12 +24,12 @@ DISCLOSURE_COLUMNS = {
 
 def load_config(path: str) -> dict[str, Any]:
     """A YAML or JSON configuration as a nested dict."""
-    with open(path, encoding="utf-8") as f:
-        if path.endswith(".json"):
-            return json.load(f)
-        import yaml
+    text = read_text(path)
+    if path.endswith(".json"):
+        return json.loads(text)
+    import yaml
 
-        return yaml.safe_load(f)
+    return yaml.safe_load(text)
 
 
 def _trimmed(df: DataFrame) -> DataFrame:
@@ -65,8 +65,8 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
 
 def disclosure_paths(pattern: str, years: list[int], legacy: str | None = None) -> dict[int, str]:
     """Files that exist for the {year} pattern; else the legacy file as the last year; else an error."""
-    found = {y: pattern.format(year=y) for y in years if os.path.exists(pattern.format(year=y))}
-    if not found and legacy and os.path.exists(legacy):
+    found = {y: pattern.format(year=y) for y in years if exists(pattern.format(year=y))}
+    if not found and legacy and exists(legacy):
         found = {max(years): legacy}
     if not found:
         raise FileNotFoundError(pattern)
@@ -127,7 +127,7 @@ def load_fx(spark: SparkSession, path: str) -> DataFrame:
 
 def load_dividends(spark: SparkSession, path: str | None) -> DataFrame:
     """Typed dividends; an empty table if there is no file."""
-    if not path or not os.path.exists(path):
+    if not path or not exists(path):
         return spark.createDataFrame([], DIVIDENDS)
     raw = _trimmed(spark.read.option("header", True).csv(path))
     return raw.select(F.upper(F.trim("ticker")).alias("ticker"), F.try_to_date(F.trim("ex_date"), "yyyy-MM-dd").alias("ex_date"), parse_number(F.col("dividend")).alias("dividend")).where("ex_date is not null")
@@ -135,5 +135,4 @@ def load_dividends(spark: SparkSession, path: str | None) -> DataFrame:
 
 def load_grid(path: str) -> dict[str, list]:
     """A tuning grid from JSON."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(read_text(path))

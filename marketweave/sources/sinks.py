@@ -1,26 +1,23 @@
-"""Writers: driver-side JSON for models and reports, DataFrame writers for tables, and a keyed upsert."""
+"""Writers: JSON files for models and reports, DataFrame writers for tables, and a keyed upsert."""
 
 from __future__ import annotations
 
 import json
-import os
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweave.functions.scalars import bounded_label
+from marketweave.sources.files import read_text, write_text
 
 
 def write_json(path: str, value: dict[str, Any]) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, ensure_ascii=False)
+    write_text(path, json.dumps(value, indent=2, ensure_ascii=False))
 
 
 def read_json(path: str) -> dict[str, Any]:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(read_text(path))
 
 
 def write_features(panel: DataFrame, by_ticker: str, pooled: str) -> None:

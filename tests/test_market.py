@@ -130,6 +130,11 @@ def test_readers_and_sinks(spark, tmp_path):
     assert readers.load_dividends(spark, None).count() == 0
     (tmp_path / "r.csv").write_text("Дата,Закрытие\n02.01.24,14.5\n", encoding="utf-8")
     assert readers.load_rate(spark, str(tmp_path / "r.csv")).first()["rf_daily"] == pytest.approx(14.5 / 25200)
+    sinks.write_json(f"file://{tmp_path}/new/m.json", {"a": [1, "é"]})
+    assert sinks.read_json(str(tmp_path / "new" / "m.json")) == {"a": [1, "é"]} == readers.load_config(f"file://{tmp_path}/new/m.json")
+    assert readers.disclosure_paths(f"file://{tmp_path}/f-{{year}}.csv", [2023, 2024]) == {2024: f"file://{tmp_path}/f-2024.csv"}
+    (tmp_path / "d.csv").write_text("ticker,ex_date,dividend\nair,2024-05-02,1.5\n", encoding="utf-8")
+    assert [(r.ticker, r.dividend) for r in readers.load_dividends(spark, f"file://{tmp_path}/d.csv").collect()] == [("AIR", 1.5)]
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string")
     assert sorted(tuple(r) for r in sinks.upsert(old, new, ["k"]).collect()) == [(1, "a"), (2, "c")]
 
@@ -159,6 +164,10 @@ def test_rank_ic_ties_constants_and_few(spark):
     assert got["b"] == (3, None) and got["c"] == (1, None)
     both = [(u, v) for _, u, v in rows if u is not None]
     assert M.rank_ic(df).first()["ic"] == pytest.approx(spearman(*zip(*both)))
+    hot = [(float(v % 3 == 0 or v),) for v in range(400)] + [(None,), (-0.0,), (0.0,), (float("nan"),)] + [(50.0,)] * 300
+    got = global_rank(spark.createDataFrame(hot, "v double"), "v", "k").toPandas()
+    known = spark.createDataFrame(hot, "v double").where("v is not null").toPandas()["v"].fillna(float("inf")).rank()
+    assert sorted(got["k"].dropna()) == sorted(known) and got["k"].isna().sum() == 1
     ranks = global_rank(spark.createDataFrame([(float(v % 37),) for v in range(500)], "v double"), "v", "k").toPandas()
     np.testing.assert_allclose(ranks.k, ranks.v.rank())
 
