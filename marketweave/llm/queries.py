@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketweave.llm.audit import document_flags, filter_audit
 from marketweave.llm.embeddings import embedding_dedup
 from marketweave.llm.exact import exact_dedup
 from marketweave.llm.langmix import language_id
@@ -14,6 +15,7 @@ from marketweave.llm.minhash import near_dedup
 from marketweave.llm.mixing import pareto_mix
 from marketweave.llm.pieces import encode, load_model
 from marketweave.llm.quality import grade, quality
+from marketweave.llm.resample import target_resample
 from marketweave.llm.substrings import remove_repeats
 from marketweave.llm.toxicity import toxicity
 from marketweave.llm.wrappers import extract_html
@@ -70,6 +72,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = document_flags(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return filter_audit(flags, list("ABCDE"), ["good_lost", "toxic_lost"])
+
+
+def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_sentencepiece": op2_sentencepiece,
@@ -81,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_target_resample": op12_target_resample,
 }
 
 SQL: dict[str, str] = {
@@ -154,4 +167,37 @@ SQL: dict[str, str] = {
         x AS (SELECT *, p > 0 AND size > 0 AND NOT chosen AND size < 2 * gap AS able FROM g),
         y AS (SELECT *, able AND row_number() OVER (PARTITION BY source, able ORDER BY abs(size - gap), q, doc_id) = 1 AS one FROM x)
         SELECT doc_id, size, source_size, target, CAST(size * (certain + CASE WHEN chosen OR one THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM y""",
+    "op11_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+                     + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY t), false)::INT AS m
+              FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+        g AS (SELECT part, m, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY part, m),
+        b AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM b a JOIN b ON b.x != a.x JOIN b c ON c.x NOT IN (a.x, b.x) JOIN b d ON d.x NOT IN (a.x, b.x, c.x) JOIN b e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+        s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS x, (1 << (ascii(filter_order[step]) - 65))::INT AS bit,
+                     list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::INT AS past FROM o, range(1, 6) r(step)),
+        r AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (m & (coalesce(past, 0) | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (m & bit != 0 AND m & coalesce(past, 0) = 0), 0)::BIGINT AS removed,
+                     coalesce(sum(n) FILTER (m & bit != 0 AND m & coalesce(past, 0) != 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (m = bit), 0)::BIGINT AS unique_fails,
+                     coalesce(sum(good) FILTER (m & bit != 0 AND m & coalesce(past, 0) = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (m & bit != 0 AND m & coalesce(past, 0) = 0), 0)::BIGINT AS toxic_lost
+              FROM g, s GROUP BY part, filter_order, step, x)
+        SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM r""",
+    "op12_target_resample": r"""
+        WITH tb AS (SELECT list(c ORDER BY n) AS tb FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+        x AS (SELECT 0 AS k, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+        w AS (SELECT k, doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+        f AS (SELECT k, row, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
+        u AS (SELECT k, row, f, count(*) AS c FROM f GROUP BY ALL),
+        h AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(hex(encode(f))) // 2), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, tb[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket
+              FROM (SELECT DISTINCT f FROM u), tb),
+        c AS (SELECT bucket, coalesce(sum(c) FILTER (k = 0), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (k = 1), 0)::DOUBLE AS t FROM u JOIN h USING (f) GROUP BY bucket),
+        z AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM c),
+        g AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM c, z),
+        d AS (SELECT row, sum(c) AS n, sum(c * gain) AS total FROM u JOIN h USING (f) JOIN g USING (bucket) WHERE k = 0 GROUP BY row),
+        v AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(total / n), 0)::BIGINT AS weight, ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN d USING (row) WHERE k = 0),
+        q AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score, row_number() OVER () AS row FROM v),
+        a AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, 25 * count(*) OVER () // 100 AS most FROM q WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM q LEFT JOIN a USING (row)""",
 }
