@@ -17,6 +17,7 @@ from marketweave.llm.pieces import encode, load_model
 from marketweave.llm.quality import grade, quality
 from marketweave.llm.resample import target_resample
 from marketweave.llm.substrings import remove_repeats
+from marketweave.llm.tokenfiles import token_digest
 from marketweave.llm.toxicity import toxicity
 from marketweave.llm.wrappers import extract_html
 
@@ -81,6 +82,12 @@ def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_sentencepiece": op2_sentencepiece,
@@ -94,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_target_resample": op12_target_resample,
+    "op13_token_files": op13_token_files,
 }
 
 SQL: dict[str, str] = {
