@@ -45,6 +45,7 @@ class Mixer:
         self.w0, self.w1, self.w2 = np.full(n, 0.2), np.full(n, 0.4), np.full(n, 0.4)
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.seen = np.zeros((n, self.width), np.int32)
+        self.flat_seen = self.seen.ravel()
         self.cum, self.p0 = np.zeros((n, self.width + 1), np.int32), np.zeros((n, self.width))
         self.keys = np.zeros(0, np.int64)
         self.t = 0
@@ -58,7 +59,7 @@ class Mixer:
             shares = np.where(inside, 1 + self.seen[rows] * room, 0)
             np.cumsum(shares, axis=1, out=self.cum[rows, 1:])
             self.p0[rows] = shares / self.cum[rows, -1:]
-        self.flat_cum, self.flat_p0 = self.cum.ravel(), self.p0.ravel()
+        self.flat_cum, self.flat_p0, self.total = self.cum.ravel(), self.p0.ravel(), self.cum[:, -1].astype(np.int64)
         self.keys = (self.cum.astype(np.int64) + (np.arange(len(self.sizes)) << (_BITS + 1))[:, None]).ravel()
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +74,8 @@ class Mixer:
         self.j1, self.j2 = self.atq[:n] + self.s1, self.atq[:n] + self.s2
         self.q1, self.q2 = self.rate1[self.j1], self.rate2[self.j2]
         self.other = self.c1 != self.c2
-        self.a1 = np.where(self.other, 0.0, self.q1)
-        self.b1 = self.q1 - self.a1
+        self.b1 = self.q1 * self.other
+        self.a1 = self.q1 - self.b1
         self.a0 = self.flat_p0[self.at1[:n] + self.c2]
         self.b0 = self.flat_p0[self.at1[:n] + self.c1] * self.other
         first = self.w2[:n] * self.q2 + self.w1[:n] * self.a1 + self.w0[:n] * self.a0
@@ -83,11 +84,11 @@ class Mixer:
 
     def update(self, n: int, x: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
         """The ids that came, and whether they were the first or the second outcome."""
-        hit1 = np.where(self.other, second, first)
+        hit1 = second | (first & ~self.other)
         neither = ~(first | second)
-        v0 = self.w0[:n] * (np.where(first, self.a0, np.where(second, self.b0, 1.0 - self.a0 - self.b0)) + _KEPT)
-        v1 = self.w1[:n] * (np.where(neither, 1.0 - self.q1, np.where(first, self.a1, self.b1)) + _KEPT)
-        v2 = self.w2[:n] * (np.where(neither, 1.0 - self.q2, np.where(first, self.q2, 0.0)) + _KEPT)
+        v0 = self.w0[:n] * (first * self.a0 + second * self.b0 + neither * (1.0 - self.a0 - self.b0) + _KEPT)
+        v1 = self.w1[:n] * (first * self.a1 + second * self.b1 + neither * (1.0 - self.q1) + _KEPT)
+        v2 = self.w2[:n] * (first * self.q2 + neither * (1.0 - self.q2) + _KEPT)
         scale = (1 - 3 * _KEPT) / (v0 + v1 + v2)
         self.w0[:n], self.w1[:n], self.w2[:n] = v0 * scale + _KEPT, v1 * scale + _KEPT, v2 * scale + _KEPT
         self.rate1[self.j1] = self.q1 + (hit1 - self.q1) * _RATE
@@ -95,7 +96,7 @@ class Mixer:
         new = x * 8 + 1
         self.next1[self.i1] = np.where(hit1, self.e1 + (self.s1 < 7), np.where(self.s1 < 2, new, self.e1 - ((self.s1 + 1) >> 1)))
         self.next2[self.i2] = np.where(first, self.e2 + (self.s2 < 7), np.where(self.s2 < 2, new, self.e2 - ((self.s2 + 1) >> 1)))
-        self.seen.ravel()[self.at1[:n] + x] += 1
+        self.flat_seen[self.at1[:n] + x] += 1
         self.before[:n] = self.last[:n]
         self.last[:n] = x
         self.t += 1
@@ -163,7 +164,6 @@ def _encode_lanes(ids: np.ndarray, block: int) -> list[bytes]:
             lane, back = lane[on], back[on] - 1
 
     def shrink(lane: np.ndarray) -> None:
-        lane = lane[width[lane] < _LEAST]
         own = low[lane]
         words[lane, at[lane]] = own >> 32
         low[lane], width[lane] = (own & (_LEAST - 1)) << 16, width[lane] << 16
@@ -184,18 +184,18 @@ def _encode_lanes(ids: np.ndarray, block: int) -> list[bytes]:
         over = np.flatnonzero(low[:n] >= _TOP)
         if len(over):
             carry(over)
-        shrink(every[:n])
+        shrink(np.flatnonzero(width[:n] < _LEAST))
         lane = np.flatnonzero(~(first | second))
         if len(lane):
             own = mixer.at0[lane] + x[lane]
-            begin, end, total = mixer.flat_cum[own].astype(np.int64), mixer.flat_cum[own + 1].astype(np.int64), mixer.cum[lane, -1].astype(np.int64)
+            begin, end, total = mixer.flat_cum[own].astype(np.int64), mixer.flat_cum[own + 1].astype(np.int64), mixer.total[lane]
             unit = width[lane] // total
-            low[lane] += begin * unit
-            width[lane] = (end - begin) * unit
-            over = lane[low[lane] >= _TOP]
+            moved, left = low[lane] + begin * unit, (end - begin) * unit
+            low[lane], width[lane] = moved, left
+            over = lane[moved >= _TOP]
             if len(over):
                 carry(over)
-            shrink(lane)
+            shrink(lane[left < _LEAST])
         mixer.update(n, x, first, second)
     for k in (32, 16, 0):
         words[every, at] = (low >> k) & 0xFFFF
@@ -244,12 +244,10 @@ def _decode_lanes(blocks: list[bytes], block: int) -> list[np.ndarray]:
     codes = np.zeros((full, n_all), np.int64)
 
     def grow(lane: np.ndarray) -> None:
-        lane = lane[width[lane] < _LEAST]
         ahead[lane] = ahead[lane] << 16 | words[at[lane]]
         width[lane] <<= 16
         at[lane] = np.minimum(at[lane] + 1, ends[lane])  # a damaged block runs out of words
 
-    every = np.arange(n_all)
     for t in range(full):
         n = int(np.searchsorted(-length, -t, "left"))
         share1, share2 = mixer.predict(n)
@@ -261,18 +259,18 @@ def _decode_lanes(blocks: list[bytes], block: int) -> list[np.ndarray]:
         x = np.where(first, mixer.c2, mixer.c1).astype(np.int64)
         ahead[:n] = own - np.where(first, 0, np.where(second, edge1, edge2))
         width[:n] = np.where(first, edge1, np.where(second, edge2 - edge1, ((1 << _BITS) * unit) - edge2))
-        grow(every[:n])
+        grow(np.flatnonzero(width[:n] < _LEAST))
         lane = np.flatnonzero(~(first | second))
         if len(lane):
-            unit = width[lane] // mixer.cum[lane, -1]
-            place = np.minimum(ahead[lane] // np.maximum(unit, 1), mixer.cum[lane, -1] - 1)
+            total, own, base = mixer.total[lane], ahead[lane], mixer.at0[lane]
+            unit = np.maximum(width[lane] // total, 1)
+            place = np.minimum(own // unit, total - 1)
             found = np.searchsorted(mixer.keys, (lane << (_BITS + 1)) + place, "right") - 1
-            code = np.clip(found - mixer.at0[lane], 0, sizes[lane] - 1)
-            begin = mixer.flat_cum[mixer.at0[lane] + code].astype(np.int64)
-            ahead[lane] = np.clip(ahead[lane] - begin * unit, 0, _TOP)
-            width[lane] = (mixer.flat_cum[mixer.at0[lane] + code + 1] - begin) * unit
-            x[lane] = code
-            grow(lane)
+            code = np.minimum(found - base, sizes[lane] - 1)
+            begin = mixer.flat_cum[found].astype(np.int64)
+            left = (mixer.flat_cum[found + 1] - begin) * unit
+            ahead[lane], width[lane], x[lane] = np.minimum(own - begin * unit, _TOP), left, code
+            grow(lane[left < _LEAST])
         codes[t, :n] = x
         mixer.update(n, x, first, second)
     out: list[np.ndarray] = [np.zeros(0, "<u4")] * n_all
