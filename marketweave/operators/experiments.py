@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweave.functions.scalars import keyed_truncated_normal, keyed_uniform
 from marketweave.operators.fuzzy import FuzzyModel
-from marketweave.operators.metrics import fit_metrics, net_sharpe, rank_ic, top_n_portfolio
-from marketweave.operators.training import cluster_centers, finite_rows, initial_model, least_squares, linear_score, train
+from marketweave.operators.metrics import fit_metrics, mark_rank_ic, mean_and_error, net_sharpe, rank_ic, top_n_portfolio
+from marketweave.operators.training import cluster_centers, finite_rows, forward, initial_model, least_squares, linear_score, train, train_grid
 
 
 def block_draws(spark, n: int, draws: int, block: int, seed: int) -> DataFrame:
@@ -39,16 +42,99 @@ def block_bootstrap(series: DataFrame, col: str = "ic", draws: int = 5000, block
     return rows.agg(F.count("x").alias("n"), F.avg("x").alias("mean")).crossJoin(bounds)  # one row and one row
 
 
-def panel_draws(panel: DataFrame, draws: int, block: int, seed: int) -> DataFrame:
-    """b, pos, date: each draw's dates from moving blocks of the panel's sorted dates."""
-    days = numbered(panel.select("date").distinct())
-    return block_draws(panel.sparkSession, days.count(), draws, block, seed).join(days, "i").select("b", "pos", "date")
+def date_weights(n: int, draws: int, block: int, seed: int) -> np.ndarray:
+    """How often each of n dates is in each draw (n x draws): block_draws, counted. Bounded by dates and draws, whatever the number of rows."""
+    out = np.zeros((n + 1, draws), np.int32)
+    if n < block:
+        return np.zeros((n, 0), np.int32)
+    for b in range(draws):
+        for j in range(-(-n // block)):
+            u = (int(hashlib.md5(f"{seed}|{b}|{j}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
+            start = int(u * (n - block + 1))
+            out[start, b] += 1
+            out[start + min(block, n - j * block), b] -= 1
+    return np.cumsum(out[:n], 0, dtype=np.int32)
+
+
+#: Draws whose ranks a row carries at a time; distinct values of a slice, about.
+DRAWS_HELD, RANKED_VALUES = 256, 1024
+
+
+def _weighted_ranks(rows: DataFrame, col: str, weights: np.ndarray) -> DataFrame:
+    """block, value, ranks (packed doubles, less the mean rank): the tie-averaged rank of each value among the rows of every draw of a block of draws.
+
+    A draw weighs a row by its date, so it is enough to know how many rows of each date have a value. Values are cut into slices; what lies below a slice is a count for each date,
+    and inside a slice the weights of its values are summed upwards. No row is repeated, and a value that most rows share is one entry for each date.
+    """
+    counts = rows.groupBy(F.col(col).alias("value"), "i").agg(F.count(F.lit(1)).alias("n")).persist()
+    values = counts.select("value").distinct()
+    n = max(1, -(-values.count() // RANKED_VALUES))
+    cuts = sorted(set(values.approxQuantile("value", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
+    cut = counts.withColumn("slice", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("value"))) if cuts else F.lit(0))
+    dates = len(weights)
+    # Rows of each date below each slice: one row per slice with an array by date.
+    upto = Window.partitionBy("i").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    grid = cut.select("slice").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(dates - 1))))
+    below = grid.join(cut.groupBy("slice", "i").agg(F.sum("n").alias("n")), ["slice", "i"], "left").withColumn("below", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(upto), F.lit(0)))
+    below = below.groupBy("slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "below"))), lambda v: v["below"]).alias("below"))
+    total = np.zeros(dates, np.int64)
+    for r in counts.groupBy("i").agg(F.sum("n").alias("n")).collect():  # one row per date
+        total[r["i"]] = r["n"]
+    middle = (total @ weights + 1) / 2.0
+
+    def run(table: pa.Table) -> pa.Table:
+        value, date, n = (np.asarray(table[c]) for c in ("value", "i", "n"))
+        order = np.argsort(value, kind="stable")
+        value, date, n = value[order], date[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        base = np.asarray(table["below"][0].as_py(), np.int64)
+        out = []
+        for block, lo in enumerate(range(0, weights.shape[1], DRAWS_HELD)):
+            w = weights[:, lo : lo + DRAWS_HELD].astype(np.int64)
+            own = np.add.reduceat(n[:, None] * w[date], starts, axis=0)
+            ranks = base @ w + np.cumsum(own, 0) - own + (own + 1) / 2.0 - middle[lo : lo + DRAWS_HELD]
+            out.append(pa.table({"block": np.full(len(starts), block, np.int32), "value": value[starts], "ranks": pa.array([v.tobytes() for v in ranks], pa.binary())}))
+        return pa.concat_tables(out)
+
+    dealt = cut.join(below, "slice").repartition(min(max(n, 1), 4096), "slice")
+    return dealt.groupBy("slice").applyInArrow(run, "block int, value double, ranks binary")
 
 
 def panel_bootstrap(panel: DataFrame, score: str = "score", ret: str = "R30", draws: int = 5000, block: int = 30, seed: int = 0) -> DataFrame:
-    """b, n, ic: the pooled rank correlation of every draw, in parallel; a date drawn twice counts twice."""
-    rows = panel.select("date", score, ret).where(F.col(score).isNotNull() & F.col(ret).isNotNull())
-    return rank_ic(panel_draws(panel, draws, block, seed).join(rows, "date"), score, ret, ["b"])
+    """b, n, ic: the pooled rank correlation of every draw of moving blocks of dates; a date drawn twice counts twice. Empty if there are fewer dates than a block.
+
+    Values are ranked once for all draws (`_weighted_ranks`); a row meets the ranks of its score and of its return for DRAWS_HELD draws at a time, and only sums by draw go on.
+    """
+    spark = panel.sparkSession
+    days = numbered(panel.select("date").distinct()).persist()
+    weights = date_weights(days.count(), draws, block, seed)
+    if not weights.shape[1]:
+        return spark.createDataFrame([], "b int, n long, ic double")
+    rows = panel.select("date", F.col(score).cast("double").alias("x"), F.col(ret).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    # + 0.0: both zeros are one value
+    rows = rows.join(days, "date").select("i", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).persist()
+    ranks = {c: _weighted_ranks(rows, c, weights).select("block", F.col("value").alias(c), F.col("ranks").alias(f"r{c}")) for c in "xy"}
+    blocks = -(-weights.shape[1] // DRAWS_HELD)
+    many = rows.groupBy("i", "x", "y").agg(F.count(F.lit(1)).alias("k")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = many.join(ranks["x"], ["block", "x"]).join(ranks["y"], ["block", "y"]).select("block", "i", "k", "rx", "ry")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            block, i, k = (np.asarray(c) for c in b.columns[:3])
+            for own in np.unique(block):
+                lo = own * DRAWS_HELD
+                at = np.flatnonzero(block == own)
+                rx, ry = (np.frombuffer(b"".join(v.as_buffer() for v in c.take(pa.array(at))), np.float64).reshape(len(at), -1) for c in b.columns[3:])
+                w = (weights[:, lo : lo + DRAWS_HELD][i[at]] * k[at, None]).astype(np.float64)
+                part = np.stack([w.sum(0), *[np.einsum("nb,nb,nb->b", w, p, q) for p, q in ((rx, ry), (rx, rx), (ry, ry))]])
+                totals[own] = part if own not in totals else totals[own] + part
+        for own, part in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.shape[1], dtype=np.int32) + own * DRAWS_HELD), *[pa.array(v) for v in part]], names=["b", "n", "xy", "xx", "yy"])
+
+    sums = met.mapInArrow(run, "b int, n double, xy double, xx double, yy double").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "xx", "yy")])
+    ic = F.when(F.col("n") >= 3, F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0)))
+    return sums.select("b", F.col("n").cast("long").alias("n"), ic.alias("ic"))
 
 
 def interval(series: DataFrame, col: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -105,7 +191,7 @@ def masked_draws(model: FuzzyModel, df: DataFrame, inputs: list[str], draws: int
 
 def masked_report(model: FuzzyModel, df: DataFrame, inputs: list[str], draws: int = 25, alpha: float = 0.05, cost_bps: float = 15.0, top_n: int = 3, seed: int = 0) -> DataFrame:
     """One row per draw: n_masked, mean_abs_delta, mean_delta, ic, rmse and sharpe of the masked scores."""
-    many = masked_draws(model, df, inputs, draws, alpha, seed).cache()
+    many = masked_draws(model, df, inputs, draws, alpha, seed).withColumn("masked", F.round("masked", 6)).persist()
     delta = many.where("pre_agm > 0").groupBy("draw").agg(F.count("delta").alias("n_masked"), F.avg(F.abs("delta")).alias("mean_abs_delta"), F.avg("delta").alias("mean_delta"))
     ic = rank_ic(many, "masked", "R30", ["draw"]).select("draw", "ic")
     fit = fit_metrics(many, "masked", "Y_target", ["draw"]).select("draw", "rmse")
@@ -116,75 +202,108 @@ def masked_report(model: FuzzyModel, df: DataFrame, inputs: list[str], draws: in
     return ic.join(fit, "draw", "left").join(delta, "draw", "left").join(sharpe, "draw", "left")
 
 
-def tune(df_fit: DataFrame, df_valid: DataFrame, inputs: list[str], label: str, grid: dict[str, list], epochs: int = 20) -> DataFrame:
-    """Fits every cell of the grid (n_rules, cluster_radius, ridge_lambda) and scores it on the validation rows; best first, feasible cells (C <= 100) before others."""
-    spark, out = df_fit.sparkSession, []
-    for rules, radius, ridge in itertools.product(grid["n_rules"], grid["cluster_radius"], grid["ridge_lambda"]):
-        model = initial_model(df_fit, inputs, rules, radius)
-        history = train(model, df_fit, inputs, label, epochs, ridge)
-        scored = model.with_score(df_valid, inputs).persist()
-        ic, fit = rank_ic(scored).first(), fit_metrics(scored, "score", label).first()
-        c = conditioning(model, df_valid, inputs).first()["c"]
-        out.append((rules, float(radius), float(ridge), ic["ic"], fit["rmse"], fit["mae"], c, history.train_loss[-1] if epochs else None))
-    table = spark.createDataFrame(out, "n_rules int, cluster_radius double, ridge_lambda double, val_rank_ic double, val_rmse double, val_mae double, empirical_C double, final_loss double")
-    return table.orderBy(F.coalesce(F.col("empirical_C") <= 100, F.lit(False)).desc(), F.col("val_rank_ic").desc_nulls_last())
+#: The published grid: 36 cells.
+GRID = {"n_rules": [3, 5, 7], "cluster_radius": [0.3, 0.4, 0.5, 0.6], "ridge_lambda": [1.0, 10.0, 100.0]}
+
+
+def validate(models: list[FuzzyModel], df: DataFrame, inputs: list[str], label: str) -> DataFrame:
+    """One row per model, cell = 0, 1, ...: val_rank_ic, val_rmse and val_mae of the unclipped prediction on finite labelled rows, and empirical_C of the rule outputs as scored.
 
+    All models read a row at once; what follows is keyed by cell. Cells without rows are missing.
+    """
+    shapes = [(np.array(m.centers), np.array(m.sigmas), np.array(m.consequents), np.array(m.scale_lo or [0.0] * m.n_inputs), np.array(m.scale_span or [1.0] * m.n_inputs), m) for m in models]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *xs, y = (np.asarray(c) for c in b.columns)
+            raw = np.column_stack(xs)
+            for k, (centers, sigmas, beta, lo, span, m) in enumerate(shapes):
+                x = (raw - lo) / span
+                w, _ = forward(x, centers, sigmas, m.sigma_floor)
+                f = beta[:, 0] + x @ beta[:, 1:].T
+                used = np.clip(f, 0.0, m.top) if m.clip_rule_outputs else f
+                far = np.abs(used - (w * used).sum(1, keepdims=True)).max(1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array((w * f).sum(1)), pa.array(y), pa.array(far)], names=["cell", "prediction", "y", "far"])
+
+    rows = finite_rows(df, inputs, label).select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(inputs)], F.col(label).cast("double").alias("y"))
+    found = rows.mapInArrow(run, "cell int, prediction double, y double, far double").persist()
+    ic = rank_ic(found, "prediction", "y", ["cell"]).select("cell", F.col("ic").alias("val_rank_ic"))
+    fit = fit_metrics(found, "prediction", "y", ["cell"]).select("cell", F.col("rmse").alias("val_rmse"), F.col("mae").alias("val_mae"))
+    return ic.join(fit, "cell").join(found.groupBy("cell").agg(F.max("far").alias("empirical_C")), "cell")
+
+
+def tune(df_fit: DataFrame, df_valid: DataFrame, inputs: list[str], label: str, grid: dict[str, list] | None = None, epochs: int = 20, feature_scaling: str = "raw") -> DataFrame:
+    """Fits every cell of the grid (n_rules, cluster_radius, ridge_lambda) and measures it on the validation rows: one row per cell, with final_loss.
+
+    All cells train side by side (an aggregate per epoch for the whole grid); cells that share rules and radius share their clustering, and a radius' centres for few rules are the first
+    of those for many.
+    """
+    grid = grid or GRID
+    cells = list(itertools.product(grid["n_rules"], grid["cluster_radius"], grid["ridge_lambda"]))
+    first = {r: initial_model(df_fit, inputs, max(grid["n_rules"]), r, scaling=feature_scaling) for r in grid["cluster_radius"]}
+    models = []
+    for rules, radius, _ in cells:
+        m = first[radius]
+        models.append(replace(m, centers=m.centers[:rules], sigmas=m.sigmas[:rules], consequents=m.consequents[:rules], metadata={}))
+    histories = train_grid(models, [c[2] for c in cells], df_fit, inputs, label, epochs)
+    rows = [(k, int(c[0]), float(c[1]), float(c[2]), h.train_loss[-1] if epochs else None) for k, (c, h) in enumerate(zip(cells, histories, strict=True))]
+    table = df_fit.sparkSession.createDataFrame(rows, "cell int, n_rules int, cluster_radius double, ridge_lambda double, final_loss double")
+    return table.join(validate(models, df_valid, inputs, label), "cell", "left")
+
+
+def tuning_head(table: DataFrame, n: int = 10) -> DataFrame:
+    """The n cells with the highest validation rank correlation, best first."""
+    return table.orderBy(F.col("val_rank_ic").desc_nulls_last(), "cell").limit(n)
+
+
+def best_cell(table: DataFrame, most: float = 100.0) -> DataFrame:
+    """The best cell by validation rank correlation among those whose empirical_C is at most `most`; among all if none is."""
+    feasible = F.coalesce(F.col("empirical_C") <= most, F.lit(False))
+    return table.orderBy(feasible.desc(), F.col("val_rank_ic").desc_nulls_last(), "cell").limit(1)
 
-def compare_feature_sets(panels: dict[str, tuple[DataFrame, DataFrame, list[str]]], label: str = "Y_target", rules: int = 5, epochs: int = 20, scaling: str = "minmax") -> DataFrame:
-    """panels: name -> (train, test, inputs). One row per set: inputs, free parameters, rmse, mae, pooled IC and net Sharpe at 15 bps."""
+
+def compare_feature_sets(panels: dict[str, tuple[DataFrame, DataFrame, list[str], str]], label: str = "Y_target", rules: int = 5, epochs: int = 20) -> DataFrame:
+    """panels: name -> (train, test, inputs, input scaling). One row per set: inputs, features, free parameters, rmse, mae, pooled IC, net Sharpe at 15 bps and mean ICs of monthly and
+    quarterly marks (R21 and R63 of the test rows)."""
     out, spark = [], None
-    for name, (train_df, test_df, inputs) in panels.items():
+    for name, (train_df, test_df, inputs, scaling) in panels.items():
         spark = train_df.sparkSession
-        model = initial_model(train_df, inputs, rules, scaling=scaling)
+        model = initial_model(train_df.where(F.col(label).isNotNull()), inputs, rules, scaling=scaling)
         train(model, train_df, inputs, label, epochs)
         scored = model.with_score(test_df, inputs).persist()
         fit, ic = fit_metrics(scored, "score", label).first(), rank_ic(scored).first()
         sharpe = net_sharpe(top_n_portfolio(scored), [15.0]).first()
-        out.append((name, len(inputs), model.counts()["free"], fit["rmse"], fit["mae"], ic["ic"], sharpe["sharpe"] if sharpe else None))
-    return spark.createDataFrame(out, "set string, n_inputs int, n_free_params int, rmse double, mae double, pooled_rank_ic double, net_sharpe_15bps double")
-
-
-def _fit_numpy(x: np.ndarray, y: np.ndarray, c: np.ndarray, epochs: int, ridge: float, rate: float) -> tuple[np.ndarray, float]:
-    """Training of one small matrix from given centres; returns predictions and the final loss."""
-    s = np.tile(np.where(x.std(0) > 0, np.maximum(0.75 * x.std(0), 4e-4), 1.0), (len(c), 1))
-    one = np.column_stack([np.ones(len(x)), x])
-
-    def forward(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = (x[:, None] - c) / np.maximum(s, 1e-4)
-        g = -0.5 * (z**2).sum(2)
-        w = np.exp(g - g.max(1, keepdims=True))
-        return w / w.sum(1, keepdims=True), z
-
-    def fit(w: np.ndarray) -> np.ndarray:
-        a = (w[:, :, None] * one[:, None]).reshape(len(x), -1)
-        return np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ y).reshape(len(c), -1)
-
-    loss = 0.0
-    for _ in range(epochs):
-        w, z = forward(s)
-        f = one @ fit(w).T
-        p = (w * f).sum(1)
-        grad = np.einsum("nk,nki->ki", (p - y)[:, None] * w * (f - p[:, None]), z**2)
-        norm = np.linalg.norm(grad)
-        s = np.maximum(s * np.exp(-rate * grad * min(1.0, 5.0 / norm if norm else 1.0)), 1e-4)
-        loss = float(0.5 * (((forward(s)[0] * f).sum(1) - y) ** 2).sum())
-    w, _ = forward(s)
-    return (w * (one @ fit(w).T)).sum(1), loss
+        marks = [mean_and_error(mark_rank_ic(scored, unit, h)).first()["mean"] for unit, h in (("month", 21), ("quarter", 63))]
+        out.append((name, len(inputs), ",".join(inputs), model.counts()["free"], fit["rmse"], fit["mae"], ic["ic"], sharpe["sharpe"] if sharpe else None, *marks))
+        scored.unpersist()
+    kind = "set string, n_inputs int, features string, n_free_params int, rmse double, mae double, pooled_rank_ic double, net_sharpe_15bps double, monthly_mark_ic double, quarterly_mark_ic double"
+    return spark.createDataFrame(out, kind)
+
+
+def masked_summary(report: DataFrame) -> DataFrame:
+    """One row of masked_report's draws: their number, masked rows, mean absolute and signed change, mean absolute bias, and mean and standard deviation of IC, rmse and Sharpe."""
+    spread = [f(c).alias(f"{c}_{n}") for c in ("ic", "rmse", "sharpe") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+    return report.agg(
+        F.count(F.lit(1)).alias("draws"), F.max("n_masked").alias("n_masked"), F.avg("mean_abs_delta").alias("mean_abs_delta"), F.avg("mean_delta").alias("mean_delta"), F.avg(F.abs("mean_delta")).alias("mean_abs_bias"), *spread)
 
 
 def train_per_ticker(df: DataFrame, inputs: list[str], label: str, rules: int = 3, epochs: int = 20, ridge: float = 10.0, rate: float = 1e-3) -> DataFrame:
-    """ticker, n_train, rmse, final_loss: a model of its own for each ticker, all in parallel (Arrow groups of one ticker, with all its rows)."""
-    rows = finite_rows(df, inputs, label).select("ticker", "date", *inputs, label)
-    centers = cluster_centers(rows, inputs, rules=rules, by=F.col("ticker")).withColumnRenamed("g", "ticker")
-    rows = rows.join(F.broadcast(centers), "ticker")  # one row per ticker
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        x, y = pdf[inputs].to_numpy(float), pdf[label].to_numpy(float)
-        p, loss = _fit_numpy(x, y, np.stack(pdf["centers"].iloc[0]), epochs, ridge, rate)
-        return pd.DataFrame({"ticker": [pdf["ticker"].iloc[0]], "n_train": [len(x)], "rmse": [float(np.sqrt(((p - y) ** 2).mean()))], "final_loss": [loss]})
-
-    return rows.groupBy("ticker").applyInPandas(fit, "ticker string, n_train int, rmse double, final_loss double")
+    """ticker, n_train, rmse, final_loss: a model of its own for each ticker, all side by side.
+
+    A ticker's rows may lie in any task: an epoch is one keyed aggregate (`train_grid`), so no task gathers a ticker. The driver holds a model per ticker.
+    """
+    rows = finite_rows(df, inputs, label).select("ticker", "date", *inputs, label).persist()
+    found = {r["g"]: r["centers"] for r in cluster_centers(rows, inputs, rules=rules, by=F.col("ticker")).collect()}  # one row per ticker
+    spread = {r[0]: np.array(r[1:], float) for r in rows.groupBy("ticker").agg(*[F.stddev_pop(c) for c in inputs]).collect()}
+    tickers = sorted(found)
+    models = []
+    for t in tickers:
+        widths = np.where(spread[t] > 0, np.maximum(0.75 * spread[t], 4e-4), 1.0).tolist()
+        models.append(FuzzyModel([list(c) for c in found[t]], [widths] * len(found[t]), [[50.0] + [0.0] * len(inputs)] * len(found[t])))
+    train_grid(models, [ridge] * len(models), rows, inputs, label, epochs, rate, key="ticker", keys=tickers)
+    rows.unpersist()
+    out = [(t, m.metadata["n_train"], float(np.sqrt(2 * m.metadata["fitted_loss"] / max(m.metadata["n_train"], 1))), m.metadata["final_loss"]) for t, m in zip(tickers, models, strict=True)]
+    return df.sparkSession.createDataFrame(out, "ticker string, n_train int, rmse double, final_loss double")
 
 
 def _kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:

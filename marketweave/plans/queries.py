@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,12 +69,12 @@ def _sql_total(parts: list[str]) -> str:
     return "(" + " + ".join(parts) + ")"
 
 
-def sql_firing(k: int) -> str:
-    return f"exp(-0.5::DOUBLE * {_sql_total([f'(({x} - ({c}::DOUBLE)) / {s}::DOUBLE) * (({x} - ({c}::DOUBLE)) / {s}::DOUBLE)' for x, c, s in zip(INPUTS, MODEL.centers[k], MODEL.sigmas[k], strict=True)])})"
+def sql_firing(k: int, model: FuzzyModel = MODEL) -> str:
+    return f"exp(-0.5::DOUBLE * {_sql_total([f'(({x} - ({c}::DOUBLE)) / {s}::DOUBLE) * (({x} - ({c}::DOUBLE)) / {s}::DOUBLE)' for x, c, s in zip(INPUTS, model.centers[k], model.sigmas[k], strict=True)])})"
 
 
-def sql_output(k: int, clipped: bool = True) -> str:
-    b = MODEL.consequents[k]
+def sql_output(k: int, clipped: bool = True, model: FuzzyModel = MODEL) -> str:
+    b = model.consequents[k]
     y = _sql_total([f"{b[0]}::DOUBLE", *[f"({w}::DOUBLE) * {x}" for w, x in zip(b[1:], INPUTS, strict=True)]])
     return f"least(greatest({y}, 0.0::DOUBLE), 100.0::DOUBLE)" if clipped else y
 
@@ -647,10 +648,12 @@ def _(s, d):
     return panel(s, d, TEST).select("ticker", "date", *[r(c, 4).alias(f"d{n // 4}{n % 4}") for n, c in enumerate(MODEL.design(_xs()))])
 
 
-@query("z15_counts", "SELECT 3 * 3 + 3 * 4 AS free, 3 * 3 * 3 + 3 AS total")
+@query("z15_counts", with_("panel") + " SELECT ticker, count(*) AS n_train, 21 AS free, 30 AS total, round(count(*) / 21.0::DOUBLE, 6) AS rows_per_parameter FROM panel WHERE Y_target IS NOT NULL AND date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' GROUP BY ticker")
 def _(s, d):
+    """Parameters of a fixed model against the rows that each ticker has to fit them."""
     c = MODEL.counts()
-    return s.range(1).select(F.lit(c["free"]).alias("free"), F.lit(c["total"]).alias("total"))
+    rows = panel(s, d, TRAIN).where(F.col("Y_target").isNotNull()).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_train"))
+    return rows.select("ticker", "n_train", F.lit(c["free"]).alias("free"), F.lit(c["total"]).alias("total"), r(F.col("n_train") / c["free"]).alias("rows_per_parameter"))
 
 
 @query("m5_simple_regression", with_("panel") + f", b AS (SELECT regr_slope(Y_target, dev_volume) AS k, regr_intercept(Y_target, dev_volume) AS i FROM panel WHERE date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' AND Y_target IS NOT NULL) SELECT ticker, date, {q('i + k * dev_volume', 4)} AS score FROM tested, b".replace("FROM tested, b", "FROM panel, b WHERE date BETWEEN DATE '1999-01-01' AND DATE '2001-12-31'"))
@@ -660,6 +663,96 @@ def _(s, d):
     return p.where(T.between(*TEST)).select("ticker", "date", r(Z.linear_score(b, ["dev_volume"]), 4).alias("score"))
 
 
+# --- training ----------------------------------------------------------------------------------------------------
+
+
+def sql_solved(name: str, source: str, p: int, keys: str = "") -> str:
+    """Common table expressions that end in `name` (keys, beta): the solutions of source's systems (keys, m: p rows of p + 1 numbers), by elimination without
+    pivots, which a ridge makes safe."""
+    cols = f"{keys}, " if keys else ""
+    row = "list_transform(range(1, {0}), lambda j: m[i][j] - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j])".format(p + 2)
+    pivot = f"list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1])"
+    return (f"{name}_e AS (SELECT {cols}0 AS k, m FROM {source} UNION ALL SELECT {cols}k + 1, list_transform(range(1, {p + 1}), lambda i: CASE WHEN i = k + 1 THEN {pivot} ELSE {row} END) FROM {name}_e WHERE k < {p}), "
+            f"{name} AS (SELECT {cols}list_transform(m, lambda r: r[{p + 1}]) AS beta FROM {name}_e WHERE k = {p})")
+
+
+def sql_system(columns: list[str], y: str, ridge: float) -> str:
+    """The ridge regression's system of the aggregated rows: a list of rows, the right-hand side last."""
+    p = range(len(columns))
+    return "[" + ", ".join("[" + ", ".join([*[f"sum({columns[i]} * {columns[j]})" + (f" + {ridge}::DOUBLE" if i == j else "") for j in p], f"sum({columns[i]} * {y})"]) + "]" for i in p) + "]"
+
+
+_TRAINED = "FROM panel WHERE Y_target IS NOT NULL AND date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'"
+_SPREADS = [(k, i, f"(({x} - ({c}::DOUBLE)) / {w}::DOUBLE)", w) for k in K for i, (x, c, w) in enumerate(zip(INPUTS, MODEL.centers[k], MODEL.sigmas[k], strict=True))]
+
+
+@query("z13_gradients", with_("panel") + ", g AS (SELECT *, Y_target AS y, " + ", ".join(f"{sql_firing(k)} / {SQL_FIRED} AS w{k}, {sql_output(k, False)} AS f{k}" for k in K) + f" {_TRAINED}), p AS (SELECT *, w0 * f0 + w1 * f1 + w2 * f2 AS p FROM g)"
+       + " SELECT " + ", ".join(f"{q(f'sum((p - y) * w{k} * (f{k} - p) * {s} * {s})', 1)} AS width_{k}{i}, {q(f'sum((p - y) * w{k} * (f{k} - p) * {s}) / {w}::DOUBLE', 2)} AS center_{k}{i}" for k, i, s, w in _SPREADS) + f", {q('sum(0.5::DOUBLE * (p - y) * (p - y))', 1)} AS loss FROM p")
+def _(s, d):
+    """Premise gradients of a fixed model by log widths and by centres, and half its squared error."""
+    width, center, loss = Z.width_gradient(MODEL, Z.finite_rows(panel(s, d, TRAIN), INPUTS, "Y_target"), INPUTS, "Y_target")
+    found = [(f"{n}_{k}{i}", r(F.lit(float(g[k][i])), e)) for n, g, e in (("width", width, 1), ("center", center, 2)) for k in K for i in range(len(INPUTS))]
+    return s.range(1).select(*[c.alias(n) for n, c in found], r(F.lit(loss), 1).alias("loss"))
+
+
+#: Training of the fixed model's premises for one epoch, in SQL: regression, gradient, clipped step, loss at the new widths with the old outputs.
+_NEW = [f"exp(greatest(ln({w}::DOUBLE) - 1e-3::DOUBLE * least(1.0::DOUBLE, 5.0::DOUBLE / norm) * g{k}{i}, ln(1e-4::DOUBLE)))" for k, i, _, w in _SPREADS]
+_BETA = [f"(beta[{4 * k + 1}] + beta[{4 * k + 2}] * dev_price + beta[{4 * k + 3}] * dev_volume + beta[{4 * k + 4}] * order_flow)" for k in K]
+_REFIRED = [f"exp(-0.5::DOUBLE * ({' + '.join(f'pow(({x} - ({c}::DOUBLE)) / s{k}{i}, 2)' for i, (x, c) in enumerate(zip(INPUTS, MODEL.centers[k], strict=True)))}))" for k in K]
+SQL_EPOCH = (with_("panel") + ", t AS (SELECT *, Y_target AS y, " + ", ".join(f"{x} AS d{i}" for i, x in enumerate(f"({sql_firing(k)} / {SQL_FIRED}) * {x}" for k in K for x in ["1.0::DOUBLE", *INPUTS])) + f" {_TRAINED}), "
+             + f"sy AS (SELECT {sql_system([f'd{i}' for i in range(12)], 'y', 10.0)} AS m FROM t), " + sql_solved("so", "sy", 12)
+             + ", f AS (SELECT t.*, " + ", ".join(f"d{4 * k} AS w{k}, {_BETA[k]} AS f{k}" for k in K) + " FROM t, so), p AS (SELECT *, w0 * f0 + w1 * f1 + w2 * f2 AS p FROM f)"
+             + ", g AS (SELECT " + ", ".join(f"sum((p - y) * w{k} * (f{k} - p) * {s} * {s}) AS g{k}{i}" for k, i, s, _ in _SPREADS) + " FROM p)"
+             + ", n AS (SELECT *, sqrt(" + " + ".join(f"g{k}{i} * g{k}{i}" for k, i, _, _ in _SPREADS) + ") AS norm FROM g)"
+             + ", e AS (SELECT norm, " + ", ".join(f"{v} AS s{k}{i}" for v, (k, i, _, _) in zip(_NEW, _SPREADS, strict=True)) + " FROM n)"
+             + ", l AS (SELECT any_value(norm) AS norm, sum(0.5::DOUBLE * pow((e0 * f0 + e1 * f1 + e2 * f2) / (e0 + e1 + e2) - y, 2)) AS loss FROM (SELECT norm, y, f0, f1, f2, " + ", ".join(f"{x} AS e{k}" for k, x in zip(K, _REFIRED, strict=True)) + " FROM p, e))"
+             + f" SELECT 0 AS epoch, {q('loss', 1)} AS train_loss, {q('norm', 1)} AS gradient_norm, 0.001::DOUBLE AS learning_rate FROM l").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("z14_epoch", SQL_EPOCH)
+def _(s, d):
+    """One epoch of training from the fixed model's premises."""
+    m = replace(MODEL, consequents=[list(b) for b in MODEL.consequents], metadata={})
+    history = Z.train(m, panel(s, d, TRAIN), INPUTS, "Y_target", epochs=1).to_df(s)
+    return history.select("epoch", r("train_loss", 1).alias("train_loss"), r("gradient_norm", 1).alias("gradient_norm"), "learning_rate")
+
+
+#: Fitted models of three cells of a grid; the last leaves rule outputs unbounded, so its C may be over 100.
+CELLS = [MODEL, FuzzyModel(MODEL.centers, MODEL.sigmas, [[50.0, -0.2, 1.0, 2.0], [48.0, 0.05, -2.0, 1.0], [55.0, 0.1, 0.5, -4.0]]), FuzzyModel(MODEL.centers, MODEL.sigmas, [[50.0, 2.5, 1.0, 2.0], [50.0, 2.0, 4.0, 6.0], [50.0, 3.0, 0.5, 4.0]], clip_rule_outputs=False)]
+
+
+def _sql_cell(k: int, m: FuzzyModel) -> str:
+    w = [f"({sql_firing(j, m)} / {_sql_total([sql_firing(i, m) for i in K])})" for j in K]
+    mean = lambda clipped: _sql_total([f"{w[j]} * {sql_output(j, clipped, m)}" for j in K])
+    used = [sql_output(j, m.clip_rule_outputs, m) for j in K]
+    return f"SELECT {k} AS cell, Y_target AS y, {mean(False)} AS prediction, greatest({', '.join(f'abs({u} - {mean(m.clip_rule_outputs)})' for u in used)}) AS far FROM panel WHERE Y_target IS NOT NULL AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"
+
+
+_CELLS = with_("panel") + ", c AS (" + " UNION ALL ".join(_sql_cell(k, m) for k, m in enumerate(CELLS)) + f"), ic AS ({sql_ic('c', 'prediction', 'y', 'cell')}), v AS (SELECT cell, ic.ic AS val_rank_ic, m.* EXCLUDE (cell) FROM ic JOIN (SELECT cell, {q('sqrt(avg((prediction - y) * (prediction - y)))', 4)} AS val_rmse, {q('avg(abs(prediction - y))', 4)} AS val_mae, {q('max(far)', 4)} AS empirical_C FROM c GROUP BY cell) m USING (cell))"
+SECOND = ("1997-01-01", "1998-12-31")
+
+
+def _validated(s, d) -> DataFrame:
+    out = X.validate(CELLS, panel(s, d, SECOND), INPUTS, "Y_target")
+    return out.select("cell", *[r(c, e).alias(c) for c, e in (("val_rank_ic", 6), ("val_rmse", 4), ("val_mae", 4), ("empirical_C", 4))])
+
+
+@query("z21_validation", _CELLS + " SELECT * FROM v")
+def _(s, d):
+    """Validation metrics of fitted cells, on the second half of the train window."""
+    return _validated(s, d)
+
+
+@query("t3_tuning_head", _CELLS + " SELECT * FROM v ORDER BY val_rank_ic DESC NULLS LAST, cell LIMIT 2")
+def _(s, d):
+    return X.tuning_head(_validated(s, d), 2)
+
+
+@query("f13_best_cell", _CELLS + " SELECT * FROM v ORDER BY coalesce(empirical_C <= 100, false) DESC, val_rank_ic DESC NULLS LAST, cell LIMIT 1")
+def _(s, d):
+    return X.best_cell(_validated(s, d))
+
+
 # --- training, bootstraps, adversary: no SQL ---------------------------------------------------------------------
 
 
@@ -667,52 +760,104 @@ def _train_rows(s, d) -> DataFrame:
     return panel(s, d, TRAIN).select("ticker", "date", *INPUTS, "Y_target", "R30", "pre_agm").cache()
 
 
-@query("z1_centers")
+def _sql_centers(rules: int, passes: int) -> str:
+    """Common table expressions that end in cs (i, x): subtractive clustering of tr (x1, x2, x3) by all pairs, in at most `passes` passes; the radius starts at 0.5."""
+    radii = [0.5, 0.5 * 0.7, 0.5 * 0.7 * 0.7][:passes]
+    gap = "((a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2) + (a.z3 - b.z3) * (a.z3 - b.z3))"
+    near = "((z1 - c.z1) * (z1 - c.z1) + (z2 - c.z2) * (z2 - c.z2) + (z3 - c.z3) * (z3 - c.z3))"
+    beta = "[" + ", ".join(f"{4 / (1.25 * v) ** 2!r}::DOUBLE" for v in radii) + "][pass]"
+    left = f"list_reduce(taken, lambda v, c: CASE WHEN c.x1 = x1 AND c.x2 = x2 AND c.x3 = x3 THEN 0.0::DOUBLE ELSE greatest(v - c.p * (0.5::DOUBLE + exp(-({beta}) * {near})), 0.0::DOUBLE) END, p[pass])"
+    kind = "STRUCT(x1 DOUBLE, x2 DOUBLE, x3 DOUBLE, z1 DOUBLE, z2 DOUBLE, z3 DOUBLE, p DOUBLE)[]"
+    return (
+        "en AS (SELECT " + ", ".join(f"min(x{k}) AS lo{k}, CASE WHEN max(x{k}) > min(x{k}) THEN max(x{k}) - min(x{k}) ELSE 1 END AS sp{k}" for k in (1, 2, 3)) + " FROM tr), "
+        "pt AS (SELECT x1, x2, x3, " + ", ".join(f"any_value((x{k} - lo{k}) / sp{k}) AS z{k}" for k in (1, 2, 3)) + ", count(*)::DOUBLE AS n, row_number() OVER () AS id FROM tr, en GROUP BY x1, x2, x3), "
+        f"po AS (SELECT a.*, u.p FROM pt a JOIN (SELECT a.id, [{', '.join(f'round(sum(b.n * exp(-({4 / v**2!r}::DOUBLE) * {gap})), 9)' for v in radii)}] AS p FROM pt a, pt b GROUP BY a.id) u USING (id)), "
+        f"ch AS (SELECT 0 AS step, 1 AS pass, []::{kind} AS taken, []::{kind} AS found UNION ALL "
+        "SELECT step + 1, CASE WHEN t.p > 0 THEN pass ELSE pass + 1 END, CASE WHEN t.p > 0 THEN taken || [t] ELSE [] END, CASE WHEN t.p > 0 THEN found || [t] ELSE found END "
+        "FROM (SELECT step, pass, taken, found, arg_max(t, (t.p, -t.x1, -t.x2, -t.x3)) AS t FROM "
+        f"(SELECT step, pass, taken, found, struct_pack(x1, x2, x3, z1, z2, z3, p := {left}) AS t FROM ch, po WHERE len(found) < {rules} AND pass <= {passes}) GROUP BY step, pass, taken, found)), "
+        f"cs AS (SELECT i - 1 AS i, found[i] AS x FROM (SELECT arg_max(found, step) AS found FROM ch), range(1, {rules + 1}) r(i) WHERE i <= len(found))")
+
+
+_ALL_ROWS = ", tr AS MATERIALIZED (SELECT dev_price AS x1, dev_volume AS x2, order_flow AS x3, Y_target AS y FROM panel WHERE date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31')"
+_WIDTHS = ", wd AS (SELECT " + ", ".join(f"greatest(0.75::DOUBLE * stddev_pop(x{k}), 4e-4::DOUBLE) AS w{k}" for k in (1, 2, 3)) + " FROM tr)"
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("z1_centers", recursive(with_("panel") + _ALL_ROWS + ", " + _sql_centers(5, 3) + _WIDTHS + " SELECT i::INT AS rule, " + ", ".join(f"{q(f'x.x{k}', 4)} AS c{k}, {q(f'w{k}', 4)} AS w{k}" for k in (1, 2, 3)) + " FROM cs, wd"))
 def _(s, d):
+    """Centres and widths of the initial model, from all rows of the train window."""
     m = Z.initial_model(_train_rows(s, d), INPUTS)
-    return s.createDataFrame([(k, [float(x) for x in c], [float(x) for x in w]) for k, (c, w) in enumerate(zip(m.centers, m.sigmas, strict=True))], "rule int, centers array<double>, sigmas array<double>")
+    rows = [(k, *[float(v) for pair in zip(c, w, strict=True) for v in pair]) for k, (c, w) in enumerate(zip(m.centers, m.sigmas, strict=True))]
+    names = [f"{n}{k}" for k in (1, 2, 3) for n in "cw"]
+    return s.createDataFrame(rows, "rule int, " + ", ".join(f"{n} double" for n in names)).select("rule", *[r(n, 4).alias(n) for n in names])
+
 
+_FIRED = "exp(-0.5::DOUBLE * (" + " + ".join(f"pow((t.x{k} - found[{{0}}].x{k}) / w{k}, 2)" for k in (1, 2, 3)) + "))"
+_WEIGHED = [f"({_FIRED.format(j)}) / ({' + '.join(_FIRED.format(i) for i in (1, 2, 3))})" for j in (1, 2, 3)]
 
-@query("z12_consequents")
+
+@query("z12_consequents", recursive(with_("panel") + _ALL_ROWS + ", " + _sql_centers(3, 2) + _WIDTHS + ", fs AS (SELECT list(x ORDER BY i) AS found FROM cs), "
+       + "dz AS (SELECT y, " + ", ".join(f"{w} * {x} AS d{4 * j + i}" for j, w in enumerate(_WEIGHED) for i, x in enumerate(["1.0::DOUBLE", "t.x1", "t.x2", "t.x3"])) + " FROM tr t, fs, wd WHERE y IS NOT NULL), "
+       + f"sy AS (SELECT {sql_system([f'd{i}' for i in range(12)], 'y', 10.0)} AS m FROM dz), " + sql_solved("so", "sy", 12)
+       + " SELECT i::INT AS i, " + q("beta[i + 1]", 3) + " AS beta FROM so, range(12) r(i)"))
 def _(s, d):
+    """Rule outputs of the initial model of three rules: clustering, widths, regression sums and elimination, all on whole tables."""
     rows = _train_rows(s, d)
     m = Z.initial_model(rows, INPUTS, rules=3)
-    Z.fit_consequents(m, Z.finite_rows(rows, INPUTS, "Y_target"), INPUTS, "Y_target", 10.0)
-    return s.createDataFrame([(k, b) for k, b in enumerate(m.consequents)], "rule int, beta array<double>")
+    sums = Z.gram_rows(m.staged(Z.finite_rows(rows, INPUTS, "Y_target"), INPUTS, False), [F.col(f"_w{k}") * x for k in range(m.n_rules) for x in [F.lit(1.0), *_xs()]], F.col("Y_target"))
+    return Z.solve_rows(sums, 10.0).select(F.posexplode("beta").alias("i", "beta")).select("i", r("beta", 3).alias("beta"))
 
 
 @query("z14_history")
 def _(s, d):
+    """Training at its published length."""
     rows = _train_rows(s, d)
-    return Z.train(Z.initial_model(rows, INPUTS, rules=3), rows, INPUTS, "Y_target", epochs=3).to_df(s)
+    return Z.train(Z.initial_model(rows, INPUTS), rows, INPUTS, "Y_target", epochs=200).to_df(s)
 
 
 @query("z21_tuning")
 def _(s, d):
+    """All 36 cells, fitted on the first half of the train window and measured on the second."""
     rows = _train_rows(s, d)
-    cut = F.col("date") < F.lit("1997-01-01").cast("date")
-    return X.tune(rows.where(cut), rows.where(~cut), INPUTS, "Y_target", {"n_rules": [3], "cluster_radius": [0.5], "ridge_lambda": [1.0, 10.0]}, epochs=1)
+    cut = F.col("date") < F.lit(SECOND[0]).cast("date")
+    return X.tune(rows.where(cut), rows.where(~cut), INPUTS, "Y_target")
+
+
+#: Extra features, fundamentals and input scaling of the compared sets.
+FEATURE_SETS = {
+    "baseline": ([], False, "raw"), "microstructure": (A.EXTRA, False, "minmax"),
+    "fundamentals": ([], True, "minmax"), "all": (A.EXTRA, True, "minmax"),
+}
 
 
 @query("z22_feature_sets")
 def _(s, d):
-    b = B.bars(s, d)
-    sets = {"baseline": INPUTS, "microstructure": A.feature_columns(["ret_5", "clv_5"])}
+    b = B.bars(s, d).persist()
     panels = {}
-    for name, inputs in sets.items():
-        p = T.build_panel(b, B.rates(b), None, B.meetings(s, d), TRAIN, active=inputs, horizons=[30]).select("ticker", "date", *inputs, "R30", "Y_target").cache()
-        panels[name] = (p.where(T.between(*TRAIN)), p.where(T.between(*TEST)), inputs)
-    return X.compare_feature_sets(panels, rules=3, epochs=1)
+    for name, (extra, fundamental, scaling) in FEATURE_SETS.items():
+        inputs = A.feature_columns(extra, fundamental)
+        p = T.build_panel(b, B.rates(b), B.dividends(s, d), B.meetings(s, d), TRAIN, active=inputs, disclosures=B.disclosures(s, d) if fundamental else None, horizons=[21, 30, 63])
+        p = p.select("ticker", "date", *inputs, "R21", "R30", "R63", "Y_target").persist()
+        panels[name] = (p.where(T.between(*TRAIN)), p.where(T.between(*TEST)), inputs, scaling)
+    return X.compare_feature_sets(panels, epochs=5)
 
 
 @query("z23_per_ticker")
 def _(s, d):
-    return X.train_per_ticker(_train_rows(s, d), INPUTS, "Y_target", epochs=10)
+    return X.train_per_ticker(_train_rows(s, d), INPUTS, "Y_target")
 
 
-@query("a20_masked_report")
+@query("z23_consequents", recursive(with_("panel") + ", dz AS (SELECT ticker, Y_target AS y, " + ", ".join(f"{x} AS d{i}" for i, x in enumerate(_DESIGN)) + f" {_TRAINED}), sy AS (SELECT ticker, {sql_system([f'd{i}' for i in range(12)], 'y', 10.0)} AS m FROM dz GROUP BY ticker), "
+       + sql_solved("so", "sy", 12, "ticker") + " SELECT ticker, i::INT AS i, " + q("beta[i + 1]", 3) + " AS beta FROM so, range(12) r(i)"))
 def _(s, d):
-    return X.masked_report(MODEL, panel(s, d, TEST), INPUTS)
+    """Rule outputs of each ticker's own model with the fixed model's premises: keyed sums and elimination, without Python."""
+    rows = panel(s, d, TRAIN).where(F.col("Y_target").isNotNull()).select("ticker", *INPUTS, "Y_target")
+    sums = Z.gram_rows(MODEL.staged(rows, INPUTS, False), [F.col(f"_w{k}") * x for k in K for x in [F.lit(1.0), *_xs()]], F.col("Y_target"), ["ticker"])
+    return Z.solve_rows(sums, 10.0).select("ticker", F.posexplode("beta").alias("i", "beta")).select("ticker", "i", r("beta", 3).alias("beta"))
 
 
 _DRAWN = ", nz AS (SELECT *, " + ", ".join(f"{_sql_noise(k, chr(39).join(['0|', ' || draw || ', '']))} AS z{k}" for k in K) + f" FROM (SELECT *, {SQL_SCORE} AS score FROM tested), range(25) t(draw)), md AS (SELECT *, CASE WHEN pre_agm > 0 THEN {_MASKED_SCORE} ELSE score END AS masked FROM nz)"
@@ -726,6 +871,31 @@ def _(s, d):
     return delta.select("draw", "n_masked", r("a", 5).alias("mean_abs_delta"), r("m", 5).alias("mean_delta"), r("e", 4).alias("rmse"))
 
 
+_REPORT = with_("tested") + _DRAWN + """, de AS (SELECT draw, count(masked - score) AS n_masked, avg(abs(masked - score)) AS mean_abs_delta, avg(masked - score) AS mean_delta FROM md WHERE pre_agm > 0 GROUP BY draw),
+    ft AS (SELECT draw, sqrt(avg((masked - Y_target) * (masked - Y_target))) AS rmse FROM md WHERE masked IS NOT NULL AND Y_target IS NOT NULL GROUP BY draw),
+    pk AS (SELECT draw, date, ticker, R30, row_number() OVER (PARTITION BY draw, date ORDER BY masked DESC, ticker) AS k FROM md WHERE R30 IS NOT NULL AND masked IS NOT NULL AND date IN (SELECT min(date) FROM md GROUP BY date_trunc('month', date))),
+    pf AS (SELECT draw, date, avg(R30) AS ret, list(ticker ORDER BY ticker) AS a FROM pk WHERE k <= 3 GROUP BY draw, date HAVING count(*) >= 3),
+    hl AS (SELECT *, lag(a) OVER (PARTITION BY draw ORDER BY date) AS b FROM pf),
+    cg AS (SELECT *, CASE WHEN b IS NOT NULL THEN (len(list_filter(a, lambda x: NOT list_contains(b, x))) + len(list_filter(b, lambda x: NOT list_contains(a, x)))) / greatest(len(a), 1) END AS c FROM hl),
+    st AS (SELECT draw, coalesce(avg(c), 0) / 2 * 12 AS t, avg(ret) AS m, stddev_samp(ret) AS s FROM cg GROUP BY draw),
+    sh AS (SELECT draw, CASE WHEN s > 0 THEN (m - t / 12 * 15 / 1e4::DOUBLE) / s * sqrt(12.0) END AS sharpe FROM st),
+    ci AS (""" + sql_ic("(SELECT draw, round(masked, 6) AS masked, R30 FROM md)", "masked", "R30", "draw") + f"""),
+    rp AS (SELECT draw::INT AS draw, {q('ic', 4)} AS ic, {q('rmse', 4)} AS rmse, n_masked, {q('mean_abs_delta', 4)} AS mean_abs_delta, {q('mean_delta', 4)} AS mean_delta, {q('sharpe', 3)} AS sharpe FROM ci LEFT JOIN ft USING (draw) LEFT JOIN de USING (draw) LEFT JOIN sh USING (draw))"""
+_REPORT_DIGITS = {"ic": 4, "rmse": 4, "mean_abs_delta": 4, "mean_delta": 4, "sharpe": 3}
+
+
+@query("a20_masked_report", _REPORT + " SELECT * FROM rp")
+def a20_masked_report(s, d):
+    out = X.masked_report(MODEL, panel(s, d, TEST), INPUTS)
+    return out.select("draw", "n_masked", *[r(c, e).alias(c) for c, e in _REPORT_DIGITS.items()])
+
+
+@query("a20_masked_summary", _REPORT + f" SELECT count(*) AS draws, max(n_masked) AS n_masked, {q('avg(mean_abs_delta)', 4)} AS mean_abs_delta, {q('avg(mean_delta)', 4)} AS mean_delta, {q('avg(abs(mean_delta))', 4)} AS mean_abs_bias, " + ", ".join(f"{q(f'{f}({c})', 3)} AS {c}_{n}" for c in ("ic", "rmse", "sharpe") for n, f in (("mean", "avg"), ("sd", "stddev_samp"))) + " FROM rp")
+def _(s, d):
+    out = X.masked_summary(a20_masked_report(s, d))
+    return out.select("draws", "n_masked", *[r(c, 4).alias(c) for c in ("mean_abs_delta", "mean_delta", "mean_abs_bias")], *[r(f"{c}_{n}", 3).alias(f"{c}_{n}") for c in ("ic", "rmse", "sharpe") for n in ("mean", "sd")])
+
+
 def _sql_draws(source: str, draws: int, block: int) -> str:
     """b, pos, i of moving blocks over the n rows of a numbered source."""
     u = "((('0x' || substr(md5('0|' || b || '|' || j), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
@@ -745,14 +915,23 @@ def _(s, d):
     return X.block_bootstrap(ic, "ic", 5000, 6).select("n", *[r(c, 5).alias(c) for c in ("mean", "low", "high")])
 
 
-#: Draws of the pooled panel: each ranks the whole test window again.
-PANEL_DRAWS = 100
+#: Draws of the pooled panel.
+PANEL_DRAWS = 5000
+
+
+def _sql_ranked_draws(lo: int, hi: int) -> str:
+    """Moments of the weighted ranks of draws lo to hi, so few at a time that they stay in memory."""
+    return f"""SELECT b, sum(w)::DOUBLE AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * y)::DOUBLE AS xy, sum(w * x * x)::DOUBLE AS xx, sum(w * y * y)::DOUBLE AS yy FROM
+        (SELECT b, w, sum(w) OVER (PARTITION BY b ORDER BY score) - (sum(w) OVER (PARTITION BY b, score) - 1) / 2.0::DOUBLE AS x, sum(w) OVER (PARTITION BY b ORDER BY R30) - (sum(w) OVER (PARTITION BY b, R30) - 1) / 2.0::DOUBLE AS y
+         FROM dw JOIN rw USING (i) WHERE b >= {lo} AND b < {hi}) GROUP BY b"""
 
 
 @query("m3_panel_bootstrap", with_scored() + f""", dy AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM scored)),
-    dr AS (SELECT b, score, R30 FROM {_sql_draws('dy', PANEL_DRAWS, 30)} JOIN dy USING (i) JOIN scored USING (date)) SELECT {_sql_interval('ic')} FROM ({sql_ic('dr', 'score', 'R30', 'b')})""")
+    rw AS MATERIALIZED (SELECT i, score, R30 FROM scored JOIN dy USING (date) WHERE score IS NOT NULL AND R30 IS NOT NULL), dw AS MATERIALIZED (SELECT b, i, count(*) AS w FROM {_sql_draws('dy', PANEL_DRAWS, 30)} GROUP BY ALL),
+    mo AS ({' UNION ALL '.join(_sql_ranked_draws(lo, lo + 250) for lo in range(0, PANEL_DRAWS, 250))}),
+    ic AS (SELECT CASE WHEN n >= 3 THEN {q('(xy - n * mx * my) / nullif(sqrt((xx - n * mx * mx) * (yy - n * my * my)), 0)')} END AS ic FROM mo) SELECT {_sql_interval('ic')} FROM ic""")
 def _(s, d):
-    out = X.interval(X.panel_bootstrap(scored(s, d).select("date", "score", "R30").cache(), draws=PANEL_DRAWS).withColumn("ic", r("ic")), "ic")
+    out = X.interval(X.panel_bootstrap(scored(s, d).select("date", "score", "R30").persist(), draws=PANEL_DRAWS).withColumn("ic", r("ic")), "ic")
     return out.select("n", r("low", 5).alias("low"), r("high", 5).alias("high"))
 
 
