@@ -37,7 +37,9 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 #: Elements that by their meaning in HTML are no article text.
 _SKIP = frozenset("head title nav footer aside button select option input textarea noscript iframe object canvas svg dialog menu".split())
 #: Whole values of class, id or role that say the same of an element, unless the wrapper finds half of the prose in it; so for forms.
-_NAMED = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comments complementary contentinfo cookie-notice navbar navigation newsletter notice pagination popup search sidebar".split())
+_NAMED = frozenset("banner breadcrumb breadcrumbs complementary contentinfo navigation notice search".split())
+#: Words in such values that say so too, as in ad-slot or user-comments.
+_NAMED_WORDS = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies navbar newsletter pagination popup share sharing sidebar social sponsor sponsored".split())
 _CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 _GENERIC = frozenset("div section table tbody tr td center".split())
 _HOLDS_P = ("td", "th", "button", "object")
@@ -54,7 +56,7 @@ class Node:
         self.tag, self.children, self._form = tag, [], None
         self.key = f"{tag}.{'.'.join(words)}" if words else tag
         self.skip = tag in _SKIP
-        self.named = tag == "form" or tag not in ("body", "html", "article", "main", "h1") and not _NAMED.isdisjoint(values)
+        self.named = tag == "form" or tag not in ("body", "html", "article", "main", "h1") and not (_NAMED.isdisjoint(values) and _NAMED_WORDS.isdisjoint(words))
 
     @property
     def form(self) -> str:
@@ -281,11 +283,35 @@ def _alike(p: Rule, q: Rule) -> int:
     return 0 if p.key != q.key else 1 + (p.form == q.form)
 
 
+#: Pairs of parts up to which the longest alignment is sought; and parts that the alignment of longer ones looks ahead.
+ALIGNED_PAIRS, AHEAD = 250_000, 32
+
+
+def _near(x: list[Rule], y: list[Rule]) -> list[tuple]:
+    """As _aligned, in time and memory that grow with the lengths: after a mismatch, on with the nearest pair of like parts at most AHEAD parts away."""
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i].key != y[j].key:
+            last: dict[str, int] = {}
+            for b in range(min(AHEAD, len(y) - j) - 1, -1, -1):
+                last[y[j + b].key] = b
+            met = min(((a + last[x[i + a].key], a) for a in range(min(AHEAD, len(x) - i)) if x[i + a].key in last), default=(1, 1))
+            a, b = met[1], met[0] - met[1]
+            out += [(p, None, False) for p in x[i : i + a] + y[j : j + b]]
+            i, j = i + a, j + b
+            continue
+        out.append((x[i], y[j], True))
+        i, j = i + 1, j + 1
+    return out + [(p, None, False) for p in x[i:] + y[j:]]
+
+
 def _aligned(x: list[Rule], y: list[Rule]) -> list[tuple]:
-    """A common sequence of keys, longest where forms are alike too: (part, its partner, True) or (part, None, False)."""
+    """A common sequence of keys: (part, its partner, True) or (part, None, False). The longest one, where forms are alike too, up to ALIGNED_PAIRS pairs of parts."""
     n, m = len(x), len(y)
     if not n or not m:
         return [(p, None, False) for p in x + y]
+    if n * m > ALIGNED_PAIRS:
+        return _near(x, y)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -420,27 +446,37 @@ def walk(root: Node, wrapper: Rule) -> tuple[str, int, int]:
 
 
 def own_wrapper(root: Node, wrapper: Rule) -> Rule:
-    """A page's own wrapper, with what is constant on its host marked."""
+    """A page's own wrapper, with what is constant on its host marked; its regions are those of its own tree and, unless that is the whole page, the host's."""
     own = rule_of(root)
-    work = [(own, wrapper)]
+    work, shared = [(own, wrapper)], []
     while work:
         a, b = work.pop()
         if b.constant() and a.digest == b.digest:
             a.seen = b.seen
+        if b.region:
+            shared.append(a)
         at = 0
         for p in a.parts:
             for q in p.parts if p.kind == "group" else (p,):
                 r, at = b.child(q.key, q.form, at)
                 if r is not None:
                     work.append((q, r))
-    return choose(own)
+    choose(own)
+    if not own.region:
+        for a in shared:
+            a.region = True
+    return own
 
 
 def read(page: str, wrapper: Rule) -> str:
-    """The article of a page by its host's wrapper; by its own tree where under a tenth of its varying prose is in the wrapper's regions."""
+    """The article of a page by its host's wrapper. Where more varying prose lies outside the wrapper's regions than in them, the page has a template of its own: its own
+    tree gives regions too, unless it finds none smaller than the page."""
     root = parse(page)
     text, kept, lost = walk(root, wrapper)
-    return text if text and 9 * kept >= lost else walk(root, own_wrapper(root, wrapper))[0]
+    if text and kept >= lost:
+        return text
+    own = own_wrapper(root, wrapper)
+    return text if own.region and 9 * kept >= lost and text else walk(root, own)[0]
 
 
 _PARTIAL = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.binary())])
