@@ -962,4 +962,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a13_mean_score(spark, sf_dir)
 
 
+from marketweave.plans import round_trips  # noqa: E402, F401  registers its queries
+
 __all__ = ["QUERIES", "SQL", "flagship", "gated", "series"]

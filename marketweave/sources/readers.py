@@ -49,9 +49,9 @@ def tidy_bars(raw: DataFrame, ticker: str | None = None) -> DataFrame:
 
 
 def load_bars(spark: SparkSession, paths: str | list[str], ticker: str | None = None) -> DataFrame:
-    """Bars of one or many CSV files in one scan; without `ticker` it is the file's name."""
+    """Bars of one or many CSV files in one scan; without `ticker` it is that of the folder (ticker=...) or the file's name."""
     raw = _trimmed(spark.read.option("header", True).csv(paths))
-    if ticker is None:
+    if ticker is None and "ticker" not in raw.columns:
         raw = raw.withColumn("ticker", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
     return tidy_bars(raw, ticker)
 

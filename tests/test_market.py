@@ -327,6 +327,130 @@ def test_clustering_takes_all_rows(spark):
     assert X.train_per_ticker(df, ["a", "b"], "y", epochs=1).first().n_train == 5000
 
 
+def test_clustering_by_cells(spark, monkeypatch):
+    """Bounded potentials choose what all pairs choose, however few rows get exact ones and however coarse the grid."""
+    rng = np.random.default_rng(5)
+    x = np.round(np.concatenate([rng.normal(c, s, (60, 2)) for c, s in ((0.0, 0.05), (1.0, 0.3), (3.0, 0.1))]), 3).tolist()
+    x += x[:7]
+    df = spark.createDataFrame([tuple(row) for row in x] + [(None, 1.0)], "p double, q double")
+    want = brute_centers(x, 6)
+    for first, cells, chosen in ((4096, 1 << 18, 4096), (4, 1 << 18, 5), (4, 4, 3), (9, 64, 1)):
+        monkeypatch.setattr(Z, "FIRST_CELLS", first)
+        monkeypatch.setattr(Z, "CELLS", cells)
+        monkeypatch.setattr(Z, "CHOSEN", chosen)
+        assert [list(c) for c in Z.cluster_centers(df, ["p", "q"], rules=6).first().centers] == want
+    same = spark.createDataFrame([(1.0, 2.0)] * 3, "p double, q double")
+    assert Z.cluster_centers(same, ["p", "q"], rules=2).first().centers[0] == [1.0, 2.0]
+    assert Z.cluster_centers(df.limit(0), ["p", "q"]).count() == 0
+
+
+def test_cell_bounds(spark):
+    """The bound holds for every row and is far below the potentials."""
+    rng = np.random.default_rng(6)
+    z = rng.random((400, 3)) ** 2
+    z = (z - z.min(0)) / (z.max(0) - z.min(0))
+    points = spark.createDataFrame([(list(map(float, r)), list(map(float, r)), 1.0 + i % 3) for i, r in enumerate(z)], "x array<double>, z array<double>, n double")
+    n = np.array([1.0 + i % 3 for i in range(400)])
+    for bins, alpha in ((2, 16.0), (8, 16.0), (16, 33.0), (64, 66.0)):
+        true = np.exp(-alpha * ((z[:, None] - z[None]) ** 2).sum(2)) @ n
+        value, bound = Z.Cells.of(points, 3, bins).potentials(z, alpha)
+        assert (np.abs(value - true) <= bound).all()
+        if bins == 16:
+            assert bound.max() < 0.2 * true.max()
+
+
+def test_fused_training(spark, model, points):
+    """One aggregate gives what three passes of Column expressions give; a grid's cells and a ticker's rows don't touch each other."""
+    _, _, df = points
+    rows = df.where("date > 0")
+    m = FuzzyModel(model.centers, [list(s) for s in model.sigmas], model.consequents, scale_lo=[-1.0, 0.5], scale_span=[2.0, 3.0])
+    sums = Z.moments(Z.training_rows(rows, ["a", "b"], "y"), [m])[0]
+    Z.fit_consequents(m, rows, ["a", "b"], "y", 10.0)
+    np.testing.assert_allclose(sums.fit(10.0), m.consequents, rtol=1e-6)
+    g, _, loss = Z.width_gradient(m, rows, ["a", "b"], "y")
+    np.testing.assert_allclose(sums.gradient(np.array(m.consequents)), g, rtol=1e-6, atol=1e-6)
+    assert sums.loss(np.array(m.consequents)) == pytest.approx(loss, rel=1e-8) and sums.n == 299
+    fresh = lambda: FuzzyModel(model.centers, [list(s) for s in model.sigmas], model.consequents)
+    both, alone = [fresh(), fresh()], fresh()
+    histories = Z.train_grid(both, [10.0, 1.0], rows, ["a", "b"], "y", epochs=3)
+    single = Z.train(alone, rows, ["a", "b"], "y", epochs=3, ridge=1.0)
+    np.testing.assert_allclose(histories[1].train_loss, single.train_loss, rtol=1e-9)
+    np.testing.assert_allclose(both[1].sigmas, alone.sigmas, rtol=1e-9)
+    keyed = [fresh(), fresh()]
+    Z.train_grid(keyed, [10.0, 10.0], rows, ["a", "b"], "y", epochs=2, key="ticker", keys=["T1", "T3"])
+    own = fresh()
+    Z.train(own, rows.where("ticker = 'T3'"), ["a", "b"], "y", epochs=2)
+    np.testing.assert_allclose(keyed[1].consequents, own.consequents, rtol=1e-6)
+    assert [k.metadata["n_train"] for k in keyed] == [60, 60]
+    none = fresh()
+    assert Z.train(none, rows.where("date < 0"), ["a", "b"], "y", epochs=1).train_loss == [0.0] and np.abs(none.consequents).max() == 0
+
+
+def test_resumed_training(spark, model, points, tmp_path):
+    _, _, df = points
+    rows = df.where("date > 0")
+    fresh = lambda: FuzzyModel(model.centers, [list(s) for s in model.sigmas], model.consequents)
+    whole, part = fresh(), fresh()
+    want = Z.train(whole, rows, ["a", "b"], "y", epochs=3)
+    Z.save_checkpoint(str(tmp_path / "c.json"), part, Z.train(part, rows, ["a", "b"], "y", epochs=2), {"k": 1})
+    got, history = Z.resume(str(tmp_path / "c.json"), rows, ["a", "b"], "y", 1)
+    np.testing.assert_allclose(history.train_loss, want.train_loss, rtol=1e-9)
+    np.testing.assert_allclose(got.sigmas, whole.sigmas, rtol=1e-9)
+    again, kept, extra = Z.load_checkpoint(str(tmp_path / "c.json"))
+    assert again.consequents == got.consequents and kept == history and extra == {"k": 1} and got.metadata["n_epochs"] == 3
+
+
+def test_elimination(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(50, 4))
+    df = spark.createDataFrame([(f"k{i % 2}", *map(float, r), float(r @ [1, -2, 0.5, 3])) for i, r in enumerate(a)], "k string, a double, b double, c double, d double, y double")
+    sums = Z.gram_rows(df, [F.col(c) for c in "abcd"], F.col("y"), ["k"])
+    for row in Z.solve_rows(sums, 0.1).collect():
+        x = a[int(row.k[1]) :: 2]
+        np.testing.assert_allclose(row.beta, np.linalg.solve(x.T @ x + 0.1 * np.eye(4), x.T @ (x @ [1, -2, 0.5, 3])), rtol=1e-9)
+    with pytest.raises(ValueError):
+        Z.solve_rows(sums, 0.0)
+
+
+def test_tuning(spark, points):
+    _, _, df = points
+    rows = df.where("date > 0")
+    table = X.tune(rows.where("date < 150"), rows.where("date >= 150"), ["a", "b"], "y", {"n_rules": [2, 3], "cluster_radius": [0.5], "ridge_lambda": [1.0, 100.0]}, epochs=2).cache()
+    got = table.orderBy("cell").collect()
+    assert [(r.n_rules, r.ridge_lambda) for r in got] == [(2, 1.0), (2, 100.0), (3, 1.0), (3, 100.0)] and all(r.empirical_C <= 100 and r.final_loss > 0 for r in got)
+    m = Z.initial_model(rows.where("date < 150"), ["a", "b"], 3)
+    h = Z.train(m, rows.where("date < 150"), ["a", "b"], "y", 2, 100.0)
+    assert got[3].final_loss == pytest.approx(h.train_loss[-1])
+    one = X.evaluate(rows.where("date >= 150"), ["a", "b"], m, "y").first()
+    assert (got[3].val_rmse, got[3].val_rank_ic) == (pytest.approx(one.rmse), pytest.approx(one.rank_ic))
+    fake = spark.createDataFrame([(0, 0.9, 120.0), (1, 0.5, 100.0), (2, None, 1.0), (3, 0.7, None)], "cell int, val_rank_ic double, empirical_C double")
+    assert X.best_cell(fake).first().cell == 1 and X.best_cell(fake.where("cell in (0, 3)")).first().cell == 0
+    assert [r.cell for r in X.tuning_head(fake, 2).collect()] == [0, 3]
+
+
+def test_panel_bootstrap(spark, monkeypatch):
+    """Weighted ranks equal ranks of repeated rows: ties, a hot value, missing values, slices of few values and short blocks of draws."""
+    import datetime as dt
+
+    monkeypatch.setattr(X, "DRAWS_HELD", 7)
+    monkeypatch.setattr(X, "RANKED_VALUES", 5)
+    rng = np.random.default_rng(8)
+    rows = []
+    for d in range(12):
+        for k in range(4):
+            rows.append((dt.date(2001, 1, 1) + dt.timedelta(d), 50.0 if rng.random() < 0.4 else float(rng.integers(0, 20)), None if rng.random() < 0.1 else float(rng.integers(-5, 5))))
+    df = spark.createDataFrame([*rows, rows[0]], "date date, score double, R30 double")
+    got = {r.b: (r.n, r.ic) for r in X.panel_bootstrap(df, draws=20, block=5, seed=3).collect()}
+    drawn = X.panel_draws(df, 20, 5, 3).toPandas()
+    panel = df.toPandas().dropna()
+    for b, own in drawn.groupby("b"):
+        many = own.merge(panel, on="date")
+        assert got[b][0] == len(many) and got[b][1] == pytest.approx(many.score.rank().corr(many.R30.rank()))
+    assert len(got) == 20 and X.panel_bootstrap(df, draws=5, block=50).count() == 0
+    flat = df.withColumn("score", F.lit(1.0))
+    assert all(r.ic is None for r in X.panel_bootstrap(flat, draws=3, block=5).collect())
+
+
 def test_bootstraps_and_adversary(spark, points):
     series = spark.createDataFrame([(f"2001-{1 + i // 25:02d}-{1 + i % 25:02d}", float(i)) for i in range(100)] + [("2002-01-01", None)], "date string, ic double")
     row = X.block_bootstrap(series, draws=500, block=10).first()
