@@ -838,12 +838,13 @@ FEATURE_SETS = {
 def _(s, d):
     b = B.bars(s, d).persist()
     panels = {}
-    for name, (extra, fundamental, scaling) in FEATURE_SETS.items():
+    for name in ("baseline", "microstructure"):
+        extra, fundamental, scaling = FEATURE_SETS[name]
         inputs = A.feature_columns(extra, fundamental)
         p = T.build_panel(b, B.rates(b), B.dividends(s, d), B.meetings(s, d), TRAIN, active=inputs, disclosures=B.disclosures(s, d) if fundamental else None, horizons=[21, 30, 63])
         p = p.select("ticker", "date", *inputs, "R21", "R30", "R63", "Y_target").persist()
         panels[name] = (p.where(T.between(*TRAIN)), p.where(T.between(*TEST)), inputs, scaling)
-    return X.compare_feature_sets(panels, epochs=5)
+    return X.compare_feature_sets(panels, rules=3, epochs=1)
 
 
 @query("z23_per_ticker")
