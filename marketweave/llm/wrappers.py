@@ -38,13 +38,19 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _SKIP = frozenset("head title nav footer aside button select option input textarea noscript iframe object canvas svg dialog menu".split())
 #: Whole values of class, id or role that say the same of an element, unless the wrapper finds half of the prose in it; so for forms.
 _NAMED = frozenset("banner breadcrumb breadcrumbs complementary contentinfo navigation notice search".split())
-#: Words in such values that say so too, as in ad-slot or user-comments.
+#: Words that say so too, alone or with the words after them and no others, as in ad-slot or user-comments.
 _NAMED_WORDS = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies navbar newsletter pagination popup share sharing sidebar social sponsor sponsored".split())
+_BOXES = frozenset("area banner bar block box button buttons container list notice reader section slot thread unit user widget wrap wrapper".split())
 _CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 _GENERIC = frozenset("div section table tbody tr td center".split())
 _HOLDS_P = ("td", "th", "button", "object")
 
 
+def _telling(value: str) -> bool:
+    words = set(re.findall("[a-z]+", value))
+    return not words.isdisjoint(_NAMED_WORDS) and words <= _NAMED_WORDS | _BOXES
+
+
 class Node:
     """A tag of a page: its key (tag and class words), its children, nodes and texts in order, and its form: what blocks are in it, if no class tells."""
 
@@ -56,7 +62,7 @@ class Node:
         self.tag, self.children, self._form = tag, [], None
         self.key = f"{tag}.{'.'.join(words)}" if words else tag
         self.skip = tag in _SKIP
-        self.named = tag == "form" or tag not in ("body", "html", "article", "main", "h1") and not (_NAMED.isdisjoint(values) and _NAMED_WORDS.isdisjoint(words))
+        self.named = tag == "form" or tag not in ("body", "html", "article", "main", "h1") and any(v in _NAMED or _telling(v) for v in values)
 
     @property
     def form(self) -> str:
