@@ -6,6 +6,7 @@ import hashlib
 import itertools
 from collections.abc import Iterator
 from dataclasses import replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from marketweave.functions.scalars import keyed_truncated_normal, keyed_uniform
 from marketweave.operators.fuzzy import FuzzyModel
 from marketweave.operators.metrics import fit_metrics, mark_rank_ic, mean_and_error, net_sharpe, rank_ic, top_n_portfolio
 from marketweave.operators.training import cluster_centers, finite_rows, forward, initial_model, least_squares, linear_score, train, train_grid
+from marketweave.sources.scratch import written
 
 
 def block_draws(spark, n: int, draws: int, block: int, seed: int) -> DataFrame:
@@ -48,14 +50,14 @@ def panel_draws(panel: DataFrame, draws: int, block: int, seed: int) -> DataFram
     return block_draws(panel.sparkSession, days.count(), draws, block, seed).join(days, "i").select("b", "pos", "date")
 
 
-def date_weights(n: int, draws: int, block: int, seed: int) -> np.ndarray:
-    """How often each of n dates is in each draw (n x draws): block_draws, counted. Bounded by dates and draws, whatever the number of rows."""
+def date_weights(n: int, draws: int, block: int, seed: int, first: int = 0) -> np.ndarray:
+    """How often each of n dates is in each of so many draws from `first` on (n x draws): block_draws, counted. Bounded by dates and draws, whatever the number of rows."""
     out = np.zeros((n + 1, draws), np.int32)
     if n < block:
         return np.zeros((n, 0), np.int32)
     for b in range(draws):
         for j in range(-(-n // block)):
-            u = (int(hashlib.md5(f"{seed}|{b}|{j}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
+            u = (int(hashlib.md5(f"{seed}|{first + b}|{j}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
             start = int(u * (n - block + 1))
             out[start, b] += 1
             out[start + min(block, n - j * block), b] -= 1
@@ -66,8 +68,26 @@ def date_weights(n: int, draws: int, block: int, seed: int) -> np.ndarray:
 DRAWS_HELD, RANKED_VALUES = 256, 1024
 
 
-def _weighted_ranks(rows: DataFrame, col: str, weights: np.ndarray) -> DataFrame:
-    """block, value, ranks (packed doubles, less the mean rank): the tie-averaged rank of each value among the rows of every draw of a block of draws.
+class Draws:
+    """The draws in blocks of DRAWS_HELD. Weights are made where they are needed, so that neither plans nor the driver carry them."""
+
+    def __init__(self, dates: int, draws: int, block: int, seed: int, totals: np.ndarray) -> None:
+        self.dates, self.draws, self.block, self.seed, self.totals, self.held = dates, draws, block, seed, totals, DRAWS_HELD
+        self.blocks = -(-draws // self.held)
+        # A draw has as many dates as the panel, so no rank, doubled, is over this.
+        self.kind = np.dtype("<i4" if 2 * dates * int(totals.max(initial=0)) < 1 << 31 else "<i8")
+
+    def weights(self, k: int) -> np.ndarray:
+        return _held_weights(self.dates, min(self.held, self.draws - k * self.held), self.block, self.seed, k * self.held)
+
+
+@lru_cache(maxsize=32)
+def _held_weights(n: int, draws: int, block: int, seed: int, first: int) -> np.ndarray:
+    return date_weights(n, draws, block, seed, first).astype(np.int64)
+
+
+def _weighted_ranks(rows: DataFrame, col: str, drawn: Draws) -> DataFrame:
+    """block, value, ranks (packed integers): twice the tie-averaged rank of each value, less twice the mean rank, among the rows of every draw of a block of draws.
 
     A draw weighs a row by its date, so it is enough to know how many rows of each date have a value. Values are cut into slices; what lies below a slice is a count for each date,
     and inside a slice the weights of its values are summed upwards. No row is repeated, and a value that most rows share is one entry for each date.
@@ -77,66 +97,70 @@ def _weighted_ranks(rows: DataFrame, col: str, weights: np.ndarray) -> DataFrame
     n = max(1, -(-values.count() // RANKED_VALUES))
     cuts = sorted(set(values.approxQuantile("value", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
     cut = counts.withColumn("slice", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("value"))) if cuts else F.lit(0))
-    dates = len(weights)
     # Rows of each date below each slice: one row per slice with an array by date.
     upto = Window.partitionBy("i").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    grid = cut.select("slice").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(dates - 1))))
+    grid = cut.select("slice").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(drawn.dates - 1))))
     below = grid.join(cut.groupBy("slice", "i").agg(F.sum("n").alias("n")), ["slice", "i"], "left").withColumn("below", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(upto), F.lit(0)))
-    below = below.groupBy("slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "below"))), lambda v: v["below"]).alias("below"))
-    total = np.zeros(dates, np.int64)
-    for r in counts.groupBy("i").agg(F.sum("n").alias("n")).collect():  # one row per date
-        total[r["i"]] = r["n"]
-    middle = (total @ weights + 1) / 2.0
+    below = below.groupBy(F.col("slice").alias("at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "below"))), lambda v: v["below"]).alias("below"))
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, ahead: pa.Table) -> pa.Table:
         value, date, n = (np.asarray(table[c]) for c in ("value", "i", "n"))
         order = np.argsort(value, kind="stable")
         value, date, n = value[order], date[order], n[order]
         starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        base = np.asarray(table["below"][0].as_py(), np.int64)
+        base = np.asarray(ahead["below"][0].as_py(), np.int64)
         out = []
-        for block, lo in enumerate(range(0, weights.shape[1], DRAWS_HELD)):
-            w = weights[:, lo : lo + DRAWS_HELD].astype(np.int64)
+        for block in range(drawn.blocks):
+            w = drawn.weights(block)
             own = np.add.reduceat(n[:, None] * w[date], starts, axis=0)
-            ranks = base @ w + np.cumsum(own, 0) - own + (own + 1) / 2.0 - middle[lo : lo + DRAWS_HELD]
+            ranks = (2 * (base @ w + np.cumsum(own, 0)) - own - drawn.totals @ w).astype(drawn.kind)
             out.append(pa.table({"block": np.full(len(starts), block, np.int32), "value": value[starts], "ranks": pa.array([v.tobytes() for v in ranks], pa.binary())}))
         return pa.concat_tables(out)
 
-    dealt = cut.join(below, "slice").repartition(min(max(n, 1), 4096), "slice")
-    return dealt.groupBy("slice").applyInArrow(run, "block int, value double, ranks binary")
+    # Few bytes, much work: about a slice for each task.
+    dealt = cut.select("slice", "value", "i", "n").repartition(min(n, 4096), "slice")
+    return dealt.groupBy("slice").cogroup(below.groupBy("at")).applyInArrow(run, "block int, value double, ranks binary")
 
 
 def panel_bootstrap(panel: DataFrame, score: str = "score", ret: str = "R30", draws: int = 5000, block: int = 30, seed: int = 0) -> DataFrame:
     """b, n, ic: the pooled rank correlation of every draw of moving blocks of dates; a date drawn twice counts twice. Empty if there are fewer dates than a block.
 
     Values are ranked once for all draws (`_weighted_ranks`); a row meets the ranks of its score and of its return for DRAWS_HELD draws at a time, and only sums by draw go on.
+    Nothing of the ranks may be broadcast: they are far wider than Spark takes them to be.
     """
     spark = panel.sparkSession
+    panel = written(panel.select("date", F.col(score).cast("double").alias("x"), F.col(ret).cast("double").alias("y")))
     days = numbered(panel.select("date").distinct()).persist()
-    weights = date_weights(days.count(), draws, block, seed)
-    if not weights.shape[1]:
+    dates = days.count()
+    if dates < block:
         return spark.createDataFrame([], "b int, n long, ic double")
-    rows = panel.select("date", F.col(score).cast("double").alias("x"), F.col(ret).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    rows = panel.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
     # + 0.0: both zeros are one value
-    rows = rows.join(days, "date").select("i", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).persist()
-    ranks = {c: _weighted_ranks(rows, c, weights).select("block", F.col("value").alias(c), F.col("ranks").alias(f"r{c}")) for c in "xy"}
-    blocks = -(-weights.shape[1] // DRAWS_HELD)
-    many = rows.groupBy("i", "x", "y").agg(F.count(F.lit(1)).alias("k")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = many.join(ranks["x"], ["block", "x"]).join(ranks["y"], ["block", "y"]).select("block", "i", "k", "rx", "ry")
+    rows = rows.join(days, "date").select("i", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y"))
+    rows = written(rows)
+    totals = np.zeros(dates, np.int64)
+    for r in rows.groupBy("i").count().collect():  # one row per date
+        totals[r["i"]] = r["count"]
+    drawn = Draws(dates, draws, block, seed, totals)
+    ranks = {c: _weighted_ranks(rows, c, drawn).select("block", F.col("value").alias(c), F.col("ranks").alias(f"r{c}")) for c in "xy"}
+    many = rows.groupBy("i", "x", "y").agg(F.count(F.lit(1)).alias("k")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(drawn.blocks - 1))))
+    met = many.join(ranks["x"].hint("merge"), ["block", "x"]).join(ranks["y"].hint("merge"), ["block", "y"]).select("block", "i", "k", "rx", "ry")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for b in batches:
             block, i, k = (np.asarray(c) for c in b.columns[:3])
             for own in np.unique(block):
-                lo = own * DRAWS_HELD
                 at = np.flatnonzero(block == own)
-                rx, ry = (np.frombuffer(b"".join(v.as_buffer() for v in c.take(pa.array(at))), np.float64).reshape(len(at), -1) for c in b.columns[3:])
-                w = (weights[:, lo : lo + DRAWS_HELD][i[at]] * k[at, None]).astype(np.float64)
-                part = np.stack([w.sum(0), *[np.einsum("nb,nb,nb->b", w, p, q) for p, q in ((rx, ry), (rx, rx), (ry, ry))]])
-                totals[own] = part if own not in totals else totals[own] + part
+                for lo in range(0, len(at), 1024):
+                    some = at[lo : lo + 1024]
+                    rx, ry = (np.frombuffer(b"".join(v.as_buffer() for v in c.take(pa.array(some))), drawn.kind).reshape(len(some), -1).astype(np.float64) for c in b.columns[3:])
+                    w = (drawn.weights(int(own))[i[some]] * k[some, None]).astype(np.float64)
+                    wx = w * rx
+                    part = np.stack([w.sum(0), (wx * ry).sum(0), (wx * rx).sum(0), (w * ry * ry).sum(0)])
+                    totals[own] = part if own not in totals else totals[own] + part
         for own, part in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.shape[1], dtype=np.int32) + own * DRAWS_HELD), *[pa.array(v) for v in part]], names=["b", "n", "xy", "xx", "yy"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.shape[1], dtype=np.int32) + own * drawn.held, pa.int32()), *[pa.array(v) for v in part]], names=["b", "n", "xy", "xx", "yy"])
 
     sums = met.mapInArrow(run, "b int, n double, xy double, xx double, yy double").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "xx", "yy")])
     ic = F.when(F.col("n") >= 3, F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0)))

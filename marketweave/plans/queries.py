@@ -20,6 +20,7 @@ from marketweave.operators.fuzzy import FuzzyModel, mask_weight
 from marketweave.operators.payout import mean_scores, payout_table
 from marketweave.plans import tables as B
 from marketweave.plans.tables import TEST, TRAIN, with_
+from marketweave.sources.scratch import written
 from marketweave.sources.sinks import ticker_figure, upsert
 
 INPUTS = A.BASE
@@ -52,7 +53,8 @@ def q(x: str, digits: int = 6) -> str:
 
 
 def panel(spark: SparkSession, d: str, split: tuple[str, str] | None = None) -> DataFrame:
-    b = B.bars(spark, d)
+    # The panel reads its bars for features, rates, winsor limits and labels: order lines are summed up once for all of them.
+    b = written(B.bars(spark, d))
     return T.build_panel(b, B.rates(b), B.dividends(spark, d), B.meetings(spark, d), TRAIN, split)
 
 
@@ -932,7 +934,7 @@ def _sql_ranked_draws(lo: int, hi: int) -> str:
     mo AS ({' UNION ALL '.join(_sql_ranked_draws(lo, lo + 250) for lo in range(0, PANEL_DRAWS, 250))}),
     ic AS (SELECT CASE WHEN n >= 3 THEN {q('(xy - n * mx * my) / nullif(sqrt((xx - n * mx * mx) * (yy - n * my * my)), 0)')} END AS ic FROM mo) SELECT {_sql_interval('ic')} FROM ic""")
 def _(s, d):
-    out = X.interval(X.panel_bootstrap(scored(s, d).select("date", "score", "R30").persist(), draws=PANEL_DRAWS).withColumn("ic", r("ic")), "ic")
+    out = X.interval(X.panel_bootstrap(scored(s, d).select("date", "score", "R30"), draws=PANEL_DRAWS).withColumn("ic", r("ic")), "ic")
     return out.select("n", r("low", 5).alias("low"), r("high", 5).alias("high"))
 
 

@@ -428,6 +428,18 @@ def test_tuning(spark, points):
     assert [r.cell for r in X.tuning_head(fake, 2).collect()] == [0, 3]
 
 
+def test_panel_bootstrap_broadcasts_no_ranks(spark):
+    import datetime as dt
+
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i * 7 % 11), float(i * 5 % 13)) for i in range(40)]
+    out = X.panel_bootstrap(spark.createDataFrame(rows, "date date, score double, R30 double"), draws=600, block=5)
+    assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin [block") == 2
+    # Drawn weights are made in tasks, a block of draws at a time, and are those of all draws at once.
+    drawn = X.Draws(40, 600, 5, 0, np.ones(40, np.int64))
+    assert (np.concatenate([drawn.weights(k) for k in range(drawn.blocks)], 1) == X.date_weights(40, 600, 5, 0)).all()
+    assert out.count() == 600
+
+
 def test_panel_bootstrap(spark, monkeypatch):
     """Weighted ranks equal ranks of repeated rows: ties, a hot value, missing values, slices of few values and short blocks of draws."""
     import datetime as dt
