@@ -300,12 +300,11 @@ def compare_feature_sets(panels: dict[str, tuple[DataFrame, DataFrame, list[str]
         spark = train_df.sparkSession
         model = initial_model(train_df.where(F.col(label).isNotNull()), inputs, rules, scaling=scaling)
         train(model, train_df, inputs, label, epochs)
-        scored = model.with_score(test_df, inputs).persist()
+        scored = written(model.with_score(test_df, inputs)).persist()
         fit, ic = fit_metrics(scored, "score", label).first(), rank_ic(scored).first()
         sharpe = net_sharpe(top_n_portfolio(scored), [15.0]).first()
         marks = [mean_and_error(mark_rank_ic(scored, unit, h)).first()["mean"] for unit, h in (("month", 21), ("quarter", 63))]
         out.append((name, len(inputs), ",".join(inputs), model.counts()["free"], fit["rmse"], fit["mae"], ic["ic"], sharpe["sharpe"] if sharpe else None, *marks))
-        scored.unpersist()
     kind = "set string, n_inputs int, features string, n_free_params int, rmse double, mae double, pooled_rank_ic double, net_sharpe_15bps double, monthly_mark_ic double, quarterly_mark_ic double"
     return spark.createDataFrame(out, kind)
 
@@ -322,7 +321,7 @@ def train_per_ticker(df: DataFrame, inputs: list[str], label: str, rules: int =
 
     A ticker's rows may lie in any task: an epoch is one keyed aggregate (`train_grid`), so no task gathers a ticker. The driver holds a model per ticker.
     """
-    rows = finite_rows(df, inputs, label).select("ticker", "date", *inputs, label).persist()
+    rows = written(finite_rows(df, inputs, label).select("ticker", "date", *inputs, label)).persist()
     found = {r["g"]: r["centers"] for r in cluster_centers(rows, inputs, rules=rules, by=F.col("ticker")).collect()}  # one row per ticker
     spread = {r[0]: np.array(r[1:], float) for r in rows.groupBy("ticker").agg(*[F.stddev_pop(c) for c in inputs]).collect()}
     tickers = sorted(found)

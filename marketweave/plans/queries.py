@@ -64,7 +64,7 @@ def scored(spark: SparkSession, d: str, split: tuple[str, str] | None = TEST) ->
 
 def scored_once(spark: SparkSession, d: str) -> DataFrame:
     """The scored test window for queries that read it more than once."""
-    return scored(spark, d).select("ticker", "date", "score", "R30", "R63", "Y_target", "pre_agm").persist()
+    return written(scored(spark, d).select("ticker", "date", "score", "R30", "R63", "Y_target", "pre_agm"))
 
 
 def _sql_total(parts: list[str]) -> str:
@@ -600,9 +600,9 @@ def _sql_horizon(h: int) -> str:
 
 @query("m1_horizons", with_scored() + ", " + ", ".join(sql_ols(f"Y_target_{h}", "scored", f"o{h}") for h in HORIZONS) + " " + " UNION ALL ".join(_sql_horizon(h) for h in HORIZONS))
 def _(s, d):
-    p = panel(s, d).cache()
-    tested = MODEL.with_score(p.where(T.between(*TEST)), INPUTS).withColumn("score", r("score", 6)).cache()
-    out = X.horizon_table(tested, p.where(T.between(*TRAIN)).cache(), INPUTS, HORIZONS)
+    p = written(panel(s, d))
+    tested = written(MODEL.with_score(p.where(T.between(*TEST)), INPUTS).withColumn("score", r("score", 6)))
+    out = X.horizon_table(tested, p.where(T.between(*TRAIN)), INPUTS, HORIZONS)
     return out.select("horizon_days", "n_labelled", *[r(c, k).alias(c) for c, k in (("rmse", 4), ("mae", 4), ("pooled_rank_ic", 6), ("per_asset_mean_rank_ic", 5), ("ols_pooled_rank_ic", 6))])
 
 
@@ -759,7 +759,7 @@ def _(s, d):
 
 
 def _train_rows(s, d) -> DataFrame:
-    return panel(s, d, TRAIN).select("ticker", "date", *INPUTS, "Y_target", "R30", "pre_agm").cache()
+    return written(panel(s, d, TRAIN).select("ticker", "date", *INPUTS, "Y_target", "R30", "pre_agm"))
 
 
 def _sql_centers(rules: int, passes: int) -> str:
@@ -838,13 +838,13 @@ FEATURE_SETS = {
 
 @query("z22_feature_sets")
 def _(s, d):
-    b = B.bars(s, d).persist()
+    b = written(B.bars(s, d))
     panels = {}
     for name in ("baseline", "microstructure"):
         extra, fundamental, scaling = FEATURE_SETS[name]
         inputs = A.feature_columns(extra, fundamental)
         p = T.build_panel(b, B.rates(b), B.dividends(s, d), B.meetings(s, d), TRAIN, active=inputs, disclosures=B.disclosures(s, d) if fundamental else None, horizons=[21, 30, 63])
-        p = p.select("ticker", "date", *inputs, "R21", "R30", "R63", "Y_target").persist()
+        p = written(p.select("ticker", "date", *inputs, "R21", "R30", "R63", "Y_target"))
         panels[name] = (p.where(T.between(*TRAIN)), p.where(T.between(*TEST)), inputs, scaling)
     return X.compare_feature_sets(panels, rules=3, epochs=1)
 
