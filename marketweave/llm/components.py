@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweave.llm.common import drop, left_join, save
 
+#: Edges for one task. Fewer stay in one, as adaptive execution would join them: a round is then one job without a shuffle.
+TASK_EDGES = 1 << 17
 
-def _with_min(edges: DataFrame) -> DataFrame:
+
+def _with_min(edges: DataFrame, alone: bool) -> DataFrame:
+    if alone:
+        return edges.coalesce(1).withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
     return left_join(edges, edges.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
 
 
@@ -20,20 +25,23 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """links: a, b (any order, repeats and loops allowed, nulls ignored) -> id, component_id of every id that has a link.
 
-    component_id is the smallest id reachable. No task gathers a neighbourhood: minima come from partial aggregates, and a node with a
-    huge number of neighbours is split by the join.
+    component_id is the smallest id reachable. No task gathers a neighbourhood of more than TASK_EDGES: minima come from partial aggregates, and
+    a node with a huge number of neighbours is split by the join.
     """
-    edges = save(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = save((edges.coalesce(1) if edges.count() <= TASK_EDGES else edges).distinct())
     state = _state(edges)
     for _ in range(max_rounds):
         if not state[0]:
             break
+        alone = state[0] <= TASK_EDGES
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = save(_with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        near = _with_min(large)
+        large = _with_min(both, alone).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large if alone else save(large)
+        near = _with_min(large, alone)
         moved = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        after = save(moved.distinct())
-        drop(large, edges)
+        after = save((moved.coalesce(1) if alone else moved).distinct())
+        drop(edges, *([] if alone else [large]))
         edges, before, state = after, state, _state(after)
         if state == before:
             break

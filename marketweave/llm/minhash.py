@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm import bytehash
-from marketweave.llm.common import WORD, left_join, save, small_batches
+from marketweave.llm.common import WORD, left_join, release, save, small_batches
 from marketweave.llm.components import components
 
 #: Rows in a band. With 32 bands a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 = 5e-8.
@@ -82,10 +82,13 @@ def _sets(width: int):
     return build
 
 
-def _of(rows: DataFrame, facts: DataFrame, col: str, prefix: str) -> DataFrame:
-    """Left join of one row of facts (a written table) per id to rows by a column in which a few ids may be very frequent."""
+def _of(rows: DataFrame, facts: DataFrame, col: str, prefix: str, how: str = "left") -> DataFrame:
+    """Join of one row of facts (a written table) per id to rows by a column in which a few ids may be very frequent.
+
+    An inner join, where every row has its facts, lets Spark send few rows to the facts in place of dealing out both.
+    """
     own = facts.select(F.col("id").alias(col), *[F.col(c).alias(f"{prefix}{c}") for c in facts.columns if c != "id"])
-    return rows.join(own, col, "left")
+    return rows.join(own, col, how)
 
 
 def near_dedup(
@@ -114,10 +117,11 @@ def near_dedup(
     else:
         signed = signed.withColumn("doc", F.col("id"))
     copies = signed.where("id is not null and n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = save(left_join(signed.select("id", "doc", "n_shingles", "digest"), copies, "digest").select("id", "doc", "n_shingles", F.coalesce("rep", "id").alias("rep")))
-    others = members.where("id != rep").select("id").distinct()
-
-    keyed = signed.where("id is not null and n_shingles > 0").select("id", F.explode("bands").alias("key")).join(others, "id", "left_anti")
+    # Bands stay with the class's representative alone.
+    members = left_join(signed.select("id", "doc", "n_shingles", "digest", "bands"), copies, "digest").withColumn("rep", F.coalesce("rep", "id"))
+    members = save(members.select("id", "doc", "n_shingles", "rep", F.when((F.col("id") == F.col("rep")) & (F.col("n_shingles") > 0), F.col("bands")).alias("bands")))
+    keyed = members.where("bands is not null").select("id", F.explode("bands").alias("key"))
+    members = members.drop("bands")
     buckets = save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     placed = save(keyed.join(buckets, "key"))
     # A bucket's pivot is the class whose buckets are fullest: the common ancestor of near copies rather than one of them.
@@ -139,12 +143,13 @@ def near_dedup(
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs a, b that pass sizes and signatures, with the common shingles of their full sets and whether they link."""
-        p = _of(_of(pairs, facts, "a", "a_"), facts, "b", "b_")
+        release(spark, 1)  # many plans lie behind: the driver's heap would grow to its limit
+        p = _of(_of(pairs, facts, "a", "a_", "inner"), facts, "b", "b_", "inner")
         same = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         fits = F.least("a_n_shingles", "b_n_shingles") * 100 >= F.greatest("a_n_shingles", "b_n_shingles") * percent
         p = save(p.where(fits & (same >= floor * bands * BAND_ROWS)).select("a", "b"))
         # A pivot meets its whole family here: adaptive execution splits its pairs.
-        both = _of(_of(p, sets, "a", "a_"), sets, "b", "b_").select("a", "b", F.col("a_shingles").alias("sa"), F.col("b_shingles").alias("sb"))
+        both = _of(_of(p, sets, "a", "a_", "inner"), sets, "b", "b_", "inner").select("a", "b", F.col("a_shingles").alias("sa"), F.col("b_shingles").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
         link = 100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))
         return save(both.withColumn("common", common).select("a", "b", "common", link.alias("link")))

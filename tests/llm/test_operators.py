@@ -135,6 +135,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links(spark, monkeypatch):
+    """Few links stay in one task and make a table a round; dealt out over all partitions they have the same components."""
+    from marketweave.llm import components as module
+
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, b) for b in range(101, 140)] + [(7, 7), (None, 3), (60, 50), (50, 60)]
+    links = spark.createDataFrame(edges, "a long, b long")
+    wrote, save = [], module.save
+    monkeypatch.setattr(module, "save", lambda df, **options: wrote.append(df.rdd.getNumPartitions()) or save(df, **options))
+    got = {r.id: r.component_id for r in components(links).collect()}
+    assert set(wrote) == {1}
+    assert len(wrote) < 10
+    monkeypatch.setattr(module, "TASK_EDGES", 0, raising=False)
+    assert got == {r.id: r.component_id for r in components(links).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 140)} | {50: 50, 60: 50}
+
+
 @pytest.mark.parametrize("width", [4, 5])
 def test_near_dedup(spark, docs, texts, width):
     rng = random.Random(4)
