@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import lower_ascii, save
+from marketweave.llm.common import lower_ascii, release, save
 from marketweave.llm.exact import exact_dedup
 from marketweave.llm.minhash import near_dedup
 from marketweave.llm.mixing import draw, pareto_mix, word_count
@@ -32,6 +32,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null text counts as empty; a null id stays only where no other has its text. Rows come along whole, whatever their columns' names.
     """
     verdicts = save(exact_dedup(docs).select(F.col("doc_id").alias("other"), "kept", F.unhex("text_sha256").alias("theirs")))
+    release(spark, 1)
     mine = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.unhex(F.sha2(lower_ascii(F.coalesce("row.text", F.lit(""))), 256)).alias("sha"))
     same = F.col("row.doc_id").eqNullSafe(F.col("other")) & (F.col("sha") == F.col("theirs"))
     out = mine.join(verdicts.where("not kept").select("other", "theirs").distinct(), same, "left_anti")
@@ -46,6 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without words or with a null id stay; rows that share an id share its fate. Other columns come along, whatever their names.
     """
     gone = save(near_dedup(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    release(spark, 1)
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     return rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
 
@@ -58,6 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = ["doc_id", "source", "size", "u"]
     taken = pareto_mix(docs).where("copies > 0").groupBy(*key).agg(F.max("copies").alias("copies"))
     taken = save(taken.select(*[F.col(c).alias(f"t_{c}") for c in key], "copies"))
+    release(spark, 1)
     rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", word_count(F.col("row.text")).alias("size"), draw("row.doc_id", "row.text").alias("u"))
     same = F.col("row.doc_id").eqNullSafe(F.col("t_doc_id")) & F.col("row.source").eqNullSafe(F.col("t_source")) & (F.col("size") == F.col("t_size")) & (F.col("u") == F.col("t_u"))
     return rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
