@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import drop, left_join, lower_ascii, save
+from marketweave.llm.common import drop, few, left_join, lower_ascii, save
 
 #: Runs of a level that compaction merges; bits of a filter for each digest.
 FANOUT, FILTER_BITS = 2, 16
@@ -47,9 +47,10 @@ class DigestIndex:
     def _flush(self, memtable: DataFrame, level: int) -> dict:
         """memtable: digest, id, n, one row per digest. Each task sorts and writes its own; the filter is a table of 64-bit words."""
         rows = save(memtable.sortWithinPartitions("digest"))
-        words = max(1, rows.count() * FILTER_BITS // 64)
-        bits = rows.groupBy(F.pmod(F.xxhash64("digest"), F.lit(words)).alias("word")).agg(F.bit_or(_mask(F.col("digest"))).alias("bits"))
-        run = {"rows": rows, "filter": save(bits), "words": words}
+        n = rows.count()
+        words = max(1, n * FILTER_BITS // 64)
+        bits = few(rows, n).groupBy(F.pmod(F.xxhash64("digest"), F.lit(words)).alias("word")).agg(F.bit_or(_mask(F.col("digest"))).alias("bits"))
+        run = {"rows": rows, "filter": save(bits), "words": words, "n": n}
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
@@ -61,19 +62,22 @@ class DigestIndex:
         asked = [F.struct(F.lit(k).alias("run"), F.pmod(F.xxhash64("digest"), F.lit(r["words"])).alias("word")) for k, r in enumerate(runs)]
         if not asked:
             return digests.limit(0)
+        size = max([digests.count(), *[r["n"] for r in runs]]) * len(runs)  # of the probes and of the runs, at most
         filters = held = None
         for k, r in enumerate(runs):
             f, h = r["filter"].withColumn("run", F.lit(k)), r["rows"].select("digest", F.lit(k).alias("run"))
             filters, held = (f, h) if filters is None else (filters.unionByName(f), held.unionByName(h))
-        probes = digests.select("digest", F.explode(F.array(*asked)).alias("at")).select("digest", "at.*")
+        filters, held = few(filters, size), few(held, size)
+        probes = few(digests, size).select("digest", F.explode(F.array(*asked)).alias("at")).select("digest", "at.*")
         maybe = probes.join(filters, ["run", "word"]).where(F.col("bits").bitwiseAND(_mask(F.col("digest"))) == _mask(F.col("digest")))
         return maybe.select("digest", "run").join(held, ["run", "digest"], "left_semi").select("digest")
 
     def add(self, entries: DataFrame) -> DataFrame:
         """entries: digest, id. Flushes one batch as a run and returns its hits: digests that it holds twice or that were there before."""
         earlier = self.runs
-        run = self._flush(entries.groupBy("digest").agg(self.keep("id").alias("id"), F.count(F.lit(1)).alias("n")), 0)["rows"]
-        hits = save(run.where("n > 1").select("digest").unionByName(self.lookup(run.select("digest"), earlier)).distinct())
+        run = self._flush(few(entries, entries.count()).groupBy("digest").agg(self.keep("id").alias("id"), F.count(F.lit(1)).alias("n")), 0)
+        hits = run["rows"].where("n > 1").select("digest").unionByName(self.lookup(run["rows"].select("digest"), earlier))
+        hits = save(few(hits, run["n"] * (1 + len(earlier))).distinct())
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 self._merge(level, self.levels[level])
@@ -84,7 +88,7 @@ class DigestIndex:
         for r in runs[1:]:
             every = every.unionByName(r["rows"])
         gone = list(runs)
-        run = self._flush(every.groupBy("digest").agg(self.keep("id").alias("id"), F.sum("n").alias("n")), level + 1)
+        run = self._flush(few(every, sum(r["n"] for r in runs)).groupBy("digest").agg(self.keep("id").alias("id"), F.sum("n").alias("n")), level + 1)
         for other in self.levels[: level + 1]:
             other[:] = [r for r in other if not any(r is g for g in gone)]
         for r in gone:
@@ -113,7 +117,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for k in range(batches):
         got = index.add(log.where(F.col("batch") == k).select("digest", "id"))
         hits = got if hits is None else hits.unionByName(got)
-    groups = save(index.compact().join(hits.distinct(), "digest", "left_semi").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size")))
+    whole = index.compact()
+    size = index.runs[0]["n"] * batches  # rows of the index and of the hits, at most
+    groups = save(few(whole, size).join(few(hits, size).distinct(), "digest", "left_semi").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size")))
     found = left_join(log.drop("batch"), groups, "digest")
     found = save(found.select("id", "digest", *(["sha"] if sha else []), F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")))
     drop(log)

@@ -106,6 +106,39 @@ def test_digest_index(spark):
     assert {bytes(r.digest): (r.id, r.n) for r in index.compact().collect()} == {d: (min(i), len(i)) for d, i in held.items()} and len(index.runs) == 1
 
 
+def test_index_of_few_rows_stays_in_one_task(spark, docs, monkeypatch):
+    """No table that the index writes is dealt out, whatever the partitions of its batches; dealt out, results are the same."""
+    from marketweave.llm import common
+
+    wrote, save = [], exact.save
+    monkeypatch.setattr(exact, "save", lambda df, **options: wrote.append(df.rdd.getNumPartitions()) or save(df, **options))
+    index = DigestIndex()
+    rows = [(bytes([i % 50]) * 32, i) for i in range(120)]
+    parts = [spark.createDataFrame(rows[k::3], "digest binary, id long").repartition(5) for k in range(3)]
+    hits = [sorted(bytes(r.digest) for r in index.add(p).collect()) for p in parts]
+    held = sorted((bytes(r.digest), r.id, r.n) for r in index.compact().collect())
+    assert set(wrote) == {1}
+    got = sorted(map(repr, exact_dedup(docs).collect()))
+    monkeypatch.setattr(common, "TASK_ROWS", 0)
+    index = DigestIndex()
+    assert hits == [sorted(bytes(r.digest) for r in index.add(p).collect()) for p in parts]
+    assert held == sorted((bytes(r.digest), r.id, r.n) for r in index.compact().collect())
+    assert got == sorted(map(repr, exact_dedup(docs).collect()))
+
+
+def test_save_collects_the_heap_at_times(spark, monkeypatch):
+    from marketweave.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda session, rounds=3: calls.append(rounds))
+    monkeypatch.setattr(common, "_collected", common.time.monotonic())
+    common.drop(common.save(spark.range(3)))
+    assert not calls
+    monkeypatch.setattr(common, "_collected", common.time.monotonic() - common.COLLECT_S - 1)
+    common.drop(common.save(spark.range(3)))
+    assert calls == [1]
+
+
 def test_exact_dedup_edges(spark):
     schema = "doc_id long, text string, norm string, digest int, batch int"
     assert exact_dedup(spark.createDataFrame([], schema)).count() == 0
