@@ -11,11 +11,14 @@ document table u32, bytes of all blocks u64, CRC-32 of this header and the table
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,19 @@ MAGIC = b"MWT1"
 PIECE, WORDS, RECORDS = 1 << 24, 512, 8
 #: The mark between words: a piece of its own, since white space stands around it.
 MARK = "\x01"
+#: Keys whose ids a Python worker keeps from task to task.
+KEPT = 1 << 18
+#: Pieces of the tokenizers whose words part after their last letter and whose ASCII letters may be lower-cased first.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer of the `tokenizers` library whose pieces never reach over white space.
 
     A text's ids are then those of its words end to end, so each distinct word of a batch is encoded once. Cut is at ASCII white space, around which neither normalisation (NFC has no
-    composition with it) nor any piece extends.
+    composition with it) nor any piece extends. Where the tokenizer's pieces are PARTS, a word is further cut between an ASCII letter and the ASCII punctuation
+    that ends the word, where a piece always ends; and if it lower-cases, words of ASCII alone are lower-cased here. What remains is far less often new, and ids of KEPT such keys stay for later batches.
+    Words that may hold an added token go to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,6 +57,56 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        spec = json.loads(self.tokenizer.to_str())
+        steps = lambda x, inner: [] if not x else x[inner] if x["type"] == "Sequence" else [x]
+        normal, cuts = steps(spec["normalizer"], "normalizers"), steps(spec["pre_tokenizer"], "pretokenizers")
+        known = all(n["type"] in ("NFC", "Lowercase") or (n["type"], n.get("pattern"), n.get("content")) == ("Replace", {"Regex": r"\s+"}, " ") for n in normal)
+        split = [c for c in cuts if c["type"] == "Split" and c["pattern"] == {"Regex": PARTS} and c["behavior"] == "Removed" and c["invert"]]
+        level = [c for c in cuts if c["type"] == "ByteLevel" and not c["use_regex"] and not c["add_prefix_space"]]
+        added = all(a["content"].startswith("<|") for a in spec["added_tokens"])
+        self.cut = known and added and len(split) == len(level) == 1 and len(cuts) == 2 and cuts[0] is split[0]
+        self.lower = self.cut and any(n["type"] == "Lowercase" for n in normal)
+        self.slots: dict[str, int] = {}
+        self.kept, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def keys(self, words: pa.Array) -> pa.Array:
+        """Two keys for each word, whose ids end to end are the word's."""
+        words = words.cast(pa.large_string())
+        first, last = (np.frombuffer(words.buffers()[1], np.int64)[words.offset :][i : i + len(words)] for i in (0, 1))
+        size = last - first
+        if not size.any():
+            return pa.array([""] * (2 * len(words)), pa.large_string())
+        plain = np.zeros(len(words), bool)
+        if self.cut:
+            stem = np.asarray(pc.binary_length(pc.ascii_rtrim(words, characters=string.punctuation)))
+            end = np.frombuffer(words.buffers()[2], np.uint8)[np.maximum(first + stem - 1, 0)] | 32
+            plain = ~np.asarray(pc.match_substring(words, "<|"))
+            size = np.where(plain & (stem > 0) & (end >= ord("a")) & (end <= ord("z")), stem, size)
+        edges = np.append(np.stack([first, first + size], 1).ravel(), last[-1])
+        keys = pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(edges), words.buffers()[2])
+        if self.lower:
+            low = np.repeat(plain & np.asarray(pc.string_is_ascii(words)), 2)
+            keys = pc.if_else(pa.array(low), pc.ascii_lower(keys), keys)
+        return keys
+
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and where each word's begin; `words` are distinct strings."""
+        coded = self.keys(words).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        slot = np.fromiter((self.slots.get(k, -1) for k in names), np.int64, len(names))
+        new = np.flatnonzero(slot < 0)
+        ids, starts = self.words([names[i] for i in new])
+        slot[new] = len(self.starts) - 1 + np.arange(len(new))
+        kept, starts = np.concatenate([self.kept, ids]), np.concatenate([self.starts, self.starts[-1] + starts[1:]])
+        room = min(len(new), KEPT - len(self.slots))
+        if room > 0:
+            self.slots.update((names[i], int(k)) for i, k in zip(new[:room], slot[new[:room]], strict=True))
+            self.starts = starts[: len(self.starts) + room].copy()
+            self.kept = kept[: self.starts[-1]].copy()
+        use = slot[np.asarray(coded.indices)]
+        length = np.diff(starts)[use]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return kept[np.arange(ends[-1]) + np.repeat(starts[use] - ends[:-1], length)], ends[::2]
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and where each word's begin."""
@@ -75,7 +134,7 @@ class WordTokenizer:
         lists = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
         offsets = np.asarray(lists.offsets).astype(np.int64)
         coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        ids, starts = self.words(coded.dictionary.to_pylist())
+        ids, starts = self.distinct(coded.dictionary)
         last = len(starts) - 1  # the end mark is one word more
         ids, starts = np.append(ids, np.uint32(end)), np.append(starts, starts[-1] + 1)
         word = np.insert(np.asarray(coded.indices).astype(np.int64), offsets[1:] - offsets[0], last)
@@ -85,6 +144,12 @@ class WordTokenizer:
         return flat, np.diff(before[offsets - offsets[0] + np.arange(len(offsets))])
 
 
+@lru_cache(maxsize=1)
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """A Python worker's own, for all its tasks."""
+    return WordTokenizer(path)
+
+
 def pack(part: int, number: int, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block: int) -> bytes:
     blocks = rangecoder.encode(ids, block)
     table = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + counts.astype("<u8").tobytes()
@@ -135,7 +200,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end: int
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        tokenizer, names, counts, held, size = WordTokenizer(tokens_path), [], [], [], 0
+        tokenizer, names, counts, held, size = shared_tokenizer(tokens_path), [], [], [], 0
 
         def record() -> pa.RecordBatch:
             packed = pack(part, number, names, np.concatenate(counts), np.concatenate(held), block)

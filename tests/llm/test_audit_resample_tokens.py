@@ -163,6 +163,27 @@ def test_words_give_the_ids_of_whole_texts(tokenizer_path, texts):
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+ODD = ["Word, word. WORD! word", "<|endoftext|>, <|ENDOFTEXT|>. a<|endoftext|>b, <|x|>,", "don't, DON'T!' dogs' 'S x'LL, o'", "J\u030c, J\u030cx. A\u0301; a\u0338= x=\u0338 \u212a, \u0130. \u03a3\u03a3, \u01c5!", "a1, 1a. #A -- a-b- A_", "", "\x01, a"]
+
+
+@pytest.mark.parametrize("kept", [0, 3, 1 << 18])
+def test_words_part_into_keys(tokenizer_path, monkeypatch, kept):
+    """Words that differ in case and closing punctuation are encoded once, as are those of earlier batches while there is room; ids are those of whole texts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokenfiles, "KEPT", kept)
+    own, asked = WordTokenizer(tokenizer_path), []
+    words = own.words
+    monkeypatch.setattr(own, "words", lambda w: asked.append(sorted(w)) or words(w))
+    for texts in (ODD[:1], ODD[:1], ODD, pa.array(["z, z", *ODD]).slice(1).to_pylist(), ODD[::-1]):
+        ids, counts = own.encode(pa.array(["z, y", *texts], pa.string()).slice(1), 2)
+        want = [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    assert set(asked[0]) == {"", "word", ",", ".", "!"}
+    assert asked[1] == ([] if kept > 3 else asked[1]) and len(asked[1]) == max(0, 5 - kept)
+    assert len(own.slots) <= kept
+
+
 def test_token_files(spark, tmp_path, tokenizer_path, monkeypatch):
     from tokenizers import Tokenizer
 
