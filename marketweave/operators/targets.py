@@ -98,22 +98,34 @@ def rank_label(panel: DataFrame, col: str, train: tuple[str, str]) -> DataFrame:
     return out.withColumn("label", F.when(F.col("_n") >= 2, F.col("label")).otherwise(missing)).drop("_n", "_fallback")
 
 
-def build_panel(
-    bars: DataFrame, rates: DataFrame, dividends: DataFrame | None, meetings: DataFrame, train: tuple[str, str], split: tuple[str, str] | None = None,
-    active: list[str] | None = None, disclosures: DataFrame | None = None, horizons: list[int] | None = None, mode: str = "hybrid", winsor: bool = True, lag_days: int = 90,
+def raw_panel(
+    bars: DataFrame, rates: DataFrame, dividends: DataFrame | None, meetings: DataFrame, disclosures: DataFrame | None = None, horizons: list[int] | None = None, mode: str = "hybrid", lag_days: int = 90,
 ) -> DataFrame:
-    """Features, targets, fundamentals, flag, complete rows, fill, winsor, labels, then the split: one lazy plan."""
-    horizons = horizons or HORIZONS
-    active = active or ["dev_price", "dev_volume", "order_flow"]
-    df = compute_target(compute_features(bars, mode), rates, dividends, horizons)
+    """All features, targets, fundamentals and the flag: what panels of any active features are finished from."""
+    df = compute_target(compute_features(bars, mode), rates, dividends, horizons or HORIZONS)
     if disclosures is not None:
         df = attach_fundamentals(df, disclosures, lag_days)
-    df = pre_meeting(df, meetings)
+    return pre_meeting(df, meetings)
+
+
+def finish_panel(df: DataFrame, train: tuple[str, str], split: tuple[str, str] | None = None, active: list[str] | None = None, fundamentals: bool = False, horizons: list[int] | None = None, winsor: bool = True) -> DataFrame:
+    """Complete rows of a raw panel, fill, winsor, labels, then the split."""
+    horizons = horizons or HORIZONS
+    active = active or ["dev_price", "dev_volume", "order_flow"]
     df = df.na.drop(subset=[c for c in active if c not in ("ebitda_growth", "nd_ebitda", "fcfe_to_ebitda")])
-    if disclosures is not None:
+    if fundamentals:
         df = fill_fundamentals(df)
     if winsor:
         df = winsorise(df, winsor_columns(active), train)
     primary = 30 if 30 in horizons else horizons[0]
     df = tanh_labels(df, {f"R{h}": f"Y_target_{h}" for h in horizons}, train, z_of=f"R{primary}").withColumn("Y_target", F.col(f"Y_target_{primary}"))
     return df.where(between(*split)) if split else df
+
+
+def build_panel(
+    bars: DataFrame, rates: DataFrame, dividends: DataFrame | None, meetings: DataFrame, train: tuple[str, str], split: tuple[str, str] | None = None,
+    active: list[str] | None = None, disclosures: DataFrame | None = None, horizons: list[int] | None = None, mode: str = "hybrid", winsor: bool = True, lag_days: int = 90,
+) -> DataFrame:
+    """Features, targets, fundamentals, flag, complete rows, fill, winsor, labels, then the split: one lazy plan."""
+    raw = raw_panel(bars, rates, dividends, meetings, disclosures, horizons, mode, lag_days)
+    return finish_panel(raw, train, split, active, disclosures is not None, horizons, winsor)

@@ -838,15 +838,15 @@ FEATURE_SETS = {
 
 @query("z22_feature_sets")
 def _(s, d):
-    b = written(B.bars(s, d))
-    panels = {}
-    for name in ("baseline", "microstructure"):
-        extra, fundamental, scaling = FEATURE_SETS[name]
+    """All four sets with five rules, trained at the published length."""
+    b, horizons, panels = written(B.bars(s, d)), [21, 30, 63], {}
+    raw = written(T.raw_panel(b, B.rates(b), B.dividends(s, d), B.meetings(s, d), B.disclosures(s, d), horizons))
+    for name, (extra, fundamental, scaling) in FEATURE_SETS.items():
         inputs = A.feature_columns(extra, fundamental)
-        p = T.build_panel(b, B.rates(b), B.dividends(s, d), B.meetings(s, d), TRAIN, active=inputs, disclosures=B.disclosures(s, d) if fundamental else None, horizons=[21, 30, 63])
+        p = T.finish_panel(raw, TRAIN, active=inputs, fundamentals=fundamental, horizons=horizons)
         p = written(p.select("ticker", "date", *inputs, "R21", "R30", "R63", "Y_target"))
         panels[name] = (p.where(T.between(*TRAIN)), p.where(T.between(*TEST)), inputs, scaling)
-    return X.compare_feature_sets(panels, rules=3, epochs=1)
+    return X.compare_feature_sets(panels, rules=5, epochs=200)
 
 
 @query("z23_per_ticker")

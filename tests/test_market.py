@@ -1,6 +1,7 @@
 """The market engine against pandas and NumPy on small seeded frames, with NULLs, ties and constants."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -529,3 +530,45 @@ def test_training_rows_are_a_table_in_one_wave(spark):
         rows.unpersist()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_feature_sets_are_whole(spark, monkeypatch):
+    """The query compares all four sets, with the published number of rules and epochs."""
+    from marketweave.plans import queries as Q
+
+    asked = {}
+    monkeypatch.setattr(Q, "written", lambda df: df)
+    monkeypatch.setattr(Q.X, "compare_feature_sets", lambda panels, **settings: asked.update(panels=panels, **settings))
+    Q.QUERIES["z22_feature_sets"](spark, "/root/testdata/sf0.001")
+    assert {name: (len(p[2]), p[3]) for name, p in asked["panels"].items()} == {"baseline": (3, "raw"), "microstructure": (8, "minmax"), "fundamentals": (6, "minmax"), "all": (11, "minmax")}
+    assert all(set(p[2]) <= set(p[0].columns) and set(p[2]) <= set(p[1].columns) for p in asked["panels"].values())
+    assert (asked["rules"], asked["epochs"]) == (5, 200)
+
+
+def test_sets_of_unlike_inputs_train_side_by_side(spark):
+    """A set's row is that of its model trained alone, whatever the other sets' inputs and rows."""
+    rng = np.random.default_rng(3)
+    days = pd.bdate_range("2024-01-01", periods=100).date
+    rows = [(f"T{t}", d, *map(float, rng.normal(size=3)), float(rng.uniform(0, 100)), *map(float, rng.normal(size=3))) for t in range(4) for d in days]
+    df = spark.createDataFrame(rows, "ticker string, date date, a double, b double, c double, Y_target double, R21 double, R30 double, R63 double").cache()
+    df = df.withColumn("c", F.when(F.col("ticker") != "T0", F.col("c")))
+    train, test = df.where("date < '2024-04-01'"), df.where("date >= '2024-04-01' and c is not null")
+    got = {r["set"]: r for r in X.compare_feature_sets({"few": (train, test, ["b"], "raw"), "many": (train, test, ["a", "b", "c"], "minmax")}, rules=2, epochs=3).collect()}
+    for name, inputs, scaling in (("few", ["b"], "raw"), ("many", ["a", "b", "c"], "minmax")):
+        m = Z.initial_model(train, inputs, 2, scaling=scaling)
+        Z.train(m, train, inputs, "Y_target", 3)
+        fit = M.fit_metrics(m.with_score(test, inputs), "score", "Y_target").first()
+        assert (got[name].rmse, got[name].mae) == (pytest.approx(fit.rmse, rel=1e-9), pytest.approx(fit.mae, rel=1e-9))
+        assert got[name].n_inputs == len(inputs) and got[name].n_free_params == m.counts()["free"]
+
+
+def test_clustering_of_many_inputs(spark, monkeypatch):
+    """With more inputs than a grid can part, blocks of rows meet pair by pair; choices are those of plain loops, copies and mirrored rows included."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(Z, "CLUSTER_BLOCK", 20)
+    x = np.round(np.concatenate([rng.normal(c, s, (25, 6)) for c, s in ((0.0, 0.1), (1.0, 0.3))]), 3)
+    x = np.concatenate([x, x[:4]])
+    for rows in (x.tolist(), np.concatenate([x, -x]).tolist()):
+        df = spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join(f"x{k} double" for k in range(6)))
+        assert [list(c) for c in Z.cluster_centers(df, [f"x{k}" for k in range(6)], rules=4).first().centers] == brute_centers(rows, 4)
