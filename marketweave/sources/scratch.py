@@ -25,3 +25,10 @@ def written(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs, which stay until the driver's heap is collected. Without a JVM (Connect) nothing is done."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
