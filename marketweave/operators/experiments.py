@@ -19,7 +19,7 @@ from marketweave.functions.scalars import keyed_truncated_normal, keyed_uniform
 from marketweave.operators.fuzzy import FuzzyModel
 from marketweave.operators.metrics import fit_metrics, mark_rank_ic, mean_and_error, net_sharpe, rank_ic, top_n_portfolio
 from marketweave.operators.training import cluster_centers, finite_rows, forward, initial_model, least_squares, linear_score, train_grid
-from marketweave.sources.scratch import written
+from marketweave.sources.scratch import collect_garbage, written
 
 
 def block_draws(spark, n: int, draws: int, block: int, seed: int) -> DataFrame:
@@ -315,12 +315,13 @@ def compare_feature_sets(panels: dict[str, tuple[DataFrame, DataFrame, list[str]
         sharpe = net_sharpe(top_n_portfolio(scored), [15.0]).first()
         marks = [mean_and_error(mark_rank_ic(scored, unit, h)).first()["mean"] for unit, h in (("month", 21), ("quarter", 63))]
         scored.unpersist()
+        collect_garbage(spark)
         return name, len(inputs), ",".join(inputs), model.counts()["free"], fit["rmse"], fit["mae"], ic["ic"], sharpe["sharpe"] if sharpe else None, *marks
 
     with ThreadPoolExecutor(len(names)) as pool:  # many small jobs, those of the sets side by side
         models = dict(zip(names, pool.map(begun, names), strict=True))
-        train_grid(list(models.values()), [10.0] * len(names), rows, [f"in{k}" for k in range(most)], "label", epochs, key="set", keys=names)
-        out = list(pool.map(measured, names))
+    train_grid(list(models.values()), [10.0] * len(names), rows, [f"in{k}" for k in range(most)], "label", epochs, key="set", keys=names)
+    out = [measured(name) for name in names]  # one after another: plans of all sets at once fill the driver
     kind = "set string, n_inputs int, features string, n_free_params int, rmse double, mae double, pooled_rank_ic double, net_sharpe_15bps double, monthly_mark_ic double, quarterly_mark_ic double"
     return spark.createDataFrame(out, kind)
 
